@@ -20,7 +20,7 @@ SUPERCLASS_KEYS = ("superclasses", "_superclasses")
 DEPENDS_ON_KEYS = ("depends_on", "_depends_on")
 DEPENDENCY_NAME_KEYS = ("name", "_name")
 DEPENDENCY_ID_KEYS = ("document_id", "value", "id", "_document_id", "_value", "_id")
-FILE_KEYS = ("file", "_file", "files", "directory", "_directory")
+FILE_KEYS = ("file", "_file", "files")
 BASE_CLASS = "base"
 BASE_FIELDS = ("id", "session_id", "name", "datestamp")
 

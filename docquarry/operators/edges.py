@@ -70,18 +70,31 @@ def missing_targets(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def mistyped_dependencies(df: DataFrame, catalog: Catalog) -> DataFrame:
-    """References whose target exists but is not of the class the declaration demands."""
+    """References whose target exists but is not of the class the declaration demands.
+
+    Targets collapse to one row per id first, so repeated ids (an error of their own)
+    do not multiply references.
+    """
     declared = catalog.dependencies_table(df.sparkSession).where("must_refer_to <> ''")
     edges = dependencies(df.select("id", "class_name", "depends_on"), "class_name").join(
         F.broadcast(declared.select("class_name", "dep_base_name", "must_refer_to")),  # metadata
         ["class_name", "dep_base_name"],
     )
-    targets = df.select(
-        F.col("id").alias("__target"), F.col("class_name").alias("target_class"), F.col("lineage").alias("__lineage")
+    demanded = sorted({d.must_refer_to for name in catalog.classes for d in catalog.dependencies(name)} - {""})
+    if not demanded:
+        return edges.where("false").select(
+            "id", "class_name", "dep_name", "document_id", "must_refer_to", F.lit("").alias("target_class")
+        )
+    targets = df.groupBy(F.col("id").alias("__target")).agg(
+        F.min("class_name").alias("target_class"),
+        *[F.bool_or(F.array_contains("lineage", c)).alias(f"__is_{c}") for c in demanded],
     )
     joined = edges.join(targets, F.col("document_id") == F.col("__target"))
-    wrong = ~F.array_contains("__lineage", F.col("must_refer_to"))
-    return joined.where(wrong).select("id", "class_name", "dep_name", "document_id", "must_refer_to", "target_class")
+    right = None
+    for c in demanded:
+        same = F.col("must_refer_to") == c
+        right = F.when(same, F.col(f"__is_{c}")) if right is None else right.when(same, F.col(f"__is_{c}"))
+    return joined.where(~right).select("id", "class_name", "dep_name", "document_id", "must_refer_to", "target_class")
 
 
 def undeclared_dependencies(df: DataFrame, catalog: Catalog) -> DataFrame:

@@ -17,6 +17,7 @@ from docquarry.fixed_values import (
     CLASS_RENAMES,
     CURRENT_SCHEMA_VERSION,
     FIELD_RENAMES,
+    FILE_KEYS,
     WITHDRAWN_CLASSES,
 )
 from docquarry.functions.quantities import concentration
@@ -278,11 +279,10 @@ def _convert_blocks(conversions: Mapping[str, Sequence[s.Step]]) -> list[s.Step]
     steps only and no stage nests deeply.
     """
     general = s.rename_fields(FIELD_RENAMES)
-    opaque = ("file", "files", "directory")
 
     def rename(name: Column, value: Column) -> Column:
         fields = s.as_fields(value)
-        return F.when(fields.isNull() | name.isin(*opaque), value).otherwise(s.variant(general(fields)))
+        return F.when(fields.isNull() | name.isin(*FILE_KEYS), value).otherwise(s.variant(general(fields)))
 
     def stage(i: int) -> s.Step:
         todo = {block: steps[i] for block, steps in conversions.items() if i < len(steps)}
@@ -327,15 +327,17 @@ def _snapshot(catalog: Catalog, class_name: Column, otherwise: Column) -> Column
     return F.coalesce(F.try_element_at(F.create_map(*pairs), class_name), otherwise)
 
 
-def _flags(body: Column) -> Column:
+def _flags(body: Column, blocks) -> Column:
     found = []
     for block, path, test, flag in FLAGS:
+        if block not in blocks:
+            continue
         # A class's block may still have its legacy name here.
         names = [block, *[old for old, new in CLASS_RENAMES.items() if new == block]]
         holder = F.coalesce(*[F.try_variant_get(body, f'$["{n}"]', "variant") for n in names])
         value = F.try_variant_get(holder, "$" + "".join(f'["{p}"]' for p in path), "variant")
         found.append(F.when(holder.isNotNull() & test(value), F.lit(f"{flag}:{block}.{'.'.join(path)}")))
-    return F.array_compact(F.array(*found))
+    return F.array_compact(F.array(*found).cast("array<string>"))
 
 
 # -- the dispatcher ------------------------------------------------------------------------------
@@ -349,6 +351,7 @@ def migrate(
     collapse_ontology: bool = True,
     block_renames: Mapping[str, str] | None = None,
     blocks: Mapping[str, Sequence[s.Step]] | None = None,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
     """Bring every legacy document to the current shape.
 
@@ -357,13 +360,16 @@ def migrate(
     ``migrated``, ``flagged``, ``withdrawn``) and ``migration_flags``.
 
     ``block_renames`` maps property-block names that never equalled their class
-    name; ``blocks`` replaces the built-in conversions by a caller's own.
+    name; ``blocks`` replaces the built-in conversions by a caller's own; ``only`` names
+    the blocks known to occur, which keeps the plan small.
     """
     current = F.coalesce(F.col("schema_version") == CURRENT_SCHEMA_VERSION, F.lit(False))
     withdrawn = F.col("class_name").isin(*WITHDRAWN_CLASSES)
     untouched = current | withdrawn
     renames = {**CLASS_RENAMES, **(block_renames or {})}
-    todo = conversions(collapse_ontology) if blocks is None else blocks
+    todo = conversions(collapse_ontology) if blocks is None else dict(blocks)
+    if only is not None:
+        todo = {block: steps for block, steps in todo.items() if block in only}
     new_class = F.when(untouched, F.col("class_name")).otherwise(snake_class(F.col("class_name")))
     raw = s.as_fields(F.col("body"))
     pad = _pad_blocks(catalog, new_class)
@@ -376,7 +382,7 @@ def migrate(
         .when(current, s.variant(s.let(raw, pad)))
         .otherwise(s.variant(F.col("__blocks")))
     )
-    flags = F.when(untouched, F.array().cast("array<string>")).otherwise(_flags(F.col("body")))
+    flags = F.when(untouched, F.array().cast("array<string>")).otherwise(_flags(F.col("body"), todo))
     status = (
         F.when(current, "current")
         .when(withdrawn, "withdrawn")

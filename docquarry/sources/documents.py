@@ -151,10 +151,23 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Directory manifests (JSON Lines); ``directory_id`` is the manifest's file stem."""
-    return (
-        spark.read.schema("filename string, size long, checksum_sha256 string")
+    """Directory manifests (JSON Lines).
+
+    ``directory_id`` comes from the folder layout (``directory_id=<id>/``) where there
+    is one, else it is the stem of the manifest's file name.
+    """
+    lines = (
+        spark.read.schema("filename string, size long, checksum_sha256 string, directory_id string")
+        .option("recursiveFileLookup", "true")
         .json(path)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-        .withColumn("directory_id", F.regexp_extract("source_file", r"([^/]+?)(?:\.[^./]+)*$", 1))
+    )
+    source = F.col("_metadata.file_path")
+    folder = F.nullif(F.regexp_extract(source, r"/directory_id=([^/]+)/", 1), F.lit(""))
+    stem = F.regexp_extract(source, r"([^/]+?)(?:\.[^./]+)*$", 1)
+    return lines.select(
+        F.coalesce(folder, stem).alias("directory_id"),
+        "filename",
+        "size",
+        "checksum_sha256",
+        source.alias("source_file"),
     )

@@ -125,11 +125,11 @@ def stream_integrity(
 
 
 def stream_migrate(
-    stream: DataFrame, catalog: Catalog, sink_path: str, checkpoint: str, **kw
+    stream: DataFrame, catalog: Catalog, sink_path: str, checkpoint: str, only=None, **kw
 ) -> StreamingQuery:
     """Migration is a stateless map, so it runs on a stream as it does on a table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
 
-    return run(migrate(stream, catalog), write, checkpoint, **kw)
+    return run(migrate(stream, catalog, only=only), write, checkpoint, **kw)
