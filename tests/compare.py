@@ -72,7 +72,7 @@ def main():
 
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        "compare", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        "compare", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("OFF")
     con, sql = connect(folder), oracle_sql()
