@@ -8,6 +8,7 @@ from docquarry.functions.values import DocumentLayout
 from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, ORDER_ID, query, uid_sql
 from docquarry.operators import steps as s
 from docquarry.operators.migration import migrate, migration_report, withdrawn_documents
+from docquarry.session import spread
 from docquarry.sources import tables as t
 from docquarry.sources.catalog import Catalog
 from docquarry.sources.documents import block_keys, normalise_wire_shape
@@ -81,7 +82,7 @@ def legacy(
         *[block.alias(n) for n, block in blocks.items()],
         *[value.alias(n) for n, value in top.items()],
     )
-    return normalise_wire_shape(rows.select(F.to_variant_object(doc).alias("doc")))
+    return normalise_wire_shape(spread(rows).select(F.to_variant_object(doc).alias("doc")))
 
 
 def get(df: DataFrame, path: str, as_type: str) -> Column:
@@ -536,7 +537,7 @@ def underscore_shape(spark, folder):
         F.lit(t.FIXED_STAMP).alias("datestamp"),
         F.struct(F.col("c_mktsegment").alias("mktsegment")).alias("customer_properties"),
     )
-    docs = normalise_wire_shape(t.table(spark, folder, "customer").select(F.to_variant_object(doc).alias("doc")))
+    docs = normalise_wire_shape(spread(t.table(spark, folder, "customer")).select(F.to_variant_object(doc).alias("doc")))
     catalog = Catalog.from_definitions([t.BASE, t.define("customer", [t.define_field("mktsegment", "char")])])
     out = migrate(docs, catalog, block_renames={"customer_properties": "customer"}, blocks={})
     entry = F.get("depends_on", F.lit(0))

@@ -67,7 +67,7 @@ for _name, _op in (("lessthan", "<"), ("lessthaneq", "<="), ("greaterthan", ">")
     """,
 )
 def hasfield(spark, folder):
-    found = find(t.open_corpus(spark, folder), Q("party.acctbal", "hasfield"))
+    found = find(t.open_corpus(spark, folder, heavy=True), Q("party.acctbal", "hasfield"))
     return found.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
@@ -317,7 +317,7 @@ def open_layout_numbers(spark, folder):
         Q("event.event_type", "~lessthan", 5),
         Q("epochid.epochid", "regexp", "-10$"),
     )
-    return _ids(find(t.opened(t.events(spark, folder)), tree))
+    return _ids(find(t.opened(t.events(spark, folder, heavy=True)), tree))
 
 
 @query(
@@ -332,7 +332,7 @@ def open_layout_iteration(spark, folder):
         Q("text_doc.lines[*].text", "contains_string", "http"),
         Q("text_doc.lines[*].words[*].text", "~exact_string", "the"),
     )
-    return _ids(find(t.opened(t.text_docs(spark, folder)), tree))
+    return _ids(find(t.opened(t.text_docs(spark, folder, heavy=True)), tree))
 
 
 @query(
@@ -347,7 +347,7 @@ def open_layout_iteration(spark, folder):
 )
 def mixed_corpus_numbers(spark, folder):
     tree = Q("party.acctbal", "greaterthan", 9000) | Q("order_doc.totalprice", "greaterthan", 450000)
-    found = find(Corpus(t.open_corpus(spark, folder)), tree)
+    found = find(Corpus(t.open_corpus(spark, folder, heavy=True)), tree)
     return found.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_documents"))
 
 

@@ -49,7 +49,7 @@ def read_documents_query(spark, folder):
                CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
 )
 def documents_from_text_query(spark, folder):
-    docs = documents_from_text(_wire(t.opened(t.events(spark, folder))))
+    docs = documents_from_text(_wire(t.opened(t.events(spark, folder, heavy=True))))
     return docs.select(
         "id",
         F.col("datestamp_raw").alias("stamp"),

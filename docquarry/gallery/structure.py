@@ -33,7 +33,7 @@ PART_ID = uid_sql("'part:'||p_partkey")
     """,
 )
 def header(spark, folder):
-    rows = s.header(t.open_corpus(spark, folder)).withColumn("blocks", F.array_join("blocks", ","))
+    rows = s.header(t.open_corpus(spark, folder, heavy=True)).withColumn("blocks", F.array_join("blocks", ","))
     return rows.groupBy("class_name", "n_dependencies", "blocks").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
@@ -107,7 +107,7 @@ def placed_field(spark, folder):
              LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)""",
 )
 def explode_structures(spark, folder):
-    rows = s.explode_structures(t.text_docs(spark, folder), "text_doc.lines", position=True)
+    rows = s.explode_structures(t.text_docs(spark, folder, heavy=True), "text_doc.lines", position=True)
     return rows.select("id", "position", F.length("text").cast("bigint").alias("n_chars"))
 
 

@@ -23,7 +23,7 @@ def _summary_sql(*rows: tuple[str, str, str, str, str]) -> str:
 
 def _faulty_texts(spark, folder):
     """Texts whose source decides which header fault they carry."""
-    docs = t.text_docs(spark, folder)
+    docs = t.text_docs(spark, folder, heavy=True)
     source = F.col("text_doc.source")
     return (
         docs.withColumn(
@@ -125,7 +125,7 @@ def error_rows(spark, folder):
        ) GROUP BY rule, field""",
 )
 def open_block_rules(spark, folder):
-    docs = t.customers(spark, folder)
+    docs = t.customers(spark, folder, heavy=True)
     base = F.struct("id", "session_id", "name", F.col("datestamp_raw").alias("datestamp")).alias("base")
     party, own, nation = F.col("party"), F.col("customer"), F.col("party.nation")
     extra = own.withField("stray", F.lit(1)).alias("customer")
@@ -194,7 +194,7 @@ _LINES = Catalog.from_definitions(
        ) GROUP BY rule, field""",
 )
 def nested_element_rules(spark, folder):
-    errors = v.error_rows(v.validate(t.text_docs(spark, folder), _LINES, ["text_doc"]))
+    errors = v.error_rows(v.validate(t.text_docs(spark, folder, heavy=True), _LINES, ["text_doc"]))
     return errors.groupBy("rule", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -293,7 +293,7 @@ def quantity_rules(spark, folder):
         .withField("elapsed.approximate", kind == "purchase")
         .withField("gain.volts", F.when(F.col("event.user_id") == 3, nan).otherwise(F.col("event.gain.volts")))
     )
-    docs = t.events(spark, folder).withColumn("event", event)
+    docs = t.events(spark, folder, heavy=True).withColumn("event", event)
     errors = v.error_rows(v.validate(docs, _EVENTS, ["event"]))
     return errors.groupBy("rule", "message", "field").agg(F.count(F.lit(1)).alias("n"))
 
@@ -409,4 +409,4 @@ def tuning_curve_sizes(spark, folder):
        FROM events""",
 )
 def version_impact(spark, folder):
-    return v.version_impact(t.events(spark, folder), _EVENTS, ["event"])
+    return v.version_impact(t.events(spark, folder, heavy=True), _EVENTS, ["event"])

@@ -57,21 +57,13 @@ def _text_node(*names: str) -> Callable[[Column], Column]:
 
 
 def _frequency_tuning(axis: str) -> list[s.Step]:
-    fits = [
-        s.within(name, s.lower_names(_FIT_SCALAR_NAMES), s.wrap_scalar("parameters", "values", "fit"))
-        for name in _FIT_BLOCKS
-    ]
-    return [
-        s.within("tuning_curve", s.wrap_scalar(axis, *_CURVE_FIELDS)),
-        s.within("fitless", s.lower_names(_FIT_SCALAR_NAMES)),
-        *fits,
-        s.within(
-            "abs",
-            s.within("tuning_curve", s.wrap_scalar(axis, *_CURVE_FIELDS)),
-            s.within("fitless", s.lower_names(_FIT_SCALAR_NAMES)),
-            *fits,
-        ),
-    ]
+    metrics = s.lower_names(_FIT_SCALAR_NAMES)
+    parts: dict[str, list[s.Step]] = {
+        "tuning_curve": [s.wrap_scalar(axis, *_CURVE_FIELDS)],
+        "fitless": [metrics],
+        **{name: [metrics, s.wrap_scalar("parameters", "values", "fit")] for name in _FIT_BLOCKS},
+    }
+    return [s.within_each({**parts, "abs": [s.within_each(parts)]})]
 
 
 def _mixture(fields: Column) -> Column:
@@ -137,10 +129,13 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     ],
     "ontology_label": [s.compose_term("term", ["ontology_name", "label_id"], ["label"], node=_label_node)],
     "contrast_tuning": [
-        s.within("tuning_curve", s.wrap_scalar("contrast", *_CURVE_FIELDS)),
-        s.within(
-            "fit",
-            s.regroup_prefixed("naka_rushton", _NAKA_RUSHTON, s.unwrap_singleton(*_NAKA_RUSHTON_SCALARS)),
+        s.within_each(
+            {
+                "tuning_curve": [s.wrap_scalar("contrast", *_CURVE_FIELDS)],
+                "fit": [
+                    s.regroup_prefixed("naka_rushton", _NAKA_RUSHTON, s.unwrap_singleton(*_NAKA_RUSHTON_SCALARS))
+                ],
+            }
         ),
     ],
     "contrast_tuning_calc": [s.drop_path("depends_on")],
@@ -154,21 +149,27 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     "temporal_frequency_tuning": _frequency_tuning("temporal_frequency"),
     "temporal_frequency_tuning_calc": [s.drop_path("depends_on")],
     "speed_tuning": [
-        s.within("tuning_curve", s.wrap_scalar("spatial_frequency", "temporal_frequency", "mean", "stddev", "stderr")),
-        *[
-            s.within(
-                name,
-                s.lower_names(r"^Priebe_"),
-                s.unwrap_singleton("priebe_fit_speed_tuning_index"),
-            )
-            for name in _PRIEBE_BLOCKS
-        ],
+        s.within_each(
+            {
+                "tuning_curve": [
+                    s.wrap_scalar("spatial_frequency", "temporal_frequency", "mean", "stddev", "stderr")
+                ],
+                **{
+                    name: [s.lower_names(r"^Priebe_"), s.unwrap_singleton("priebe_fit_speed_tuning_index")]
+                    for name in _PRIEBE_BLOCKS
+                },
+            }
+        ),
     ],
     "speed_tuning_calc": [s.drop_path("depends_on")],
     "orientation_direction_tuning": [
-        s.within("properties", s.lower_values("coordinates")),
-        s.within("tuning_curve", s.wrap_scalar("direction", "mean", "stddev", "stderr")),
-        s.within("fit", s.unwrap_singleton(*_RATIOS)),
+        s.within_each(
+            {
+                "properties": [s.lower_values("coordinates")],
+                "tuning_curve": [s.wrap_scalar("direction", "mean", "stddev", "stderr")],
+                "fit": [s.unwrap_singleton(*_RATIOS)],
+            }
+        ),
     ],
     "oridirtuning_calc": [
         s.drop_path("depends_on"),
@@ -179,8 +180,12 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     ],
     "hartley_reverse_correlation": [
         s.coalesce_paths("frame_times", "frameTimes"),
-        s.within("stimulus_properties", s.lower_names(r"^(M|L_max|K_max)$")),
-        s.within("reconstruction_properties", s.lower_names(r"^[TXY]_coords$")),
+        s.within_each(
+            {
+                "stimulus_properties": [s.lower_names(r"^(M|L_max|K_max)$")],
+                "reconstruction_properties": [s.lower_names(r"^[TXY]_coords$")],
+            }
+        ),
     ],
     "hartley_calc": [
         s.drop_path("depends_on"),
@@ -281,17 +286,19 @@ def _convert_blocks(conversions: Mapping[str, Sequence[s.Step]]) -> list[s.Step]
     general = s.rename_fields(FIELD_RENAMES)
 
     def rename(name: Column, value: Column) -> Column:
-        fields = s.as_fields(value)
-        return F.when(fields.isNull() | name.isin(*FILE_KEYS), value).otherwise(s.variant(general(fields)))
+        # Only blocks that hold a legacy name are rebuilt.
+        affected = F.arrays_overlap(F.map_keys(s.as_fields(value)), F.array(*[F.lit(k) for k in FIELD_RENAMES]))
+        return F.when(
+            affected & ~name.isin(*FILE_KEYS), s.variant(s.let(s.as_fields(value), general))
+        ).otherwise(value)
 
     def stage(i: int) -> s.Step:
         todo = {block: steps[i] for block, steps in conversions.items() if i < len(steps)}
 
         def convert(name: Column, value: Column) -> Column:
-            fields = s.as_fields(value)
-            out = F.when(fields.isNull(), value)
+            out = F
             for block, step in todo.items():
-                out = out.when(name == block, s.variant(s.let(fields, step)))
+                out = out.when(name == block, F.coalesce(s.variant(s.let(s.as_fields(value), step)), value))
             return out.otherwise(value)
 
         return lambda blocks: F.transform_values(blocks, convert)

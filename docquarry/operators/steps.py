@@ -73,47 +73,76 @@ def drop_path(*names: str) -> Step:
     return lambda fields: F.map_filter(fields, lambda k, _: ~k.isin(*names))
 
 
-def rename_fields(renames: Mapping[str, str]) -> Step:
-    """Rename fields; where the new name is taken already, it wins and the old one goes."""
+def _rename(fields: Column, new: Callable[[Column], Column]) -> Column:
+    """Rename keys; where a new name is taken already, it wins and the old one goes.
 
-    def step(fields: Column) -> Column:
-        pairs = [F.lit(x) for pair in renames.items() for x in pair]
-        table = F.create_map(*pairs)
+    Lambda bodies are evaluated per key, so everything shared is bound outside them.
+    """
+    changed = F.filter(
+        F.transform(F.map_keys(fields), lambda k: F.struct(k.alias("old"), new(k).alias("new"))),
+        lambda p: p["old"] != p["new"],
+    )
+
+    def apply(pairs: Column) -> Column:
+        renames = F.map_from_entries(pairs)
         taken = F.map_keys(fields)
-        kept = F.map_filter(
-            fields, lambda k, _: F.coalesce(~F.array_contains(taken, F.try_element_at(table, k)), F.lit(True))
+        return let(
+            F.struct(renames.alias("to"), taken.alias("taken")),
+            lambda b: F.map_from_entries(
+                F.filter(
+                    F.transform(
+                        F.map_entries(fields),
+                        lambda e: F.struct(
+                            F.when(
+                                ~F.array_contains(b["taken"], F.coalesce(F.try_element_at(b["to"], e["key"]), F.lit(""))),
+                                F.coalesce(F.try_element_at(b["to"], e["key"]), e["key"]),
+                            )
+                            .when(F.try_element_at(b["to"], e["key"]).isNull(), e["key"])
+                            .alias("key"),
+                            e["value"].alias("value"),
+                        ),
+                    ),
+                    lambda e: e["key"].isNotNull(),
+                )
+            ),
         )
-        return F.transform_keys(kept, lambda k, _: F.coalesce(F.try_element_at(table, k), k))
 
-    return step
+    # Most objects have nothing to rename and stay as they are.
+    return let(changed, lambda pairs: F.when(F.size(pairs) == 0, fields).otherwise(apply(pairs)))
 
 
-def lower_names(pattern: str) -> Step:
-    """Lower-case the names of fields matching ``pattern``; a field already so named wins."""
-
+def rename_fields(renames: Mapping[str, str]) -> Step:
     def step(fields: Column) -> Column:
-        taken = F.map_keys(fields)
-        new = lambda k: F.when(k.rlike(pattern), F.lower(k)).otherwise(k)
-        kept = F.map_filter(fields, lambda k, _: (new(k) == k) | ~F.array_contains(taken, new(k)))
-        return F.transform_keys(kept, lambda k, _: new(k))
+        table = F.create_map(*[F.lit(x) for pair in renames.items() for x in pair])
+        return _rename(fields, lambda k: F.coalesce(F.try_element_at(table, k), k))
 
     return step
 
 
-def within(name: str, *steps: Step) -> Step:
-    """Apply steps to a nested object; anything that is no object stays as it is."""
+def lower_names(pattern: str) -> Step:
+    """Lower-case the names of fields matching ``pattern``."""
+    return lambda fields: _rename(fields, lambda k: F.when(k.rlike(pattern), F.lower(k)).otherwise(k))
+
+
+def within_each(inner: Mapping[str, Sequence[Step]]) -> Step:
+    """Apply steps to several nested objects in one pass; what is no object stays as it is."""
 
     def step(fields: Column) -> Column:
-        return F.transform_values(
-            fields,
-            lambda k, v: F.when(
-                (k == name) & as_fields(v).isNotNull(), variant(edit(as_fields(v), *steps))
-            ).otherwise(v),
-        )
+        def one(k: Column, v: Column) -> Column:
+            out = F
+            for name, steps in inner.items():
+                out = out.when(k == name, F.coalesce(variant(edit(as_fields(v), *steps)), v))
+            return out.otherwise(v)
+
+        return F.transform_values(fields, one)
 
     return step
 
 
+def within(name: str, *steps: Step) -> Step:
+    return within_each({name: steps})
+
+
 def coalesce_paths(target: str, *sources: str) -> Step:
     """Read a value from whichever spelling is there and keep it under ``target``."""
 

@@ -52,3 +52,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows."""
     seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
     return F.broadcast(df) if seen <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy narrow work on an input with few splits.
+
+    A small file is one split and would keep one core busy.  Inputs with at least as
+    many splits as cores (any large table) are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)

@@ -17,6 +17,7 @@ from docquarry.functions.quantities import duration, voltage
 from docquarry.functions.scalars import parse_datestamp
 from docquarry.functions.terms import ontology_term
 from docquarry.plans.query import ChildTable, Corpus
+from docquarry.session import spread
 from docquarry.sources.catalog import Catalog
 
 FIXED_STAMP = "2024-01-01T00:00:00.000Z"
@@ -230,13 +231,15 @@ def opened(df: DataFrame, *blocks: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in CATALOG.classes], body.alias("body"))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table; ``heavy`` announces CPU-bound narrow work on it."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if heavy else rows
 
 
-def customers(spark: SparkSession, folder: str) -> DataFrame:
+def customers(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     return document(
-        table(spark, folder, "customer"),
+        table(spark, folder, "customer", heavy),
         "customer",
         uid("customer:", F.col("c_custkey")),
         {
@@ -263,9 +266,9 @@ def suppliers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
+def orders(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     return document(
-        table(spark, folder, "orders"),
+        table(spark, folder, "orders", heavy),
         "order_doc",
         uid("order:", F.col("o_orderkey")),
         {
@@ -300,8 +303,8 @@ def order_corpus(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(orders(spark, folder), {"order_doc.lines": lines})
 
 
-def events(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
-    source = table(spark, folder, "events") if rows is None else rows
+def events(spark: SparkSession, folder: str, rows: DataFrame | None = None, heavy: bool = False) -> DataFrame:
+    source = table(spark, folder, "events", heavy) if rows is None else rows
     unit = F.when(F.col("event_type") == "view", "second").when(F.col("event_type") == "click", "minute").otherwise("hour")
     tension = F.when(F.col("event_type") == "error", "millivolt").otherwise("microvolt")
     return document(
@@ -325,16 +328,16 @@ def events(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> D
     )
 
 
-def elements(spark: SparkSession, folder: str) -> DataFrame:
+def elements(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     return document(
-        table(spark, folder, "embeddings"),
+        table(spark, folder, "embeddings", heavy),
         "element",
         uid("element:", F.col("vec_id")),
         {"element": F.struct(F.col("label"), F.col("embedding"))},
     )
 
 
-def text_docs(spark: SparkSession, folder: str) -> DataFrame:
+def text_docs(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     words = F.transform(
         F.split("text", "\n"),
         lambda line: F.struct(
@@ -345,7 +348,7 @@ def text_docs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang") == "de", "UBERON:"
     ).otherwise("unheard:")
     return document(
-        table(spark, folder, "documents"),
+        table(spark, folder, "documents", heavy),
         "text_doc",
         uid("text_doc:", F.col("doc_id")),
         {
@@ -373,16 +376,16 @@ def text_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, folder: str) -> DataFrame:
+def pages(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     return document(
-        table(spark, folder, "pages"),
+        table(spark, folder, "pages", heavy),
         "page",
         uid("page:", F.col("page_id")),
         {"page": F.struct("url", "html")},
     )
 
 
-def parts(spark: SparkSession, folder: str) -> DataFrame:
+def parts(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
     """Parts, each with ``supplier_1`` ... ``supplier_n`` (n = 1 + size mod 12), listed last first."""
     count = F.lit(1) + F.col("p_size") % 12
     numbered = F.transform(
@@ -393,7 +396,7 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     return document(
-        table(spark, folder, "part"),
+        table(spark, folder, "part", heavy),
         "part_calc",
         uid("part:", F.col("p_partkey")),
         {
@@ -472,15 +475,16 @@ def conversation_corpus(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(docs, {"conversation.turns": ChildTable(turns, "conv_id", "conversation.key")})
 
 
-def open_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """All classes in one table with a VARIANT body."""
+def open_corpus(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """All classes in one table with a VARIANT body (``heavy`` where the bodies are read)."""
+    texts = text_docs(spark, folder, heavy)
     typed = [
         customers(spark, folder),
         suppliers(spark, folder),
-        orders(spark, folder),
-        events(spark, folder),
+        orders(spark, folder, heavy),
+        events(spark, folder, heavy=heavy),
         elements(spark, folder),
-        text_docs(spark, folder),
+        texts.withColumn("text_doc", F.col("text_doc").dropFields("words", "lines")),
         text_labels(spark, folder),
         pages(spark, folder),
         parts(spark, folder),
