@@ -317,7 +317,7 @@ def open_layout_numbers(spark, folder):
         Q("event.event_type", "~lessthan", 5),
         Q("epochid.epochid", "regexp", "-10$"),
     )
-    return _ids(find(t.opened(t.events(spark, folder, heavy=True)), tree))
+    return _ids(find(t.opened(t.events(spark, folder, heavy=True), read_often=True), tree))
 
 
 @query(
@@ -332,7 +332,7 @@ def open_layout_iteration(spark, folder):
         Q("text_doc.lines[*].text", "contains_string", "http"),
         Q("text_doc.lines[*].words[*].text", "~exact_string", "the"),
     )
-    return _ids(find(t.opened(t.text_docs(spark, folder, heavy=True)), tree))
+    return _ids(find(t.opened(t.text_docs(spark, folder, heavy=True), read_often=True), tree))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import EVENT_ID, query
 from docquarry.gallery.conversions import TARGET
-from docquarry.session import work_folder
+from docquarry.session import compute_once, work_folder
 from docquarry.sources import tables as t
 from docquarry.sources.documents import normalise_wire_shape
 from docquarry.streaming import ingest
@@ -42,6 +42,7 @@ def stream_validate(spark, folder):
             "elapsed.seconds", F.when(kind == "error", F.lit(-1.0)).otherwise(F.col("event.elapsed.seconds"))
         ),
     )
+    docs = compute_once(docs, "epochid", "event")
     ingest.stream_validate(
         docs, t.CATALOG, f"{root}/valid", f"{root}/quarantine", f"{root}/state", classes=["event"]
     ).awaitTermination()

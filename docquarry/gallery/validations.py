@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docquarry.gallery.registry import CUSTOMER_ID, query
 from docquarry.operators import validation as v
 from docquarry.operators.reports import validation_summary
+from docquarry.session import compute_once
 from docquarry.sources import tables as t
 from docquarry.sources.catalog import Catalog, FieldDef
 
@@ -138,7 +139,8 @@ def open_block_rules(spark, folder):
         .otherwise(F.to_variant_object(F.struct(base, party, own)))
     )
     name = F.when(nation == 7, "party").when(nation == 8, "nobody").otherwise(F.col("class_name"))
-    docs = docs.select(*[c for c in docs.columns if c not in ("party", "customer", "class_name")], name.alias("class_name"), body.alias("body"))
+    kept = [c for c in docs.columns if c not in ("party", "customer", "class_name")]
+    docs = compute_once(docs.select(*kept, name.alias("class_name"), body.alias("body")), "body")
     errors = v.error_rows(v.validate(docs, t.CATALOG, ["customer", "party"]))
     return errors.groupBy("rule", "field").agg(F.count(F.lit(1)).alias("n"))
 
@@ -293,7 +295,7 @@ def quantity_rules(spark, folder):
         .withField("elapsed.approximate", kind == "purchase")
         .withField("gain.volts", F.when(F.col("event.user_id") == 3, nan).otherwise(F.col("event.gain.volts")))
     )
-    docs = t.events(spark, folder, heavy=True).withColumn("event", event)
+    docs = compute_once(t.events(spark, folder, heavy=True).withColumn("event", event), "event")
     errors = v.error_rows(v.validate(docs, _EVENTS, ["event"]))
     return errors.groupBy("rule", "message", "field").agg(F.count(F.lit(1)).alias("n"))
 

@@ -85,14 +85,12 @@ def explode_structures(
 def dependencies(df: DataFrame, *keep: str) -> DataFrame:
     """The edge table; ``x_3`` splits into stem ``x`` and index 3."""
     edges = df.select("id", *keep, F.inline("depends_on").alias("dep_name", "document_id"))
-    number = F.regexp_extract("dep_name", r"_([1-9][0-9]*)$", 1)
+    # Most roles carry no number; only a trailing digit is worth a regular expression.
+    digit = F.substring("dep_name", -1, 1).between("0", "9")
+    number = F.when(digit, F.nullif(F.regexp_extract("dep_name", r"_([1-9][0-9]*)$", 1), F.lit("")))
+    stem = F.when(digit, F.regexp_replace("dep_name", r"_[1-9][0-9]*$", "")).otherwise(F.col("dep_name"))
     return edges.select(
-        "id",
-        *keep,
-        "dep_name",
-        F.regexp_replace("dep_name", r"_[1-9][0-9]*$", "").alias("dep_base_name"),
-        number.try_cast("int").alias("dep_index"),
-        "document_id",
+        "id", *keep, "dep_name", stem.alias("dep_base_name"), number.cast("int").alias("dep_index"), "document_id"
     )
 
 

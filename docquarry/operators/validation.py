@@ -121,7 +121,8 @@ def _quantity_checks(f: FieldDef) -> list[Check]:
         exact = canonical(value, entry["exponent10"], entry["multiplier"])
         plain = value * F.pow(F.lit(10.0), entry["exponent10"]) * entry["multiplier"]
         agrees = ((stored == exact) | (stored == plain)) & (approximate == entry["approximate"])
-        return stored.isNotNull() & ~F.coalesce(agrees, F.lit(False))
+        complete = stored.isNotNull() & approximate.isNotNull() & unit.isNotNull() & value.isNotNull()
+        return complete & ~F.coalesce(agrees, F.lit(False))
 
     checks = [
         Check("V15", "quantity needs exactly its four typed sub-fields", shape),

@@ -63,3 +63,15 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if splits >= cores else df.repartition(cores)
+
+
+def compute_once(df: DataFrame, *columns: str) -> DataFrame:
+    """Fix computed columns before filters or many expressions read them.
+
+    Catalyst copies a computed column into every filter and field access that uses
+    it; behind a generator it is evaluated once per row.  Stored columns need none of
+    this.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    once = df.select(*kept, F.explode(F.array(F.struct(*columns))).alias("__once"))
+    return once.select(*[F.col("__once")[c].alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -17,7 +17,7 @@ from docquarry.functions.quantities import duration, voltage
 from docquarry.functions.scalars import parse_datestamp
 from docquarry.functions.terms import ontology_term
 from docquarry.plans.query import ChildTable, Corpus
-from docquarry.session import spread
+from docquarry.session import compute_once, spread
 from docquarry.sources.catalog import Catalog
 
 FIXED_STAMP = "2024-01-01T00:00:00.000Z"
@@ -223,12 +223,13 @@ def document(
     )
 
 
-def opened(df: DataFrame, *blocks: str) -> DataFrame:
+def opened(df: DataFrame, read_often: bool = False) -> DataFrame:
     """The same documents with their blocks (and base) in a VARIANT body."""
     base = F.struct("id", "session_id", "name", F.col("datestamp_raw").alias("datestamp"))
-    names = list(blocks) or [c for c in df.columns if c in CATALOG.classes]
+    names = [c for c in df.columns if c in CATALOG.classes]
     body = F.to_variant_object(F.struct(base.alias("base"), *[F.col(n) for n in names]))
-    return df.select(*[c for c in df.columns if c not in CATALOG.classes], body.alias("body"))
+    out = df.select(*[c for c in df.columns if c not in CATALOG.classes], body.alias("body"))
+    return compute_once(out, "body") if read_often else out
 
 
 def table(spark: SparkSession, folder: str, name: str, heavy: bool = False) -> DataFrame:
@@ -490,7 +491,7 @@ def open_corpus(spark: SparkSession, folder: str, heavy: bool = False) -> DataFr
         parts(spark, folder),
         directories(spark, folder),
     ]
-    out = opened(typed[0])
+    out = opened(typed[0], heavy)
     for part in typed[1:]:
-        out = out.unionByName(opened(part))
+        out = out.unionByName(opened(part, heavy))
     return out
