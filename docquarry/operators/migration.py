@@ -25,6 +25,7 @@ from docquarry.functions.scalars import split_list
 from docquarry.functions.terms import lower_prefix, normalise_prefix, ontology_term, snake_class
 from docquarry.operators import steps as s
 from docquarry.operators.structure import csv_records
+from docquarry.session import compute_once
 from docquarry.sources.catalog import Catalog
 
 # -- declarations: what each block needs -------------------------------------------------
@@ -406,11 +407,13 @@ def migrate(
         "lineage": F.array_distinct(F.concat(F.transform(parents, lambda p: p["class_name"]), F.array(new_class))),
         "body": body,
     }
-    return staged.select(
+    out = staged.select(
         *[replaced[c].alias(c) if c in replaced else F.col(c) for c in df.columns if not c.startswith("migration_")],
         status.alias("migration_status"),
         flags.alias("migration_flags"),
     )
+    # Bound once: whatever reads the new body must not repeat the conversion.
+    return compute_once(out, "body")
 
 
 def withdrawn_documents(df: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from docquarry.functions.quantities import canonical, unit_entry
 from docquarry.functions.scalars import same_major, split_list
 from docquarry.functions.terms import curie_prefix
 from docquarry.functions.values import DocumentLayout, Place, TypedPlace, VariantPlace, false_if_null
+from docquarry.session import compute_once
 from docquarry.sources.catalog import Catalog, FieldDef
 
 ERROR_TYPE = "array<struct<declaring_class:string,field:string,rule:string,message:string,severity:string>>"
@@ -774,7 +775,8 @@ def validate(
                     F.when(false_if_null(violated), _error(owner, rule.field, rule.rule, rule.message, rule.severity))
                 )
         parts += _part(errors, class_name.isin(below))
-    return df.withColumn("errors", F.flatten(F.array_compact(F.array(*parts))))
+    # Bound once: a filter on the errors would otherwise be copied down into the scan's projections.
+    return compute_once(df.withColumn("errors", F.flatten(F.array_compact(F.array(*parts)))), "errors")
 
 
 def is_valid() -> Column:

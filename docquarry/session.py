@@ -70,8 +70,8 @@ def compute_once(df: DataFrame, *columns: str) -> DataFrame:
 
     Catalyst copies a computed column into every filter and field access that uses
     it; behind a generator it is evaluated once per row.  Stored columns need none of
-    this.
+    this.  The outer form is used because it makes Catalyst add no filter on the array.
     """
     kept = [c for c in df.columns if c not in columns]
-    once = df.select(*kept, F.explode(F.array(F.struct(*columns))).alias("__once"))
+    once = df.select(*kept, F.explode_outer(F.array(F.struct(*columns))).alias("__once"))
     return once.select(*[F.col("__once")[c].alias(c) if c in columns else F.col(c) for c in df.columns])
