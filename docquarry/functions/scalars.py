@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import Column, functions as F
 
 from docquarry.fixed_values import SEMVER_PATTERN
@@ -56,3 +59,12 @@ def split_list(text: Column) -> Column:
     )
 
 
+
+
+def literal_map(table: Mapping[str, object], value_type: str) -> Column:
+    """A metadata table as one literal map.
+
+    The JSON text is a single node while the plan is analysed and is folded to a
+    constant by the optimizer, so it is parsed once.
+    """
+    return F.from_json(F.lit(json.dumps(table)), F.lit(f"map<string,{value_type}>"))

@@ -21,7 +21,7 @@ from docquarry.fixed_values import (
     WITHDRAWN_CLASSES,
 )
 from docquarry.functions.quantities import concentration
-from docquarry.functions.scalars import split_list
+from docquarry.functions.scalars import literal_map, split_list
 from docquarry.functions.terms import lower_prefix, normalise_prefix, ontology_term, snake_class
 from docquarry.operators import steps as s
 from docquarry.operators.structure import csv_records
@@ -311,10 +311,10 @@ def _convert_blocks(conversions: Mapping[str, Sequence[s.Step]]) -> list[s.Step]
 def _pad_blocks(catalog: Catalog, class_name: Column) -> s.Step:
     """Every class of the chain that hosts fields gets its block, if only an empty one."""
     empty = F.parse_json(F.lit("{}"))
-    table = [x for c in sorted(catalog.classes) for x in (F.lit(c), F.array(*[F.lit(b) for b in catalog.blocks(c)]).cast("array<string>"))]
+    table = literal_map({c: catalog.blocks(c) for c in sorted(catalog.classes)}, "array<string>")
 
     def step(blocks: Column) -> Column:
-        wanted = F.try_element_at(F.create_map(*table), class_name)
+        wanted = F.try_element_at(table, class_name)
         lacking = F.array_except(wanted, F.map_keys(blocks))
         padded = F.map_concat(blocks, F.map_from_arrays(lacking, F.transform(lacking, lambda _: empty)))
         return F.coalesce(padded, blocks)
@@ -324,15 +324,12 @@ def _pad_blocks(catalog: Catalog, class_name: Column) -> s.Step:
 
 def _snapshot(catalog: Catalog, class_name: Column, otherwise: Column) -> Column:
     """The superclass snapshot of the target catalog; classes it lacks keep their own."""
-    pairs = []
-    for name in sorted(catalog.classes):
-        chain = [
-            F.struct(F.lit(a).alias("class_name"), F.lit(catalog.classes[a].version).alias("class_version"))
-            for a in catalog.ancestors(name)
-        ]
-        array = F.array(*chain) if chain else F.array()
-        pairs += [F.lit(name), array.cast("array<struct<class_name:string,class_version:string>>")]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), class_name), otherwise)
+    table = {
+        name: [{"class_name": a, "class_version": catalog.classes[a].version} for a in catalog.ancestors(name)]
+        for name in sorted(catalog.classes)
+    }
+    chains = literal_map(table, "array<struct<class_name:string,class_version:string>>")
+    return F.coalesce(F.try_element_at(chains, class_name), otherwise)
 
 
 def _flags(body: Column, blocks) -> Column:

@@ -26,7 +26,7 @@ from docquarry.fixed_values import (
     UID_PATTERN,
 )
 from docquarry.functions.quantities import canonical, unit_entry
-from docquarry.functions.scalars import same_major, split_list
+from docquarry.functions.scalars import literal_map, same_major, split_list
 from docquarry.functions.terms import curie_prefix
 from docquarry.functions.values import DocumentLayout, Place, TypedPlace, VariantPlace, false_if_null
 from docquarry.session import compute_once
@@ -602,15 +602,6 @@ def _dependency_checks(catalog: Catalog, owner: str) -> list[Column]:
     return out
 
 
-def _lookup(values: Mapping[str, Column], key: Column) -> Column:
-    """A literal per-class table read at ``key``; NULL for other classes."""
-    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), key)
-
-
-def _names(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
 def _class_error(name: str, rule: str, message: str, severity: str = "error") -> Column:
     """An error declared by the document's own class."""
     return F.struct(
@@ -633,12 +624,12 @@ def _header_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], schema
             F.when(class_name.isin(abstract), _class_error("class_name", "V2", "abstract classes have no documents"))
         )
     if "superclasses" in columns:
-        chain = _lookup({n: _names(catalog.ancestors(n)) for n in names}, class_name)
+        chain = F.try_element_at(literal_map({n: catalog.ancestors(n) for n in names}, "array<string>"), class_name)
         seen = F.transform("superclasses", lambda s: s["class_name"])
         differs = chain.isNotNull() & F.coalesce(seen != chain, F.lit(True))
         out.append(F.when(differs, _class_error("superclasses", "V3", "differs from the catalog chain")))
     if "class_version" in columns:
-        version = _lookup({n: F.lit(catalog.classes[n].version) for n in names}, class_name)
+        version = F.try_element_at(literal_map({n: catalog.classes[n].version for n in names}, "string"), class_name)
         agrees = F.coalesce(same_major(F.col("class_version"), version), F.lit(False))
         out.append(
             F.when(
@@ -669,7 +660,7 @@ def _block_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], layout:
         F.try_variant_get(layout.body, "$", "map<string,variant>"), lambda k, _: ~k.isin(*FILE_KEYS)
     )
     keys = F.map_keys(blocks)
-    wanted = _lookup({n: _names(catalog.blocks(n)) for n in names}, class_name)
+    wanted = F.try_element_at(literal_map({n: catalog.blocks(n) for n in names}, "array<string>"), class_name)
     # The block of a parent the catalog lacks is no stranger.
     complete = class_name.isin([n for n in names if not catalog.unresolved(n)])
     declared: dict[str, list[str]] = {}
@@ -686,7 +677,7 @@ def _block_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], layout:
             F.size(
                 F.array_except(
                     F.map_keys(F.try_variant_get(e["value"], "$", "map<string,variant>")),
-                    _lookup({b: _names(fs) for b, fs in declared.items()}, e["key"]),
+                    F.try_element_at(literal_map(declared, "array<string>"), e["key"]),
                 )
             )
             > 0,
