@@ -4,7 +4,8 @@ import pytest
 from compare import compare, connect
 from conftest import SMALL
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from docquarry.gallery import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -12,15 +13,15 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
-    ok, message = compare(spark, con, name, queries()[name], oracle_sql().get(name), SMALL)
+    ok, message = compare(spark, con, name, QUERIES[name], SQL.get(name), SMALL)
     assert ok, message
     assert "KINDS" not in message, message
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
