@@ -78,8 +78,13 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs of bytes other than 9 to 13 and 32), and words per text."""
-    data, cuts = text_buffers(texts)
-    found, starts, at = [], [], 0
+    hashes, counts, _, _ = word_places(*text_buffers(texts))
+    return hashes, counts
+
+
+def word_places(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, words per text, and where each word begins and stops in ``data``."""
+    found, starts, stops, at = [], [], [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
         if end < len(data):  # go on to white space or to the end of this text
@@ -107,11 +112,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTES[part] * forth[: len(part)], out=total[1:])
         found.append(mix((total[stop] - total[begin]) * back[begin]))
         starts.append(begin + at)
+        stops.append(stop + at)
         at = end
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    counts = np.diff(np.searchsorted(np.concatenate(starts), cuts))
-    return np.concatenate(found), counts
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(cuts) - 1, np.int64), none, none
+    start = np.concatenate(starts)
+    return np.concatenate(found), np.diff(np.searchsorted(start, cuts)), start, np.concatenate(stops)
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

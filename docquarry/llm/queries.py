@@ -87,3 +87,48 @@ def op2_chat_format(spark, sf_dir):
         F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op7_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from docquarry.llm.byte_bpe import bpe_round_trip
+
+    coded = bpe_round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return coded.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op9_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from docquarry.llm.packing import best_fit_pack
+
+    packed = best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
+@query()
+def op4_quality(spark, sf_dir):
+    from docquarry.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_language_id(spark, sf_dir):
+    import public_tokenizers
+
+    from docquarry.llm.language_id import language_ids
+
+    return language_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
