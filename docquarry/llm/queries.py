@@ -132,3 +132,33 @@ def op6_language_id(spark, sf_dir):
     from docquarry.llm.language_id import language_ids
 
     return language_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    r"""
+    WITH w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+        FROM documents),
+    p AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS at FROM w WHERE len(words) >= 35),
+    k AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 34], ' ')) AS edge FROM p),
+    r AS (SELECT doc_id, at FROM k QUALIFY count(*) OVER (PARTITION BY edge) > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS at FROM r),
+    g AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id),
+    o AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id))
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+           sha256(coalesce(array_to_string(list_filter(words, (x, i) -> NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+    FROM o
+    """
+)
+def op5_substring_dedup(spark, sf_dir):
+    from docquarry.llm.substring_dedup import drop_repeats
+
+    done = drop_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op3_jaccard_join(spark, sf_dir):
+    from docquarry.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
