@@ -137,16 +137,16 @@ def op6_language_id(spark, sf_dir):
 @query(
     r"""
     WITH w AS (
-        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
         FROM documents),
-    p AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS at FROM w WHERE len(words) >= 35),
-    k AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 34], ' ')) AS edge FROM p),
-    r AS (SELECT doc_id, at FROM k QUALIFY count(*) OVER (PARTITION BY edge) > 1),
-    c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS at FROM r),
-    g AS (SELECT doc_id, list(at) AS gone FROM c GROUP BY doc_id),
+    p AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM w WHERE len(words) >= 35),
+    k AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS edge FROM p),
+    r AS (SELECT doc_id, pos FROM k QUALIFY count(*) OVER (PARTITION BY edge) > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS pos FROM r),
+    g AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY doc_id),
     o AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id))
     SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-           sha256(coalesce(array_to_string(list_filter(words, (x, i) -> NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+           sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
     FROM o
     """
 )
@@ -162,3 +162,23 @@ def op3_jaccard_join(spark, sf_dir):
     from docquarry.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_personal_data(spark, sf_dir):
+    from docquarry.llm.personal_data import KINDS, personal_spans, span_text
+
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)
+    ]
+    return found.select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op10_nearest_neighbours(spark, sf_dir):
+    from docquarry.llm.multi_index import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
