@@ -1,10 +1,81 @@
-"""From raw documents to packed sequences: each stage works on all its predecessor kept."""
+"""From raw documents to packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a
+DataFrame; all but the last return the columns of ``docs``.  ``run`` writes each stage's result
+to the shared folder and reads it again, so a lost executor costs no more than a stage.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docquarry.llm.common import fresh, table
+from docquarry.llm.exact_dedup import drop_copies
+from docquarry.llm.jaccard_join import near_duplicates
+from docquarry.llm.packing import best_fit_pack
+from docquarry.llm.personal_data import mask, personal_spans
+from docquarry.llm.quality import quality_scores
+from docquarry.session import cut_lineage
+
+#: No SQL: the classifier, the contexts and the tokenizer can't be said in it.
+ORACLE_SQL = None
+
+
+def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of the text, under a name it doesn't have."""
+    key = fresh(docs, "text_key")
+    return docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), key
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject.  Rows that share an id share a fate:
+    they stay if one of them would."""
+    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
+    rejected = scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0")
+    rejected = cut_lineage(rejected.select(F.col("doc_id").alias("__gone")), "rejected")
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each class of near duplicates."""
+    classes = near_duplicates(docs)
+    gone = classes.filter("class_id is not null and (doc_id is null or doc_id > class_id)").select(F.col("doc_id").alias("__gone"))
+    gone = cut_lineage(gone.distinct(), "near-copies")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents; personal data in their texts is replaced by its kind in brackets."""
+    keyed, key = _with_key(docs)
+    found = personal_spans(docs).filter(F.size("spans") > 0).select("doc_id", "text_key", "spans").distinct()
+    found = cut_lineage(found.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "masked")
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col(key) == F.col("__key")), "left")
+    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("__spans")))
+    return joined.select(*[masked.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids, with their sequence and place in it."""
+    return best_fit_pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("PII", mask_personal_data),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
