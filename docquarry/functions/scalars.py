@@ -7,7 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
-from docquarry.fixed_values import SEMVER_PATTERN
+from docquarry.fixed_values import SEMVER_PATTERN, TIMESTAMP_PATTERN
 
 
 def semver(version: Column) -> Column:
@@ -24,8 +24,8 @@ def same_major(left: Column, right: Column) -> Column:
 
 
 def parse_datestamp(text: Column) -> Column:
-    """ISO-8601 UTC text to a timestamp; NULL when it names no calendar instant."""
-    return F.try_to_timestamp(text)
+    """ISO-8601 UTC text to a timestamp; NULL when it has another form or names no calendar instant."""
+    return F.when(text.rlike(TIMESTAMP_PATTERN), F.try_to_timestamp(text))
 
 
 def unwrap_singleton(values: Column) -> Column:

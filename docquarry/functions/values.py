@@ -187,6 +187,29 @@ class VariantPlace:
         return self.col
 
 
+class PromotedPlace(VariantPlace):
+    """A path into the body of which one type of value is also a column of its own."""
+
+    def __init__(self, root: Column, path: str, column: TypedPlace):
+        super().__init__(root, path)
+        self.column = column
+
+    def text(self) -> Column:
+        found = self.column.text()
+        return super().text() if found is None else found
+
+    def number(self) -> Column:
+        found = self.column.number()
+        return super().number() if found is None else found
+
+    def flag(self) -> Column:
+        found = self.column.flag()
+        return super().flag() if found is None else found
+
+
+#: Column metadata: the document path that a promoted column was taken from.
+PROMOTED = "promoted_from"
+
 Place = TypedPlace | VariantPlace
 
 
@@ -232,4 +255,26 @@ class DocumentLayout:
             if place is None:
                 return None
             place = place.child(name)
+        if isinstance(place, VariantPlace):
+            for f in self.schema.fields:
+                if f.metadata.get(PROMOTED) == ".".join(segments):
+                    return PromotedPlace(place.root, place.path, TypedPlace(F.col(f.name), f.dataType))
         return place
+
+
+def _at(df, path: str) -> Place | None:
+    return DocumentLayout(df.schema).locate(path.split("."))
+
+
+def text_at(df, path: str) -> Column:
+    """Text at a dot-path of a typed or open corpus; NULL where absent or of another type."""
+    place = _at(df, path)
+    found = None if place is None else place.text()
+    return F.lit(None).cast("string") if found is None else found
+
+
+def number_at(df, path: str) -> Column:
+    """Number at a dot-path of a typed or open corpus; NULL where absent or of another type."""
+    place = _at(df, path)
+    found = None if place is None else place.number()
+    return F.lit(None).cast("double") if found is None else found

@@ -8,7 +8,14 @@ from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, query, uid_sql
 from docquarry.plans.query import Q, find
 from docquarry.session import work_folder
 from docquarry.sources import tables as t
-from docquarry.sources.documents import documents_from_text, read_corpus, read_documents, write_corpus
+from docquarry.operators.validation import split_valid, validate
+from docquarry.sources.documents import (
+    documents_from_text,
+    queryable_columns,
+    read_corpus,
+    read_documents,
+    write_corpus,
+)
 
 
 def _wire(df):
@@ -61,15 +68,51 @@ def documents_from_text_query(spark, folder):
 @query(
     "promoted_corpus",
     """SELECT class_name, count(*) AS n_documents FROM (
-         SELECT 'customer' AS class_name FROM customer WHERE c_acctbal > 5000
+         SELECT 'customer' AS class_name FROM customer WHERE c_acctbal > 5000 AND c_custkey % 7 <> 0
          UNION ALL SELECT 'supplier' FROM supplier WHERE s_acctbal > 5000) GROUP BY class_name""",
 )
 def promoted_corpus(spark, folder):
     path = work_folder(spark, "corpus")
-    docs = t.opened(t.customers(spark, folder)).unionByName(t.opened(t.suppliers(spark, folder))).unionByName(
-        t.opened(t.orders(spark, folder))
-    )
-    write_corpus(docs, path, promote={"acctbal": ("party.acctbal", "double")})
+    customers = t.customers(spark, folder)
+    # The balance of every seventh customer is text, which no number test may match.
+    odd = F.col("customer.key") % 7 == 0
+    named = customers.where(odd).withColumn("party", F.col("party").withField("acctbal", F.col("party.acctbal").cast("string")))
+    docs = t.opened(customers.where(~odd))
+    for more in (named, t.suppliers(spark, folder), t.orders(spark, folder)):
+        docs = docs.unionByName(t.opened(more))
+    write_corpus(docs, path, promote=queryable_columns(t.CATALOG, ["customer", "supplier"]))
     stored = read_corpus(spark, path)
-    parties = find(stored, Q("", "isa", "party") & Q("acctbal", "greaterthan", 5000), t.CATALOG, snapshot_checked=True)
+    # Asked by its path in the document, the balance is read from its own column.
+    parties = find(stored, Q("", "isa", "party") & Q("party.acctbal", "greaterthan", 5000), t.CATALOG, snapshot_checked=True)
     return parties.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+@query(
+    "unreadable_documents",
+    """SELECT sink, rule, count(*) AS n_documents FROM (
+         SELECT CASE WHEN c_custkey % 6 < 4 OR c_acctbal < 0 THEN 'quarantine' ELSE 'valid' END AS sink,
+                CASE c_custkey % 6 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'document_class'
+                     WHEN 3 THEN 'depends_on' ELSE '' END AS rule FROM customer) GROUP BY sink, rule""",
+)
+def unreadable_documents(spark, folder):
+    """Broken lines, bare arrays, documents without a header and without dependencies."""
+    path = work_folder(spark, "broken")
+    lines = _wire(t.opened(t.customers(spark, folder)))
+    kind = F.get_json_object("value", "$.customer.key").cast("long") % 6
+    broken = (
+        F.when(kind == 0, F.substring("value", 1, 20))
+        .when(kind == 1, F.concat(F.lit("["), "value", F.lit("]")))
+        .when(kind == 2, F.replace("value", F.lit('"document_class"'), F.lit('"other"')))
+        .when(kind == 3, F.replace("value", F.lit('"depends_on"'), F.lit('"others"')))
+        .otherwise(F.col("value"))
+    )
+    lines.select(broken.alias("value")).write.text(path)
+    good, bad = split_valid(validate(read_documents(spark, path), t.CATALOG, classes=["customer"]))
+    rule = (
+        F.when(F.col("unreadable").isNotNull() & F.col("source_file").isNotNull(), "unreadable")
+        .when(F.array_contains("envelope_gaps", "document_class"), "document_class")
+        .when(F.array_contains("envelope_gaps", "depends_on"), "depends_on")
+        .otherwise("")
+    )
+    parts = [df.select(F.lit(name).alias("sink"), rule.alias("rule")) for name, df in (("valid", good), ("quarantine", bad))]
+    return parts[0].unionByName(parts[1]).groupBy("sink", "rule").agg(F.count(F.lit(1)).alias("n_documents"))

@@ -64,10 +64,34 @@ def stream_dedupe_ids(spark, folder):
     copies = F.when(F.col("event_type") == "view", F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1)))
     rows = event_stream(spark, folder).withColumn("copy", F.explode(copies)).drop("copy")
     docs = _header(t.events(spark, folder, rows))
-    ingest.stream_dedupe_ids(docs, "2 days", f"{root}/sink", f"{root}/collisions", f"{root}/state").awaitTermination()
+    ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state"))).awaitTermination()
     return ingest.read_sink(spark, f"{root}/sink", docs.schema).select("id", "datestamp_raw")
 
 
+@query(
+    "stream_dedupe_batches",
+    f"""SELECT 'sink' AS sink, {EVENT_ID} AS id, 1 AS n FROM events
+        UNION ALL SELECT 'collisions', {EVENT_ID}, 1 FROM events WHERE event_type = 'error'""",
+)
+def stream_dedupe_batches(spark, folder):
+    """Three batches: the newer half of the events, then the older half, then all again, of which
+    errors have other content under their old ids."""
+    root = work_folder(spark, "dedupe-batches")
+    rows = t.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    newer = F.col("event_id") % 2 == 0
+    changed = F.when(F.col("event_type") == "error", F.col("value") + 1).otherwise(F.col("value"))
+    for name, part in (("0", rows.where(newer)), ("1", rows.where(~newer)), ("2", rows.withColumn("value", changed))):
+        part.write.parquet(f"{root}/in/{name}")
+        files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        docs = _header(t.events(spark, folder, files), "event")
+        ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state"))).awaitTermination()
+    parts = [
+        ingest.read_sink(spark, f"{root}/{name}", docs.schema).select(F.lit(name).alias("sink"), "id")
+        for name in ("sink", "collisions")
+    ]
+    return parts[0].unionByName(parts[1]).groupBy("sink", "id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query(
     "stream_integrity",
     """SELECT sink, count(*) AS n_documents FROM (

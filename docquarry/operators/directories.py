@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
+from docquarry.functions.values import number_at, text_at
 from docquarry.plans.query import Q, and_, find
-from docquarry.session import broadcast_if_small, cut_lineage
+from docquarry.session import cut_lineage
 
 OWNER = "parent_doc_id"
 PARENT = "parent_directory_id"
@@ -32,21 +35,20 @@ def directory_edges(df: DataFrame) -> DataFrame:
     """(id, dirname, role, owner, parent) of every directory document."""
     return find(df, Q("", "isa", "directory")).select(
         "id",
-        F.col("directory.dirname").alias("dirname"),
-        F.col("directory.directory_role").alias("directory_role"),
+        text_at(df, "directory.dirname").alias("dirname"),
+        text_at(df, "directory.directory_role").alias("directory_role"),
         _dependency(OWNER).alias("owner_id"),
         _dependency(PARENT).alias("parent_id"),
     )
 
 
-def directory_tree(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def directory_tree(edges: DataFrame) -> DataFrame:
     """Full path and depth of every directory reachable from a top-level one.
 
     One join per level, and each level is written to the shared folder before the
-    next, so plans stay short and lost executors cost one level.  The frontier is
-    broadcast only while its counted size allows; the wide side is never collected.
-    Directories in a cycle have no top level and stay out.  Deeper trees than
-    ``max_depth`` raise instead of being cut.
+    next, so plans stay short and lost executors cost one level.  Directories in a cycle
+    have no top level and stay out.  Ids that are placed already aren't entered again, so
+    a repeated id can't make the loop go round; the loop ends with an empty level.
     """
     nodes = edges.select("id", "dirname", "owner_id", "parent_id")
     level = cut_lineage(
@@ -55,23 +57,22 @@ def directory_tree(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     )
     levels = [level]
     below = nodes.where("parent_id <> ''")
-    for depth in range(1, max_depth + 1):
+    while not level.isEmpty():
         frontier = level.select(F.col("id").alias("__up"), F.col("path").alias("__path"))
+        placed = reduce(DataFrame.unionByName, [part.select(F.col("id").alias("__placed")) for part in levels])
         level = cut_lineage(
-            below.join(broadcast_if_small(frontier), F.col("parent_id") == F.col("__up")).select(
-                "id", "owner_id", F.concat("__path", F.lit("/"), "dirname").alias("path"), F.lit(depth).alias("depth")
+            below.join(frontier, F.col("parent_id") == F.col("__up"))
+            .join(placed, F.col("id") == F.col("__placed"), "left_anti")
+            .select(
+                "id",
+                "owner_id",
+                F.concat("__path", F.lit("/"), "dirname").alias("path"),
+                F.lit(len(levels)).alias("depth"),
             ),
             "tree",
         )
-        if level.isEmpty():
-            break
         levels.append(level)
-    else:
-        raise ValueError(f"directory tree is deeper than {max_depth} levels")
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, levels)
 
 
 def slot(df: DataFrame, owners: DataFrame | None = None, role: str | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ def manifest_entries(directories: DataFrame, manifests: DataFrame, filename: str
 def manifest_count_errors(directories: DataFrame, manifests: DataFrame) -> DataFrame:
     """Directories whose ``num_entries`` differs from the rows of their manifest."""
     counts = manifests.groupBy("directory_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    declared = directories.select("id", F.col("directory.num_entries").alias("num_entries"))
+    declared = directories.select("id", number_at(directories, "directory.num_entries").cast("long").alias("num_entries"))
     joined = declared.join(counts, F.col("id") == F.col("directory_id"), "left")
     n_rows = F.coalesce("n_rows", F.lit(0))
     return joined.where(n_rows != F.col("num_entries")).select("id", "num_entries", n_rows.alias("n_rows"))

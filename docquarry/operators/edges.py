@@ -1,9 +1,11 @@
 """Lookups along dependencies.
 
 Edges are skewed by nature (many documents depend on one element), so the hot
-side never has to meet in one task: referenced ids are made distinct with a
-map-side partial aggregate first, and the joins back keep the edges on the
-splittable left side of the join, where AQE divides skewed partitions.
+side never has to meet in one task: ids are made distinct with a map-side partial
+aggregate and written to the shared folder, and the edges stay on the left side of
+a join of two plain shuffles.  Only there can AQE divide skewed partitions: an
+aggregate or a join right below the join would keep it from doing so.  The written
+ids also keep a walk of many steps from repeating the plans of its earlier steps.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.operators.structure import dependencies
-from docquarry.session import broadcast_if_small
+from docquarry.session import cut_lineage
 from docquarry.sources.catalog import Catalog
 
 
 def follow(df: DataFrame, dep_name: str, found: DataFrame) -> DataFrame:
     """Documents whose dependency ``dep_name`` points into the result of another query."""
-    targets = found.select(F.col("id").alias("__target")).distinct()
+    targets = cut_lineage(found.select(F.col("id").alias("__target")).distinct(), "targets")
     hits = F.transform(F.filter("depends_on", lambda d: d["name"] == dep_name), lambda d: d["document_id"])
     one = df.withColumn("__ref", F.get(hits, F.lit(0)))
     # Repeated roles are legal; only then is one row per reference needed.
@@ -65,7 +67,7 @@ def dangling_dependencies(df: DataFrame, staged: DataFrame | None = None) -> Dat
 def missing_targets(edges: DataFrame, ids: DataFrame) -> DataFrame:
     filled = edges.where(F.col("document_id") != "")
     referenced = filled.select(F.col("document_id").alias("__missing")).distinct()
-    missing = referenced.join(ids, F.col("__missing") == F.col("id"), "left_anti")
+    missing = cut_lineage(referenced.join(ids, F.col("__missing") == F.col("id"), "left_anti"), "missing")
     return filled.join(missing, F.col("document_id") == F.col("__missing"), "left_semi")
 
 
@@ -89,7 +91,7 @@ def mistyped_dependencies(df: DataFrame, catalog: Catalog) -> DataFrame:
         F.min("class_name").alias("target_class"),
         *[F.bool_or(F.array_contains("lineage", c)).alias(f"__is_{c}") for c in demanded],
     )
-    joined = edges.join(targets, F.col("document_id") == F.col("__target"))
+    joined = edges.join(cut_lineage(targets, "target-classes"), F.col("document_id") == F.col("__target"))
     right = None
     for c in demanded:
         same = F.col("must_refer_to") == c
@@ -149,7 +151,7 @@ def expand_curies(df: DataFrame, col: str, registry: DataFrame) -> DataFrame:
         F.lower("prefix").alias("__prefix"), "uri_base", "uri_style", F.col("approximate").alias("__approximate")
     )
     joined = df.withColumn("__curie_prefix", curie_prefix(F.col(col))).join(
-        broadcast_if_small(known), F.col("__curie_prefix") == F.col("__prefix"), "left"
+        known, F.col("__curie_prefix") == F.col("__prefix"), "left"
     )
     uri = F.when(F.col("uri_style") != "local", F.concat("uri_base", curie_local(F.col(col))))
     status = (

@@ -24,7 +24,7 @@ from docquarry.functions.quantities import concentration
 from docquarry.functions.scalars import literal_map, split_list
 from docquarry.functions.terms import lower_prefix, normalise_prefix, ontology_term, snake_class
 from docquarry.operators import steps as s
-from docquarry.operators.structure import csv_records
+from docquarry.operators.structure import csv_records, known_csv_header
 from docquarry.session import compute_once
 from docquarry.sources.catalog import Catalog
 
@@ -40,6 +40,8 @@ _RATIOS = (
     "direction_preferred_null_ratio_rectified",
 )
 _PRIEBE_BLOCKS = ("fit", "fit_no_speed", "fit_fullspeed")
+_INDIVIDUAL = ("individual", "raw_individual", "control_individual")
+_UNITS = {"properties": [s.zero_to_text("response_units")]}
 _CURVE_FIELDS = ("mean", "stddev", "stderr", "control_stddev", "control_stderr")
 _MIXTURE_SCHEMA = "ontologyName string, name string, value double, ontologyUnit string, unitName string"
 
@@ -60,17 +62,29 @@ def _text_node(*names: str) -> Callable[[Column], Column]:
 def _frequency_tuning(axis: str) -> list[s.Step]:
     metrics = s.lower_names(_FIT_SCALAR_NAMES)
     parts: dict[str, list[s.Step]] = {
-        "tuning_curve": [s.wrap_scalar(axis, *_CURVE_FIELDS)],
+        "tuning_curve": [s.empty_matrix(*_INDIVIDUAL), s.wrap_scalar(axis, *_CURVE_FIELDS)],
+        **_UNITS,
         "fitless": [metrics],
         **{name: [metrics, s.wrap_scalar("parameters", "values", "fit")] for name in _FIT_BLOCKS},
     }
     return [s.within_each({**parts, "abs": [s.within_each(parts)]})]
 
 
+def _readable_mixture(fields: Column) -> Column:
+    """There is a table, all its columns are known, and it has a record."""
+    table = s.text(fields, "mixture_table")
+    return F.coalesce(known_csv_header(table, _MIXTURE_SCHEMA) & (F.size(csv_records(table, _MIXTURE_SCHEMA)) > 0), F.lit(False))
+
+
+def _unreadable_mixture(value: Column) -> Column:
+    fields = s.as_fields(value)
+    return s.get(fields, "mixture_table").isNotNull() & ~_readable_mixture(fields)
+
+
 def _mixture(fields: Column) -> Column:
     records = csv_records(s.text(fields, "mixture_table"), _MIXTURE_SCHEMA)
     return F.when(
-        s.text(fields, "mixture_table").isNotNull(),
+        _readable_mixture(fields),
         s.variant(
             F.transform(
                 records,
@@ -132,7 +146,8 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     "contrast_tuning": [
         s.within_each(
             {
-                "tuning_curve": [s.wrap_scalar("contrast", *_CURVE_FIELDS)],
+                "tuning_curve": [s.empty_matrix(*_INDIVIDUAL), s.wrap_scalar("contrast", *_CURVE_FIELDS)],
+                **_UNITS,
                 "fit": [
                     s.regroup_prefixed("naka_rushton", _NAKA_RUSHTON, s.unwrap_singleton(*_NAKA_RUSHTON_SCALARS))
                 ],
@@ -153,8 +168,10 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
         s.within_each(
             {
                 "tuning_curve": [
-                    s.wrap_scalar("spatial_frequency", "temporal_frequency", "mean", "stddev", "stderr")
+                    s.empty_matrix(*_INDIVIDUAL),
+                    s.wrap_scalar("spatial_frequency", "temporal_frequency", "mean", "stddev", "stderr"),
                 ],
+                **_UNITS,
                 **{
                     name: [s.lower_names(r"^Priebe_"), s.unwrap_singleton("priebe_fit_speed_tuning_index")]
                     for name in _PRIEBE_BLOCKS
@@ -166,8 +183,8 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     "orientation_direction_tuning": [
         s.within_each(
             {
-                "properties": [s.lower_values("coordinates")],
-                "tuning_curve": [s.wrap_scalar("direction", "mean", "stddev", "stderr")],
+                "properties": [s.lower_values("coordinates"), *_UNITS["properties"]],
+                "tuning_curve": [s.empty_matrix(*_INDIVIDUAL), s.wrap_scalar("direction", "mean", "stddev", "stderr")],
                 "fit": [s.unwrap_singleton(*_RATIOS)],
             }
         ),
@@ -202,7 +219,8 @@ BLOCK_CONVERSIONS: dict[str, list[s.Step]] = {
     "stimulus_bath": [
         s.within("location", s.coalesce_paths("node", "ontologyNode")),
         s.put("mixture", _mixture),
-        s.drop_path("mixture_table"),
+        # A table that gave no record stays, and the document is flagged.
+        lambda f: F.map_filter(f, lambda k, _: ~((k == "mixture_table") & _readable_mixture(f))),
     ],
     "stimulus_presentation": [s.wrap_scalar("stimuli")],
     "app": [s.rename_fields({"name": "app_name", "version": "app_version"})],
@@ -235,6 +253,8 @@ def _bad_label_id(value: Column) -> Column:
 
 
 FLAGS: list[tuple[str, tuple[str, ...], Callable[[Column], Column], str]] = [
+    ("element_epoch", (), s.not_zippable("epoch_clock", "t0_t1"), "unequal_lists"),
+    ("stimulus_bath", (), _unreadable_mixture, "unreadable_table"),
     ("ontology_label", ("label_id",), _bad_label_id, "label_id_missing"),
     *[
         ("contrast_tuning", ("fit", f"naka_rushton_{tag}_{metric}"), s.not_singleton, "not_a_singleton")
@@ -341,7 +361,7 @@ def _flags(body: Column, blocks) -> Column:
         names = [block, *[old for old, new in CLASS_RENAMES.items() if new == block]]
         holder = F.coalesce(*[F.try_variant_get(body, f'$["{n}"]', "variant") for n in names])
         value = F.try_variant_get(holder, "$" + "".join(f'["{p}"]' for p in path), "variant")
-        found.append(F.when(holder.isNotNull() & test(value), F.lit(f"{flag}:{block}.{'.'.join(path)}")))
+        found.append(F.when(holder.isNotNull() & test(value), F.lit(f"{flag}:{'.'.join((block, *path))}")))
     return F.array_compact(F.array(*found).cast("array<string>"))
 
 

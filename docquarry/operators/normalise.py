@@ -10,7 +10,6 @@ from docquarry.fixed_values import CANONICAL_FIELD
 from docquarry.functions.quantities import canonical, quantity
 from docquarry.functions.terms import curie_prefix, lower_prefix, ontology_term
 from docquarry.operators.edges import expand_curies
-from docquarry.session import broadcast_if_small
 
 
 def normalise_quantities(
@@ -35,7 +34,7 @@ def normalise_quantities(
         )
         number = F.col(value).cast("double")
         out = (
-            out.join(broadcast_if_small(table), F.col(unit) == F.col("__unit"), "left")
+            out.join(table, F.col(unit) == F.col("__unit"), "left")
             .withColumn(
                 target,
                 F.struct(
@@ -75,5 +74,5 @@ def prefix_report(df: DataFrame, columns: Sequence[str], registry: DataFrame) ->
         .when(F.col("approximate"), "approximate")
         .otherwise("known")
     )
-    joined = totals.join(broadcast_if_small(known), F.col("prefix") == F.col("__prefix"), "left")
+    joined = totals.join(known, F.col("prefix") == F.col("__prefix"), "left")
     return joined.select("prefix", "n_values", status.alias("prefix_status"))

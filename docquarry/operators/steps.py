@@ -251,7 +251,7 @@ def regroup_prefixed(prefix: str, variants: Sequence[str], *inner: Step) -> Step
     def group(fields: Column, tag: str) -> Column:
         start = f"{prefix}_{tag}_"
         mine = F.map_filter(fields, lambda k, _: k.startswith(start))
-        named = F.transform_keys(mine, lambda k, _: F.substring(k, len(start) + 1, 10_000))
+        named = F.transform_keys(mine, lambda k, _: F.substr(k, F.lit(len(start) + 1)))
         return F.when(F.size(mine) > 0, variant(edit(named, *inner)))
 
     def step(fields: Column) -> Column:
@@ -265,7 +265,11 @@ def regroup_prefixed(prefix: str, variants: Sequence[str], *inner: Step) -> Step
 
 
 def split_zip(target: str, names: str, rows: str, columns: Sequence[str]) -> Step:
-    """A comma list and an N x k matrix, zipped row-wise into an array of records."""
+    """A comma list and an N x k matrix, zipped row-wise into an array of records.
+
+    The sources go only where they were zipped: lists of unequal length, or a table that
+    can't be read, stay as they are (see :func:`not_zippable`).
+    """
 
     def step(fields: Column) -> Column:
         labels = split_list(text(fields, names))
@@ -277,8 +281,48 @@ def split_zip(target: str, names: str, rows: str, columns: Sequence[str]) -> Ste
                 p["label"].alias("name"), *[F.get(p["row"], F.lit(i)).alias(c) for i, c in enumerate(columns)]
             ),
         )
-        built = put(target, lambda _: F.coalesce(get(fields, target), variant(records)))(fields)
-        return F.map_filter(built, lambda k, _: ~k.isin(names, rows))
+        fits = F.coalesce(F.size(labels) == F.size(table), F.lit(False))
+        built = put(target, lambda _: F.coalesce(get(fields, target), F.when(fits, variant(records))))(fields)
+        return F.map_filter(built, lambda k, _: ~(k.isin(names, rows) & fits))
+
+    return step
+
+
+def not_zippable(names: str, rows: str) -> Callable[[Column], Column]:
+    """Test on an object: it has a source of :func:`split_zip` that can't be zipped."""
+
+    def test(value: Column) -> Column:
+        fields = as_fields(value)
+        labels = split_list(text(fields, names))
+        place = VariantPlace(get(fields, rows))
+        table = F.coalesce(place.matrix(), F.when(place.vector().isNotNull(), F.array(place.vector())))
+        has = get(fields, names).isNotNull() | get(fields, rows).isNotNull()
+        return F.coalesce(has, F.lit(False)) & ~F.coalesce(F.size(labels) == F.size(table), F.lit(False))
+
+    return test
+
+
+def empty_matrix(*names: str) -> Step:
+    """The placeholder ``{}`` of a matrix becomes an empty matrix."""
+
+    def step(fields: Column) -> Column:
+        return F.transform_values(
+            fields,
+            lambda k, v: F.when(k.isin(*names) & (F.schema_of_variant(v) == "OBJECT<>"), F.parse_json(F.lit("[]"))).otherwise(v),
+        )
+
+    return step
+
+
+def zero_to_text(*names: str) -> Step:
+    """The placeholder 0 of a text becomes an empty text; other values stay."""
+
+    def step(fields: Column) -> Column:
+        def one(k: Column, v: Column) -> Column:
+            number = F.when(~F.schema_of_variant(v).isin("STRING", "BOOLEAN"), F.try_variant_get(v, "$", "double"))
+            return F.when(k.isin(*names) & F.coalesce(number == 0, F.lit(False)), scalar_variant(F.lit(""))).otherwise(v)
+
+        return F.transform_values(fields, one)
 
     return step
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docquarry.functions.scalars import split_list
-from docquarry.functions.values import DocumentLayout
+from docquarry.functions.values import DocumentLayout, VariantPlace
 from docquarry.sources.catalog import Catalog
 from docquarry.sources.documents import block_keys
 
@@ -65,10 +66,21 @@ def block_of(catalog: Catalog, class_name: str, field_name: str) -> str | None:
 
 
 def explode_structures(
-    df: DataFrame, path: str, keep: Sequence[str] = ("id",), position: bool = False, outer: bool = False
+    df: DataFrame,
+    path: str,
+    keep: Sequence[str] = ("id",),
+    position: bool = False,
+    outer: bool = False,
+    fields: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per element of an array-of-structures."""
+    """One row per element of an array-of-structures.
+
+    ``fields`` (name -> Spark type) are the columns of elements that live in an open body;
+    without it such elements stay one VARIANT column ``element``.
+    """
     column = field(df, path)
+    if isinstance(DocumentLayout(df.schema).locate(path.split(".")), VariantPlace):
+        return _explode_open(df, column, fields, keep, position, outer)
     if position:
         explode = F.posexplode_outer if outer else F.posexplode
         rows = df.select(*keep, explode(column).alias("position", "element"))
@@ -82,6 +94,18 @@ def explode_structures(
     return rows
 
 
+def _explode_open(
+    df: DataFrame, column: Column, fields: Mapping[str, str] | None, keep: Sequence[str], position: bool, outer: bool
+) -> DataFrame:
+    items = F.try_variant_get(column, "$", "array<variant>")
+    explode = (F.posexplode_outer if outer else F.posexplode)(items)
+    rows = df.select(*keep, explode.alias("position", "element"))
+    kept = [*keep, "position"] if position else list(keep)
+    if fields is None:
+        return rows.select(*kept, "element")
+    return rows.select(*kept, *[F.try_variant_get("element", f'$["{n}"]', t).alias(n) for n, t in fields.items()])
+
+
 def dependencies(df: DataFrame, *keep: str) -> DataFrame:
     """The edge table; ``x_3`` splits into stem ``x`` and index 3."""
     edges = df.select("id", *keep, F.inline("depends_on").alias("dep_name", "document_id"))
@@ -114,6 +138,8 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
     ``defaults``: column or ``block.field`` of a typed block -> default value.
     """
+    if _is_open(df):
+        return _open_defaults(df, defaults)
     layout = DocumentLayout(df.schema)
     by_block: dict[str, list[tuple[str, object]]] = {}
     out = df
@@ -131,6 +157,41 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return out
 
 
+def _is_open(df: DataFrame) -> bool:
+    fields = df.schema.fieldNames()
+    return "body" in fields and isinstance(df.schema["body"].dataType, T.VariantType)
+
+
+def _open_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """Defaults of blocks that live in the open body; blocks that are absent stay absent."""
+    body = F.try_variant_get("body", "$", "map<string,variant>")
+    by_block: dict[str, dict[str, object]] = {}
+    out = df
+    for path, default in defaults.items():
+        head, _, rest = path.partition(".")
+        if rest:
+            by_block.setdefault(head, {})[rest] = default
+        elif head in df.columns:
+            out = out.withColumn(head, F.coalesce(F.col(head), F.lit(default)))
+
+    def filled(name: Column, value: Column) -> Column:
+        cases = F
+        for block, fields in by_block.items():
+            held = F.try_variant_get(value, "$", "map<string,variant>")
+            given = F.from_json(F.lit(json.dumps({k: json.dumps(v) for k, v in fields.items()})), F.lit("map<string,string>"))
+            lacking = F.map_filter(
+                given, lambda k, _: F.coalesce(F.is_variant_null(F.try_element_at(held, k)), F.lit(True))
+            )
+            kept = F.map_filter(held, lambda k, _: ~F.array_contains(F.map_keys(lacking), k))
+            whole = F.to_variant_object(F.map_concat(kept, F.transform_values(lacking, lambda _, v: F.parse_json(v))))
+            cases = cases.when((name == block) & held.isNotNull(), whole)
+        return cases.otherwise(value)
+
+    if not by_block:
+        return out
+    return out.withColumn("body", F.to_variant_object(F.transform_values(body, filled)))
+
+
 def catalog_defaults(catalog: Catalog, class_name: str) -> dict[str, object]:
     """Scalar defaults of a class, keyed the way :func:`with_defaults` expects."""
     return {
@@ -157,26 +218,72 @@ def explode_inline_csv(df: DataFrame, col: str, schema: str, keep: Sequence[str]
     return df.select(*keep, F.inline(csv_records(F.col(col), schema)))
 
 
+def _csv_names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(",")]
+
+
+def _csv_header(text: Column) -> Column:
+    """Trimmed names of the header line, without quotes."""
+    first = F.regexp_replace(F.get(F.split(text, r"\r?\n"), F.lit(0)), '[\ufeff"]', "")
+    return F.transform(F.split(first, ","), lambda name: F.trim(name))
+
+
+def known_csv_header(text: Column, schema: str) -> Column:
+    """True where the header line names columns of the schema only, each once."""
+    names = _csv_header(text)
+    known = F.size(F.array_except(names, F.array(*[F.lit(n) for n in _csv_names(schema)]))) == 0
+    return known & (F.size(F.array_distinct(names)) == F.size(names))
+
+
 def csv_records(text: Column, schema: str) -> Column:
-    """CSV text with a header line -> array of records; blank lines are not records."""
+    """CSV text with a header line -> array of records; blank lines are not records.
+
+    Columns are found by the name in the header, in any order; a column the header lacks is
+    NULL.  A header with a name outside the schema gives no records (:func:`known_csv_header`).
+    """
+    parts, names = schema.split(","), _csv_names(schema)
     lines = F.filter(
         F.slice(F.split(text, r"\r?\n"), F.lit(2), F.greatest(F.size(F.split(text, r"\r?\n")) - 1, F.lit(0))),
         lambda line: F.trim(line) != "",
     )
-    return F.transform(lines, lambda line: F.from_csv(line, F.lit(schema)))
+    # Read as text by position first, since the order of the columns is a matter of the row.
+    wide = ", ".join(f"c{i} string" for i in range(len(parts)))
+    places = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(_csv_header(text), n).cast("int"))
+
+    def record(line: Column) -> Column:
+        row = F.from_csv(line, F.lit(wide))
+        cells = F.array(*[row[f"c{i}"] for i in range(len(parts))])
+        return F.struct(
+            *[
+                F.when(F.get(places, F.lit(i)) > 0, F.get(cells, F.get(places, F.lit(i)) - 1))
+                .try_cast(part.split()[1])
+                .alias(name)
+                for i, (name, part) in enumerate(zip(names, parts))
+            ]
+        )
+
+    return F.when(known_csv_header(text, schema), F.transform(lines, record)).otherwise(
+        F.array().cast(f"array<struct<{','.join(f'{n}:{p.split()[1]}' for n, p in zip(names, parts))}>>")
+    )
 
 
 PROBE_MAP_FIELDS = ("name", "reference", "type", "devicestring", "subjectstring")
 
 
 def explode_probe_map(df: DataFrame, col: str, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Tab-separated probe map (first line names the columns) -> one row per probe."""
+    """Tab-separated probe map (first line names the columns, in any order) -> one row per probe."""
     lines = F.filter(F.split(F.col(col), r"\r?\n"), lambda line: F.trim(line) != "")
+    header = F.transform(F.split(F.get(lines, F.lit(0)), "\t"), lambda name: F.lower(F.trim(name)))
+
+    def cell(parts: Column, name: str) -> Column:
+        place = F.array_position(header, name).cast("int")
+        return F.when(place > 0, F.get(parts, place - 1))
+
     records = F.transform(
         F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))),
-        lambda line: F.transform(F.array(F.split(line, "\t")), lambda p: F.struct(
-            *[F.get(p, F.lit(i)).alias(name) for i, name in enumerate(PROBE_MAP_FIELDS)]
-        ))[0],
+        lambda line: F.transform(
+            F.array(F.split(line, "\t")), lambda p: F.struct(*[cell(p, name).alias(name) for name in PROBE_MAP_FIELDS])
+        )[0],
     )
     return df.select(*keep, F.inline(records))
 

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from docquarry.fixed_values import (
     BASE_CLASS,
     CANONICAL_FIELD,
+    CLASS_NAME_KEYS,
     CONCENTRATION_FIELDS,
     CURIE_PATTERN,
     CURRENT_SCHEMA_VERSION,
+    DEPENDS_ON_KEYS,
     FILE_KEYS,
+    HEADER_KEY,
     LEGACY_SCHEMA_VERSIONS,
     NUMBER_TYPES,
     PREFIXES,
@@ -613,11 +616,17 @@ def _class_error(name: str, rule: str, message: str, severity: str = "error") ->
     )
 
 
-def _header_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], schema_versions) -> list[Column]:
+def _header_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], schema_versions, schema_version_required: bool = False) -> list[Column]:
     class_name, columns = F.col("class_name"), set(df.columns)
-    out = [
-        F.when(~class_name.isin(list(names)), _class_error("class_name", "unknown_class", "class is not in the catalog"))
-    ]
+    # A missing class name is unknown too: every row falls under some rule.
+    known = F.coalesce(class_name.isin(list(names)), F.lit(False))
+    out = [F.when(~known, _class_error("class_name", "unknown_class", "class is not in the catalog"))]
+    if "unreadable" in columns:
+        out.append(F.when(F.col("unreadable").isNotNull(), _class_error("", "unreadable", "no JSON object")))
+    if "envelope_gaps" in columns:
+        for part in (HEADER_KEY, CLASS_NAME_KEYS[0], DEPENDS_ON_KEYS[0]):
+            lacks = F.coalesce(F.array_contains("envelope_gaps", part), F.lit(False))
+            out.append(F.when(lacks, _class_error(part, "V1", "the envelope lacks it")))
     abstract = [n for n in names if catalog.classes[n].abstract]
     if abstract:
         out.append(
@@ -640,6 +649,9 @@ def _header_errors(df: DataFrame, catalog: Catalog, names: Sequence[str], schema
     if "schema_version" in columns:
         bad = F.col("schema_version").isNotNull() & ~F.col("schema_version").isin(list(schema_versions))
         out.append(F.when(bad, _class_error("schema_version", "V24", "unknown schema set")))
+        if schema_version_required:
+            absent = F.col("schema_version").isNull()
+            out.append(F.when(absent, _class_error("schema_version", "V24", "no schema set is named")))
     incomplete = [n for n in names if catalog.unresolved(n)]
     if incomplete:
         out.append(
@@ -735,18 +747,21 @@ def validate(
     registry=PREFIXES,
     schema_versions: Iterable[str] = (CURRENT_SCHEMA_VERSION, *LEGACY_SCHEMA_VERSIONS),
     rules: Mapping[str, Sequence[DocumentRule]] = DOCUMENT_RULES,
+    schema_version_required: bool = False,
 ) -> DataFrame:
     """Add the ``errors`` array to every document, in one pass without a shuffle.
 
     ``classes`` names the classes known to occur (default: the whole catalog); a
     document of any other class gets the error ``unknown_class``.  Rules are built
     once per *declaring* class and apply to every class whose chain contains it.
+    Documents of the current schema set name it; older ones need not, so its absence is an
+    error only with ``schema_version_required``.
     """
     names = sorted(catalog.classes) if classes is None else sorted(classes)
     layout = DocumentLayout(df.schema)
     class_name = F.col("class_name")
     parts = _part(
-        _header_errors(df, catalog, names, list(schema_versions)) + _block_errors(df, catalog, names, layout)
+        _header_errors(df, catalog, names, list(schema_versions), schema_version_required) + _block_errors(df, catalog, names, layout)
     )
     owners = list(dict.fromkeys(owner for name in names for owner in catalog.lineage(name)))
     for owner in owners:

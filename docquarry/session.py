@@ -7,10 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Largest number of rows a side may have before it is left to a shuffle join.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(app: str = "docquarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on (UTC, AQE with skew handling)."""
     builder = SparkSession.builder.appName(app)
@@ -31,11 +27,15 @@ def build_session(app: str = "docquarry", master: str | None = None, **conf: str
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (tests, laptops) is a local one made and set.
+    Where that setting is absent, a local folder is made and set on a local master; on a
+    cluster, whose executors would each write to their own disk, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.getCheckpointDir():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/docquarry/{purpose}-{uuid.uuid4().hex}"
@@ -48,12 +48,6 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows."""
-    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    return F.broadcast(df) if seen <= max_rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy narrow work on an input with few splits.
 

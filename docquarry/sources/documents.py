@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquarry.fixed_values import (
+    BASE_CLASS,
     CLASS_NAME_KEYS,
     CLASS_VERSION_KEYS,
     DEPENDENCY_ID_KEYS,
@@ -16,9 +17,12 @@ from docquarry.fixed_values import (
     DEPENDS_ON_KEYS,
     FILE_KEYS,
     HEADER_KEY,
+    NUMBER_TYPES,
     SUPERCLASS_KEYS,
+    TEXT_TYPES,
 )
 from docquarry.functions.scalars import parse_datestamp
+from docquarry.functions.values import PROMOTED, VariantPlace
 
 HEADER_COLUMNS = (
     "id",
@@ -105,24 +109,46 @@ def normalise_wire_shape(df: DataFrame, doc: str = "doc") -> DataFrame:
         ).alias("lineage"),
         depends_on_entries(whole).alias("depends_on"),
         F.to_variant_object(blocks).alias("body"),
+        envelope_gaps(whole).alias("envelope_gaps"),
         *[F.col(c) for c in df.columns if c != doc],
     )
 
 
 def read_documents(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """JSON Lines (splittable), or one document per file with ``multi_line``."""
-    raw = (
-        spark.read.option("singleVariantColumn", "doc")
-        .option("multiLine", str(multi_line).lower())
-        .option("recursiveFileLookup", "true")
-        .json(path)
-    )
-    return normalise_wire_shape(raw)
+    """JSON Lines (splittable), or one document per file with ``multi_line``.
+
+    ``source_file`` names the file of each document; text that is no JSON object stays, as a
+    row of its own, in ``unreadable``.  Blank lines are no documents.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=multi_line)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("source_file"))
+    return documents_from_text(lines.where(F.trim("value", F.lit(" \t\r\n")) != ""))
 
 
 def documents_from_text(df: DataFrame, col: str = "value") -> DataFrame:
-    """Documents held as JSON text in a table; unparsable text keeps NULL header columns."""
-    return normalise_wire_shape(df.select(F.try_parse_json(col).alias("doc"), *[c for c in df.columns if c != col]))
+    """Documents held as JSON text in a table.
+
+    Text that is no JSON object is kept in ``unreadable`` (NULL for all others), with NULL
+    header columns; :func:`docquarry.operators.validation.validate` rejects such rows.
+    """
+    parsed = df.select(
+        F.try_parse_json(col).alias("doc"), F.col(col).alias("__text"), *[c for c in df.columns if c != col]
+    )
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+    kept = parsed.withColumn("unreadable", F.when(~is_object, F.coalesce("__text", F.lit("")))).drop("__text")
+    return normalise_wire_shape(kept)
+
+
+def envelope_gaps(doc: Column) -> Column:
+    """Parts of the envelope that a document lacks: header, class name, dependencies."""
+    header = f'$["{HEADER_KEY}"]'
+    has = {
+        HEADER_KEY: [header, *_either("$", CLASS_NAME_KEYS)],
+        CLASS_NAME_KEYS[0]: _either(header, CLASS_NAME_KEYS) + _either("$", CLASS_NAME_KEYS),
+        DEPENDS_ON_KEYS[0]: _either("$", DEPENDS_ON_KEYS),
+    }
+    found = {k: F.coalesce(*[F.try_variant_get(doc, p, "variant") for p in paths]) for k, paths in has.items()}
+    return F.array_compact(F.array(*[F.when(v.isNull(), F.lit(k)) for k, v in found.items()]))
 
 
 def block_keys(df: DataFrame) -> Column:
@@ -136,16 +162,33 @@ def write_corpus(
 ) -> None:
     """Persist a corpus partitioned by class.
 
-    ``promote`` lifts queryable fields out of the VARIANT into typed columns
-    (column -> (dot path below body, type)), so that their filters reach the scan.
+    ``promote`` lifts fields out of the VARIANT into typed columns (column -> (dot path below
+    body, type)), so that their filters reach the scan; :func:`queryable_columns` derives it
+    from a catalog.  A value of another type than asked stays in the body only.  The column
+    remembers its path, and queries on that path then use it.
     """
     out = df
     for name, (field_path, as_type) in (promote or {}).items():
-        steps = "".join(f'["{s}"]' for s in field_path.split("."))
-        out = out.withColumn(name, F.try_variant_get("body", "$" + steps, as_type))
+        place = VariantPlace(F.col("body"))
+        for step in field_path.split("."):
+            place = place.child(step)
+        value = {"string": place.text, "boolean": place.flag}.get(as_type, place.number)()
+        out = out.withColumn(name, value.cast(as_type))
+        out = out.withMetadata(name, {PROMOTED: field_path})
     out.write.mode(mode).partitionBy("class_name").parquet(path)
 
 
+def queryable_columns(catalog, classes=None) -> dict[str, tuple[str, str]]:
+    """``promote`` for the scalar fields that the catalog declares queryable."""
+    types = {**dict.fromkeys(TEXT_TYPES, "string"), **dict.fromkeys(NUMBER_TYPES, "double"), "boolean": "boolean"}
+    out = {}
+    for name in sorted(catalog.classes if classes is None else classes):
+        for block, f in catalog.placed_fields(name):
+            if f.queryable and f.type in types and block != BASE_CLASS:
+                out[f"{block}__{f.name}"] = (f"{block}.{f.name}", types[f.type])
+    return out
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docquarry.operators.edges import missing_targets
@@ -65,39 +65,50 @@ def stream_validate(
     return run(validated, write, checkpoint, **kw)
 
 
-def drop_redelivered(stream: DataFrame, horizon: str, salts: int = 16) -> DataFrame:
-    """Drop documents delivered again within the horizon.
+def content_hash(df: DataFrame) -> Column:
+    """Hash of all columns of a row, whatever their types."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
 
-    The first pass deduplicates per (id, task), so the copies of one hot id meet
-    in the second pass as at most ``salts`` rows per batch instead of all of them.
-    """
-    salted = stream.withWatermark("datestamp", horizon).withColumn(
-        "__salt", F.pmod(F.spark_partition_id(), F.lit(salts))
-    )
-    once = salted.dropDuplicatesWithinWatermark(["id", "__salt"]).drop("__salt")
-    return once.dropDuplicatesWithinWatermark(["id"])
+
+#: Ledger of the stored ids, beside the sink: one narrow table instead of whole documents.
+LEDGER = "id string, content string"
 
 
 def stream_dedupe_ids(
-    stream: DataFrame, horizon: str, sink_path: str, collision_path: str, checkpoint: str, **kw
+    stream: DataFrame, sink_path: str, collision_path: str, ledger_path: str, checkpoint: str, **kw
 ) -> StreamingQuery:
-    """Redeliveries within the horizon are dropped; collisions with stored ids are reported.
-
-    A document whose id is stored already is written to the collision table instead
-    of silently vanishing.
+    """Redeliveries are dropped; other documents under an id that is taken are reported.
+
+    Nothing depends on the dates inside documents, which are old by nature.  A redelivery has
+    the id and the content of a stored document or of another of its batch.  Of different
+    documents that share a new id in one batch that of the smallest hash is stored; the others,
+    and those whose id is stored with other content, go to the collision table.  Copies of a
+    hot id collapse map-side.  Each batch looks up its own ids in the ledger of (id, content);
+    adaptive execution broadcasts the batch's ids where they are few bytes.
     """
-    schema = stream.schema
+    schema = T.StructType.fromDDL(LEDGER)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        ids = read_sink(batch.sparkSession, sink_path, schema, before=batch_id)
-        ids = ids.select(F.col("id").alias("__stored")).distinct()
-        known = F.col("id") == F.col("__stored")
-        batch.join(ids, known, "left_semi").write.mode("overwrite").parquet(_batch_folder(collision_path, batch_id))
-        batch.join(ids, known, "left_anti").write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
-        batch.unpersist()
+        spark = batch.sparkSession
+        once = batch.withColumn("__content", content_hash(batch)).dropDuplicates(["id", "__content"])
+        once = once.withColumn("__id", F.coalesce("id", F.lit(""))).persist()
+        stored = read_sink(spark, ledger_path, schema, before=batch_id)
+        stored = stored.join(once.select(F.col("__id").alias("id")), "id", "left_semi").select("id", F.col("content").alias("__stored"))
+        first = once.groupBy("__id").agg(F.min("__content").alias("__first")).join(stored, F.col("__id") == F.col("id"), "left")
+        held = first.select("__id", F.coalesce("__stored", "__first").alias("__held"), F.col("__stored").isNotNull().alias("__known"))
+        judged = once.join(held, "__id").persist()
+        same = F.col("__content") == F.col("__held")
+        out = judged.drop("__id", "__content", "__held", "__known")
+        new = judged.where(same & ~F.col("__known"))
+        new.select(*out.columns).write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
+        judged.where(~same).select(*out.columns).write.mode("overwrite").parquet(_batch_folder(collision_path, batch_id))
+        ledger = new.select(F.col("__id").alias("id"), F.col("__content").alias("content"))
+        ledger.write.mode("overwrite").parquet(_batch_folder(ledger_path, batch_id))
+        judged.unpersist()
+        once.unpersist()
 
-    return run(drop_redelivered(stream, horizon), write, checkpoint, **kw)
+    return run(stream, write, checkpoint, **kw)
 
 
 def stream_integrity(
@@ -115,8 +126,12 @@ def stream_integrity(
         waiting = _read(spark, _batch_folder(pending_path, batch_id - 1), schema)
         staged = batch.unionByName(waiting).persist()
         accepted = read_sink(spark, sink_path, schema, before=batch_id)
-        ids = stored().select("id").unionByName(accepted.select("id")).unionByName(staged.select("id"))
-        open_ids = missing_targets(dependencies(staged), ids).select("id").distinct()
+        edges = dependencies(staged)
+        # Only the ids that this batch refers to are looked for in the store.
+        asked = edges.select(F.col("document_id").alias("id")).distinct()
+        ids = stored().select("id").unionByName(accepted.select("id")).join(asked, "id", "left_semi")
+        ids = ids.unionByName(staged.select("id"))
+        open_ids = missing_targets(edges, ids).select("id").distinct()
         staged.join(open_ids, "id", "left_anti").write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
         staged.join(open_ids, "id", "left_semi").write.mode("overwrite").parquet(_batch_folder(pending_path, batch_id))
         staged.unpersist()

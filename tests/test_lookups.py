@@ -56,8 +56,47 @@ def test_directory_paths(tree):
         ("C", "analysis_output", 0),
         ("D", "raw_data/metadata", 1),
     ]
-    with pytest.raises(ValueError, match="deeper"):
-        d.directory_tree(d.directory_edges(tree), max_depth=1)
+    # a repeated id that stands below itself is placed once
+    edges = d.directory_edges(tree).select("id", "dirname", "owner_id", "parent_id")
+    again = edges.where("id = 'D'").withColumn("id", F.lit("B")).withColumn("parent_id", F.lit("D"))
+    assert d.directory_tree(edges.unionByName(again)).count() == 3
+
+
+def test_directories_of_an_open_corpus(tree):
+    opened = d.directory_edges(tree.drop("directory")).collect()
+    assert sorted(opened) == sorted(d.directory_edges(tree).collect()) and all(r["dirname"] for r in opened)
+
+
+def test_walk_does_not_grow_with_its_steps(spark):
+    docs = t.orders(spark, "/root/testdata/sf0.001")
+
+    def joins(steps):
+        return e.walk(docs, *[(docs, "customer_id")] * steps)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(2) == joins(5) <= 2
+
+
+def test_csv_columns_go_by_name(spark):
+    rows = spark.createDataFrame(
+        [("1", "a,b\n1,x\n"), ("2", "b,a\ny,2"), ("3", "b,other\ny,2"), ("4", ""), ("5", None), ("6", "b\nz")], "id string, csv string"
+    )
+    from docquarry.operators.structure import explode_inline_csv
+
+    got = sorted((tuple(r) for r in explode_inline_csv(rows, "csv", "a double, b string").collect()), key=str)
+    assert got == [("1", 1.0, "x"), ("2", 2.0, "y"), ("6", None, "z")]
+
+
+def test_promoted_column_answers_for_its_type_only(spark, documents, tmp_path):
+    from docquarry.plans.query import Q, find
+
+    docs = documents(*[wire("base", {"party": {"acctbal": v}}, id=f"{i:033d}") for i, v in enumerate([9000, "9000", 9000.5, True, None])])
+    path = str(tmp_path / "promoted")
+    write_corpus(docs, path, promote={"balance": ("party.acctbal", "double")})
+    stored = spark.read.parquet(path)
+    for query in (Q("party.acctbal", "greaterthan", 5000), Q("party.acctbal", "exact_string", "9000"), Q("party.acctbal", "hasfield")):
+        assert sorted(r.id for r in find(stored, query).collect()) == sorted(r.id for r in find(docs, query).collect())
+    plan = find(stored, Q("party.acctbal", "greaterthan", 5000))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(balance,5000.0)" in plan
 
 
 def test_manifest_file_stems(spark, tmp_path):

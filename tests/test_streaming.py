@@ -28,19 +28,23 @@ def test_dedupe_and_collisions(spark, tmp_path):
 
     def go():
         ingest.stream_dedupe_ids(
-            _stream(spark, source), "1 hour", f"{root}/sink", f"{root}/collisions", f"{root}/state"
+            _stream(spark, source), f"{root}/sink", f"{root}/collisions", f"{root}/ledger", f"{root}/state"
         ).awaitTermination()
 
     _drop(spark, source, "a", [("1", "2024-01-01 00:00:00", ""), ("1", "2024-01-01 00:00:00", ""), ("2", "2024-01-01 00:10:00", "")])
     go()
     assert _ids(spark, f"{root}/sink") == ["1", "2"]
-    # delivered again within the horizon: dropped; far beyond it: an id collision, reported
+    # the same document again: dropped; another one under a stored id: reported
     _drop(spark, source, "b", [("2", "2024-01-01 00:10:00", ""), ("3", "2024-01-05 00:00:00", "")])
     go()
     _drop(spark, source, "c", [("1", "2024-01-05 00:00:00", ""), ("4", "2024-01-05 01:00:00", "")])
     go()
-    assert _ids(spark, f"{root}/sink") == ["1", "2", "3", "4"]
-    assert _ids(spark, f"{root}/collisions") == ["1"]
+    # an old document arrives late, and two different ones share a new id
+    _drop(spark, source, "d", [("5", "2019-01-01 00:00:00", ""), ("6", "2024-01-01 00:00:00", "x"), ("6", "2024-01-01 00:00:00", "y"), (None, "2024-01-01 00:00:00", "")])
+    go()
+    sink, collisions = ([r["id"] for r in ingest.read_sink(spark, f"{root}/{x}", spark.createDataFrame([], SCHEMA).schema).collect()] for x in ("sink", "collisions"))
+    assert sorted(sink, key=str) == ["1", "2", "3", "4", "5", "6", None]
+    assert sorted(collisions) == ["1", "6"]
 
 
 def test_integrity_waits_for_the_parent(spark, tmp_path):
