@@ -12,6 +12,8 @@ which can be undone exactly and leaves no control string in a text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docquarry.session import cut_lineage
@@ -55,35 +57,40 @@ def paths(messages: DataFrame) -> DataFrame:
         up.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct(), ["tree", "node"], "left_anti"
     )
     up = cut_lineage(up, "chat-edges")
-    # jump: node -> ancestor ``reach`` steps up (null: past the root), with the steps and score on the way
+    # One row per node: the ancestor ``far`` some steps up (null: past the root, and the score is
+    # that of the whole way).  Nodes that are past their root take no part in later rounds.
     jump = up.select("tree", "node", F.col("parent").alias("far"), F.lit(1).cast("long").alias("steps"), "score")
-    # reached: leaf -> nodes on its path found so far
+    done, open_ = [jump.filter("far is null")], jump.filter("far is not null")
+    # leaf -> nodes on its path found so far
     reached = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("depth"))
-    reached = cut_lineage(reached, "chat-leaves")
+    found = [cut_lineage(reached, "chat-leaves")]
     longest = 2 * m.count()
     while True:
-        step = jump.select("tree", "node", F.col("far").alias("__far"), F.col("steps").alias("__steps"))
+        state = open_.agg(F.count(F.lit(1)).alias("n"), F.max("steps").alias("s")).first()
+        if not state["n"] or state["s"] > longest:  # what is left then runs in circles
+            break
+        step = open_.select("tree", "node", F.col("far").alias("__far"), F.col("steps").alias("__steps"))
         more = (
-            reached.join(step, ["tree", "node"])
-            .filter("__far is not null")
+            reduce(DataFrame.unionByName, found)
+            .join(step, ["tree", "node"])
             .select("tree", "leaf", F.col("__far").alias("node"), (F.col("depth") + F.col("__steps")).alias("depth"))
         )
-        reached = cut_lineage(reached.unionByName(more), "chat-paths")
-        second = jump.select("tree", F.col("node").alias("far"), F.col("far").alias("__far"), F.col("steps").alias("__more"), F.col("score").alias("__score"))
-        jump = jump.join(second, ["tree", "far"], "left").select(
+        found.append(cut_lineage(more, "chat-paths"))
+        second = reduce(DataFrame.unionByName, [*done, open_]).select(
+            "tree", F.col("node").alias("far"), F.col("far").alias("__far"), F.col("steps").alias("__more"), F.col("score").alias("__score")
+        )
+        further = open_.join(second, ["tree", "far"]).select(
             "tree",
             "node",
             F.col("__far").alias("far"),
-            (F.col("steps") + F.coalesce("__more", F.lit(0))).alias("steps"),
-            (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"),
+            (F.col("steps") + F.col("__more")).alias("steps"),
+            (F.col("score") + F.col("__score")).alias("score"),
         )
-        jump = cut_lineage(jump, "chat-jumps")
-        open_ = jump.filter("far is not null").agg(F.count(F.lit(1)).alias("n"), F.max("steps").alias("s")).first()
-        if not open_["n"]:
-            break
-        if open_["s"] > longest:  # what is left runs in circles
-            break
-    total = jump.filter("far is null").select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"))
+        further = cut_lineage(further, "chat-jumps")
+        done.append(further.filter("far is null"))
+        open_ = further.filter("far is not null")
+    reached = reduce(DataFrame.unionByName, found)
+    total = reduce(DataFrame.unionByName, done).select("tree", F.col("node").alias("leaf"), F.col("score").alias("path_score"))
     length = F.max("depth").over(W.partitionBy("tree", "leaf"))
     return reached.join(total, ["tree", "leaf"]).select(
         "tree", "leaf", "path_score", (length - F.col("depth")).alias("place"), "node"
