@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, ORDER_ID, TEXT_ID, query, uid_sql
-from docquarry.plans.query import Corpus, Q, all_, and_, find, none_, or_, quantity
+from docquarry.plans.query import all_, and_, Corpus, find, matches, none_, or_, Q, quantity
 from docquarry.sources import tables as t
 
 
@@ -241,9 +241,9 @@ _COUNT_ALL = " + ".join(
 @query("all_and_none", f"SELECT {_COUNT_ALL} AS n_all, CAST(0 AS BIGINT) AS n_none")
 def all_and_none(spark, folder):
     corpus = t.open_corpus(spark, folder)
-    everything = find(corpus, all_()).agg(F.count(F.lit(1)).alias("n_all"))
-    nothing = find(corpus, none_()).agg(F.count(F.lit(1)).alias("n_none"))
-    return everything.join(nothing, F.lit(True))
+    return corpus.agg(
+        F.count_if(matches(corpus, all_())).alias("n_all"), F.count_if(matches(corpus, none_())).alias("n_none")
+    )
 
 
 @query(

@@ -412,3 +412,49 @@ def tuning_curve_sizes(spark, folder):
 )
 def version_impact(spark, folder):
     return v.version_impact(t.events(spark, folder, heavy=True), _EVENTS, ["event"])
+
+
+_SAMPLE = Catalog.from_definitions(
+    [
+        t.BASE,
+        t.define(
+            "sample",
+            [t.define_field("wait", "duration"), t.define_field("term", "ontology_term")],
+            depends_on=[t.define_dependency("part_#", multiple=True)],
+        ),
+    ]
+)
+
+
+@query(
+    "shape_rules",
+    """SELECT rule, field, count(*) AS n FROM (
+         SELECT CASE c_custkey % 4 WHEN 1 THEN 'V15' WHEN 2 THEN 'V19' ELSE 'V22' END AS rule,
+                CASE c_custkey % 4 WHEN 1 THEN 'wait' WHEN 2 THEN 'term' ELSE 'part_#' END AS field
+         FROM customer WHERE c_custkey % 4 <> 0) GROUP BY rule, field""",
+)
+def shape_rules(spark, folder):
+    """Quantities and terms that lack a part, and a numbered dependency that is blank."""
+    rows, kind = t.table(spark, folder, "customer", heavy=True), F.col("c_custkey") % 4
+    wait = t.duration(F.col("c_custkey").cast("double"), F.lit("minute"))
+    term = F.struct(F.lit("uberon:1").alias("node"), F.lit("part").alias("name"))
+    docs = t.document(
+        rows,
+        "sample",
+        t.uid("sample:", F.col("c_custkey")),
+        {"wait": wait, "term": term, "kind": kind},
+        depends_on=F.array(
+            *[F.struct(F.lit(f"part_{i}").alias("name"), F.when((kind == 3) & (i == 2), "").otherwise("x").alias("document_id")) for i in (1, 2)]
+        ),
+        catalog=_SAMPLE,
+    )
+    base = F.struct("id", "session_id", "name", F.col("datestamp_raw").alias("datestamp")).alias("base")
+    kind = F.col("kind")
+    body = (
+        F.when(kind == 1, F.to_variant_object(F.struct(base, F.struct(F.col("wait").dropFields("source_unit").alias("wait"), "term").alias("sample"))))
+        .when(kind == 2, F.to_variant_object(F.struct(base, F.struct("wait", F.col("term").dropFields("name").alias("term")).alias("sample"))))
+        .otherwise(F.to_variant_object(F.struct(base, F.struct("wait", "term").alias("sample"))))
+    )
+    docs = compute_once(docs.withColumn("body", body).drop("wait", "term", "kind"), "body")
+    errors = v.error_rows(v.validate(docs, _SAMPLE)).where("severity = 'error'")
+    return errors.groupBy("rule", "field").agg(F.count(F.lit(1)).alias("n"))
