@@ -54,7 +54,7 @@ def exact_dedup(
         .join(F.broadcast(hot), "__hash", "left")  # at most 8 * parts rows
         .withColumn(
             "__salt",
-            F.when(F.col("__hot"), F.pmod(F.xxhash64(F.col("__id"), F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int"),
+            F.when(F.col("__hot"), F.pmod(F.xxhash64("__id", "__text"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int"),
         )
         .drop("__hot")
         .repartitionByRange("__prefix", "__hash", "__salt")
