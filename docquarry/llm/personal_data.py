@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docquarry.operators.steps import let
 from docquarry.session import cut_lineage
 
 # Kinds in the order of the result, and the plain form of each pattern.
@@ -41,6 +42,8 @@ CONFIDENT = 0.8
 SUPPORT = 4
 ROUNDS = 2
 
+#: Matches whose positions are added up at a time.
+_AT_ONCE = 256
 _HITS = "array<struct<start:int,stop:int,value:string,left:string>>"
 
 
@@ -52,8 +55,38 @@ def hits(text: Column, pattern: str, needs: str) -> Column:
     found = F.zip_with(
         F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda before, value: F.struct(before.alias("before"), value.alias("value"))
     )
-    placed = F.aggregate(
-        F.filter(found, lambda x: x["value"].isNotNull()),
+
+    # Positions add up within blocks of matches first and then over blocks, so that a text with
+    # very many matches doesn't copy its list once for each of them.
+    def in_order(whole: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(whole) - 1, F.lit(0)), F.lit(_AT_ONCE))
+        parts = F.transform(starts, lambda i: _placed(F.slice(whole, i + 1, _AT_ONCE)))
+        joined = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_HITS}>").alias("parts")),
+            lambda acc, p: F.struct(
+                (acc["at"] + p["at"]).alias("at"), F.concat(acc["parts"], F.array(_moved(p["hits"], acc["at"]))).alias("parts")
+            ),
+        )
+        return F.flatten(joined["parts"])
+
+    placed = let(F.filter(found, lambda x: x["value"].isNotNull()), in_order)
+    return F.when(text.rlike(needs), placed).otherwise(F.array().cast(_HITS))
+
+
+def _moved(hits: Column, by: Column) -> Column:
+    return F.transform(
+        hits,
+        lambda x: F.struct(
+            (x["start"] + by).alias("start"), (x["stop"] + by).alias("stop"), x["value"].alias("value"), x["left"].alias("left")
+        ),
+    )
+
+
+def _placed(found: Column) -> Column:
+    """(at, hits) of matches in a row: their positions from the first piece on, and the whole length."""
+    return F.aggregate(
+        found,
         F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("hits")),
         lambda acc, x: F.struct(
             (acc["at"] + F.char_length(x["before"]) + F.char_length(x["value"])).alias("at"),
@@ -69,8 +102,7 @@ def hits(text: Column, pattern: str, needs: str) -> Column:
                 ),
             ).alias("hits"),
         ),
-    )["hits"]
-    return F.when(text.rlike(needs), placed).otherwise(F.array().cast(_HITS))
+    )
 
 
 def _digits(value: Column) -> Column:
