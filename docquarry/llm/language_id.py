@@ -9,12 +9,12 @@ time.  Words are taken in lower case.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import is_training, mix, slices
@@ -27,7 +27,7 @@ PART = 40
 SMOOTHING = 2000.0
 #: Probability of a code point that is no piece.
 UNKNOWN = 1e-9
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, object] = {}
 

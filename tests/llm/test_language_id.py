@@ -20,6 +20,7 @@ def test_odd_rows(odd, none):
     by = {r.doc_id: r.lang_pred for r in rows}
     assert [by[i] for i in (1, 2, 3)] == ["und"] * 3 and by[4] == "en"
     assert g.language_ids(none, VOCABULARY).count() == 0
+    assert g._LETTER.search("² ½ 7 _ !") is None and g._LETTER.search("ß")
     nothing = g.language_ids(odd.drop("lang").selectExpr("*", "CAST(NULL AS string) AS lang"), VOCABULARY)
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
 
