@@ -282,3 +282,23 @@ def probe_map(spark, folder):
     )
     rows = t.table(spark, folder, "supplier").select(F.col("s_name").alias("id"), lines.alias("map"))
     return s.explode_probe_map(rows, "map")
+
+
+@query(
+    "typed_class",
+    f"""SELECT {EVENT_ID} AS id, event_type, user_id, value, value AS source_value,
+               CASE event_type WHEN 'view' THEN 'second' WHEN 'click' THEN 'minute' ELSE 'hour' END AS source_unit,
+               CAST(extract(day FROM ts) AS DOUBLE) AS day FROM events""",
+)
+def typed_class(spark, folder):
+    """Events, mixed with customers in an open corpus, as typed columns again."""
+    docs = t.opened(t.events(spark, folder, heavy=True)).unionByName(t.opened(t.customers(spark, folder)))
+    return s.typed(docs, t.CATALOG, "event").select(
+        "id",
+        "event.event_type",
+        "event.user_id",
+        "event.value",
+        "event.elapsed.source_value",
+        "event.elapsed.source_unit",
+        F.get(F.get("event.slot", F.lit(0)), F.lit(0)).alias("day"),
+    )

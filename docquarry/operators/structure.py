@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from docquarry.fixed_values import BASE_CLASS, CANONICAL_FIELD, TEXT_TYPES, UID_TYPE
 from docquarry.functions.scalars import split_list
 from docquarry.functions.values import DocumentLayout, VariantPlace
-from docquarry.sources.catalog import Catalog
+from docquarry.sources.catalog import Catalog, FieldDef
 from docquarry.sources.documents import block_keys
 
 
@@ -106,6 +107,53 @@ def _explode_open(
     return rows.select(*kept, *[F.try_variant_get("element", f'$["{n}"]', t).alias(n) for n, t in fields.items()])
 
 
+def _spark_type(f: FieldDef) -> str:
+    """Spark type of a declared field; VARIANT where the declaration leaves it open."""
+    if f.type in CANONICAL_FIELD:
+        one = f"struct<{CANONICAL_FIELD[f.type]}:double,source_unit:string,source_value:double,approximate:boolean>"
+    elif f.type == "ontology_term":
+        one = "struct<node:string,name:string>"
+    elif f.type == "matrix":
+        return "array<array<double>>"
+    elif f.type == "structure" and f.fields:
+        one = "struct<" + ",".join(f"`{x.name}`:{_spark_type(x)}" for x in f.fields) + ">"
+    elif f.type in (*TEXT_TYPES, UID_TYPE, "timestamp"):
+        one = "string"
+    else:
+        one = {"integer": "bigint", "double": "double", "boolean": "boolean"}.get(f.type, "variant")
+    return one if f.scalar else f"array<{one}>"
+
+
+def _typed_value(place: VariantPlace, f: FieldDef) -> Column:
+    """The value in its declared type; NULL where the document holds another one."""
+    kind = _spark_type(f)
+    if kind == "string":
+        return place.text()
+    if kind in ("bigint", "double"):
+        return place.number().try_cast(kind)
+    if kind == "boolean":
+        return place.flag()
+    if f.type == "matrix":
+        row = place.vector()
+        return F.coalesce(place.matrix(), F.when(row.isNotNull(), F.array(row)))
+    return F.try_variant_get(place.root, place.path, kind)
+
+
+def typed(df: DataFrame, catalog: Catalog, class_name: str) -> DataFrame:
+    """Documents of one class, their blocks as typed columns instead of the open body.
+
+    Every operator that reads typed blocks runs on the result.  The layout comes from the
+    catalog, so no pass has to look at the data.
+    """
+    blocks: dict[str, list[Column]] = {}
+    for block, f in catalog.placed_fields(class_name):
+        if block != BASE_CLASS:
+            place = VariantPlace(F.col("body")).child(block).child(f.name)
+            blocks.setdefault(block, []).append(_typed_value(place, f).alias(f.name))
+    kept = [c for c in df.columns if c != "body"]
+    return df.where(F.col("class_name") == class_name).select(*kept, *[F.struct(*fs).alias(b) for b, fs in blocks.items()])
+
+
 def dependencies(df: DataFrame, *keep: str) -> DataFrame:
     """The edge table; ``x_3`` splits into stem ``x`` and index 3."""
     edges = df.select("id", *keep, F.inline("depends_on").alias("dep_name", "document_id"))
