@@ -23,14 +23,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from docquarry.llm.common import slices
 from docquarry.session import work_folder
 
-#: Chunks and words whose ids a worker keeps; a table is emptied when it is full.
-KEPT_CHUNKS = 250_000
+#: Chunks whose ids a worker keeps; a full table is reduced to what is in use.
+KEPT_CHUNKS = 450_000
 #: Longer words, in bytes, go to the tokenizer library itself.
 LONGEST_WORD = 32
 #: Space other than 9 to 13 and 32, and controls that some libraries take for space.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Characters of which normalisation and lower case need no context.
 _PLAIN = re.compile("[\x21-\x7e\xa1-\xff]+")
+_PLAIN_TEXT = re.compile("[\t-\r\x20-\x7e\xa1-\xff]*")
+#: A stop or comma right after another mark; elsewhere a blank before it changes no piece.
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,]")
 _NONE = np.iinfo(np.int32).max
 
 
@@ -78,7 +81,6 @@ class WordBpe:
             if self.slots[at] == -1:
                 self.slots[at], self.ranks[at] = key, rank
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _slot(self, key):
         return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
@@ -138,40 +140,62 @@ class WordBpe:
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        """Fill the table of chunks."""
-        pieces: dict[str, list[str]] = {}
-        for chunk in missing:
-            if _PLAIN.fullmatch(chunk):
-                pieces[chunk] = self.match(chunk.lower())
-            else:
-                self.chunks[chunk] = self._library(chunk)
-        if len(self.words) > KEPT_CHUNKS:
-            self.words.clear()
-        new = list({w for p in pieces.values() for w in p if w not in self.words})
-        for short, some in ((True, [w for w in new if len(w) <= 8]), (True, [w for w in new if 8 < len(w) <= 15]), (False, [w for w in new if len(w) > 15])):
-            if not short:
-                for w in [w for w in some if len(w.encode()) > LONGEST_WORD]:
-                    self.words[w] = self._library(w)
-                some = [w for w in some if w not in self.words]
+    def _pieces(self, chunk: str) -> list[str]:
+        """What the pattern finds in a plain chunk; words, and words before a stop, without it."""
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.match(low)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Fill the table of chunks.  A piece is a chunk too, with the same ids."""
+        chunks = self.chunks
+        plain = [c for c in missing if _PLAIN.fullmatch(c)]
+        if len(plain) < len(missing):
+            for c in missing.difference(plain):
+                chunks[c] = self._library(c)
+        pieces = list(map(self._pieces, plain))
+        new = {w for p in pieces for w in p}.difference(chunks)
+        raw = [(w, w.encode()) for w in new]
+        for least, most in ((1, 8), (9, 16), (17, LONGEST_WORD)):
+            some = [x for x in raw if least <= len(x[1]) <= most]
             for at in range(0, len(some), 20_000):
                 part = some[at : at + 20_000]
-                self.words.update(zip(part, self._merge_all([w.encode() for w in part])))
-        for chunk, found in pieces.items():
-            self.chunks[chunk] = self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+                chunks.update(zip([w for w, _ in part], self._merge_all([b for _, b in part])))
+        for w, b in raw:
+            if len(b) > LONGEST_WORD:
+                chunks[w] = self._library(w)
+        for chunk, found in zip(plain, pieces):
+            if len(found) == 1:
+                chunks[chunk] = chunks[found[0]]
+            else:
+                chunks[chunk] = b"".join([chunks[w] for w in found])
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """Parts of a text that are coded apart, as few different ones as can be."""
+        if _PLAIN_TEXT.fullmatch(text):
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(",", " ,").replace(".", " .")
+        elif _ODD_SPACE.search(text):
+            return None
+        return text.split()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit integers."""
-        parts = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        missing = {c for p in parts if p for c in p if c not in self.chunks}
-        if len(self.chunks) + len(missing) > KEPT_CHUNKS:
-            self.chunks.clear()
-            missing = {c for p in parts if p for c in p}
-        if len(missing) > KEPT_CHUNKS and len(texts) > 1:
-            middle = len(texts) // 2
-            return self.encode_all(texts[:middle]) + self.encode_all(texts[middle:])
-        self._learn(list(missing))
-        return [self._library(t) if p is None else b"".join(map(self.chunks.__getitem__, p)) for t, p in zip(texts, parts)]
+        parts = [self._chunks(t) for t in texts]
+        used = set().union(*filter(None, parts))
+        missing = used.difference(self.chunks)
+        if len(self.chunks) + len(missing) > KEPT_CHUNKS:  # what this call uses stays
+            self.chunks = {c: self.chunks[c] for c in used.difference(missing)}
+            if len(used) > KEPT_CHUNKS and len(texts) > 1:
+                middle = len(texts) // 2
+                return self.encode_all(texts[:middle]) + self.encode_all(texts[middle:])
+        self._learn(missing)
+        ids = self.chunks.__getitem__
+        return [self._library(t) if p is None else b"".join(map(ids, p)) for t, p in zip(texts, parts)]
 
 
 _coders: dict[str, WordBpe] = {}
