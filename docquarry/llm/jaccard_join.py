@@ -3,10 +3,15 @@
 Texts that are equal are one node.  In each of several runs every node picks a few of its
 shingles with a shared hash, at a rate of ``1 / similarity`` per set, and enters one bucket for
 each: two sets as similar as asked share one bucket of a run on average, and unlike sets hardly
-ever meet.  Buckets that stay large are split again on further sampled shingles, unless that
-doesn't lessen the work (all their sets are alike).  Small buckets are compared pair by pair,
-large ones in blocks, all with the whole shingle sets; a pair that several buckets hold counts
-in the least of them only.  The number of runs follows from the target recall.
+ever meet.  Large buckets are split again on further sampled shingles, unless that doesn't
+lessen the work (all their sets are alike).  In small buckets sketches of two bits from each of
+64 minima are compared pair by pair first; sets without a partner there leave.  What is left is
+compared with the whole shingle sets, in blocks; a pair that several buckets hold counts in the
+least of them only.  The number of runs follows from the target recall.
+
+Shingle sets are built a second time only for the texts that are left, and those texts are not
+shuffled: a bit map of fixed size, which says for a hash of the text whether it may be wanted,
+goes to all tasks, and an exact join on the sets follows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,9 @@ from docquarry.session import cut_lineage
 
 SHINGLE = 5
 #: Members of a bucket that is compared without being split.
-SMALL = 128
+SMALL = 2048
+#: Large buckets that are sent to all tasks, at most (16 bytes each).
+FEW_BUCKETS = 50_000
 #: Rounds of splitting.
 DEPTH = 2
 #: Shingles picked in a split, as a multiple of the rate of a run.
@@ -32,6 +39,11 @@ SPLIT_RATE = 2.0
 #: Members and shingles of one block of a large bucket.
 BLOCK_ROWS = 1024
 BLOCK_TOKENS = 400_000
+#: Minima of a sketch, and how many of them agree at least (two bits each) for a similarity of
+#: 0.8: the expected number is 54.4 with a deviation of 2.9, so 5 deviations are allowed.
+MINIMA, DEVIATIONS = 64, 5.0
+#: Bits of the map of wanted texts (4 MB).
+MAP_BITS = 1 << 25
 
 
 def runs_for(recall: float) -> int:
@@ -74,8 +86,54 @@ def _token_lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def sketches(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words per set with one bit each of MINIMA minima (sets without tokens: 0)."""
+    some = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    low, high = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    factors = mix(np.arange(1001, 1001 + MINIMA, dtype=np.uint64)) | np.uint64(1)
+    for i, factor in enumerate(factors if len(some) else ()):
+        least = mix(np.minimum.reduceat(tokens * factor, starts))
+        low[some] |= (least & np.uint64(1)) << np.uint64(i)
+        high[some] |= (least >> np.uint64(1) & np.uint64(1)) << np.uint64(i)
+    return low, high
+
+
+def agreeing(similarity: float) -> int:
+    """Minima of two sketches that agree, at least, in a pair of this similarity."""
+    p = similarity + (1 - similarity) / 4
+    return math.floor(MINIMA * p - DEVIATIONS * math.sqrt(MINIMA * p * (1 - p)))
+
+
+def prune(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (bucket, key, n) of small buckets that have a partner by size and sketch."""
+    least = agreeing(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, ("bucket",), 4096):
+            bucket, n = part.column("bucket").to_numpy(), part.column("n").to_numpy()
+            low, high = (part.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
+            starts = np.append(np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]), len(bucket))
+            size = np.diff(starts)
+            keep = np.zeros(len(bucket), bool)
+            # Most buckets hold a few sets: compare each row with the following ones, all buckets at once.
+            group = np.repeat(np.arange(len(size)), size)
+            for step in range(1, int(size.max()) if len(size) else 0):
+                left = np.flatnonzero(group[step:] == group[:-step])
+                right = left + step
+                differ = low[left] ^ low[right] | high[left] ^ high[right]
+                good = MINIMA - np.bitwise_count(differ) >= least
+                good &= np.minimum(n[left], n[right]) >= similarity * np.maximum(n[left], n[right])
+                keep[left[good]] = keep[right[good]] = True
+            if keep.any():
+                yield from part.filter(pa.array(keep)).select(["bucket", "key", "n"]).combine_chunks().to_batches()
+
+    ready = rows.select("bucket", "key", "n", "low", "high").repartition("bucket").sortWithinPartitions("bucket")
+    return ready.mapInArrow(run, "bucket long, key binary, n int")
+
+
 def first_buckets(docs: DataFrame, rate: float, runs: int) -> DataFrame:
-    """(bucket, key, n) of all runs, for docs (__key, __text)."""
+    """(bucket, key, n, low, high) of all runs, for docs (__key, __text)."""
     seeds = mix(np.arange(1, runs + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,13 +150,20 @@ def first_buckets(docs: DataFrame, rate: float, runs: int) -> DataFrame:
                     owner.append(of[at])
                     bucket.append(child(np.full(len(at), seed), tokens[at]))
                 owner = np.concatenate(owner)
+                low, high = (x.view(np.int64)[owner] for x in sketches(tokens, n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(bucket)), part.column("__key").take(pa.array(owner)), pa.array(n[owner].astype(np.int32))],
-                    ["bucket", "key", "n"],
+                    [
+                        pa.array(np.concatenate(bucket)),
+                        part.column("__key").take(pa.array(owner)),
+                        pa.array(n[owner].astype(np.int32)),
+                        pa.array(low),
+                        pa.array(high),
+                    ],
+                    ["bucket", "key", "n", "low", "high"],
                 )
 
     # Copies of a text pick the same buckets and become one row before the shuffle.
-    return docs.mapInArrow(run, "bucket long, key binary, n int").distinct()
+    return docs.mapInArrow(run, "bucket long, key binary, n int, low long, high long").distinct()
 
 
 def live_buckets(rows: DataFrame) -> DataFrame:
@@ -185,11 +250,13 @@ def links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         leaves.select("bucket", "key")
         .join(mass, "bucket")
         .withColumn("own", own)
+        .join(paths, "key")
+        .join(sets, "key")  # the large side comes last, and rows are repeated for their blocks after it
         .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "key", "own", F.least("own", "against").alias("low"), F.greatest("own", "against").alias("high"))
+        .withColumn("low", F.least("own", "against"))
+        .withColumn("high", F.greatest("own", "against"))
     )
-    full = sets.join(paths, "key")
-    ready = dealt.join(full, "key").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    ready = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ("bucket", "low", "high"), 2048):
@@ -249,6 +316,35 @@ def links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+def wanted_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, copies, tokens) for the keys of ``wanted`` (key, text_id, copies), from one row each."""
+    place = F.pmod(F.xxhash64("key"), F.lit(MAP_BITS))
+    words = (
+        wanted.select(F.shiftright(place, 6).cast("int").alias("word"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        .toPandas()  # at most MAP_BITS / 64 rows
+    )
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            hit = shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            for part in slices(batch.filter(pa.array(hit.astype(bool))), "__text"):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("__id"), _token_lists(shingle_sets(part.column("__text")))], ["key", "__id", "tokens"]
+                )
+
+    # A row whose text may be wanted; the join keeps one row of each wanted text, but for rows
+    # that repeat an id and a text, which links() takes as one.
+    found = rows.select(F.col("__key").alias("key"), "__id", "__text").withColumn("place", place).mapInArrow(run, "key binary, __id long, tokens array<long>")
+    same = (found["key"] == wanted["key"]) & found["__id"].eqNullSafe(wanted["text_id"])
+    return found.join(wanted, same).select(wanted["key"], "copies", "tokens")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999
 ) -> DataFrame:
@@ -267,32 +363,20 @@ def near_duplicates(
 
     rate = 1 / similarity
     members = cut_lineage(first_buckets(rows.select("__key", "__text"), rate, runs_for(recall)), "join-buckets")
-    live = cut_lineage(live_buckets(members), "join-live")
-    members = cut_lineage(members.join(live, "bucket"), "join-members")
-
-    # Shingle sets, once, of the texts that share a bucket with another.
-    wanted = members.select("key").distinct().join(nodes, "key")
-    one = rows.join(
-        wanted.select(F.col("key").alias("__want"), F.col("text_id").alias("__rep"), "copies"),
-        (F.col("__key") == F.col("__want")) & F.col("__id").eqNullSafe(F.col("__rep")),
-    ).select("__key", "copies", "__text")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            keys = batch.column("__key").to_pylist()
-            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
-            last = keys[-1] if keys else last
-            for part in slices(batch.take(pa.array(fresh, pa.int64())), "__text"):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("__key"), part.column("copies"), _token_lists(shingle_sets(part.column("__text")))], ["key", "copies", "tokens"]
-                )
-
-    # Rows that repeat an id and a text stand together here; what is left of them goes in links().
-    sets = cut_lineage(one.mapInArrow(tokens, "key binary, copies long, tokens array<long>"), "join-sets")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+    crowded = cut_lineage(sizes.filter(F.col("members") > SMALL), "join-crowded")
+    if crowded.count() <= FEW_BUCKETS:  # else the joins below shuffle
+        crowded = F.broadcast(crowded)
+    large = cut_lineage(members.join(crowded, "bucket").select("bucket", "key", "n", "members"), "join-large")
+    small = members.join(crowded.select("bucket"), "bucket", "left_anti")
+    leaves = cut_lineage(prune(small, similarity), "join-pruned")
+    leaves = leaves.join(cut_lineage(live_buckets(leaves), "join-live"), "bucket").select("bucket", "key", "n")
+
+    # Shingle sets of the texts that may have a partner.
+    wanted = leaves.select("key").unionByName(large.select("key")).distinct().join(nodes, "key")
+    wanted = cut_lineage(wanted.select("key", "text_id", "copies"), "join-wanted")
+    sets = cut_lineage(wanted_sets(rows, wanted), "join-sets")
 
-    leaves = members.filter(F.col("members") <= SMALL).select("bucket", "key", "n")
-    large = members.filter(F.col("members") > SMALL)
     for _ in range(DEPTH):
         parts = cut_lineage(split(large, sets, rate), "join-split")
         sizes = parts.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("many"))
