@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from docquarry.llm.common import slices
 
-#: Chunks whose ids a worker keeps; the table is emptied when it is full.
+#: Chunks whose ids a worker keeps, and as many from before the table was last full.
 KEPT_CHUNKS = 300_000
 _UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
+#: Letters of which no library doubts that they are letters, and marks that end words.
+_WORD = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKS = (",", ".")
 _EIGHT = (1 << 64) - 1
 
 
@@ -124,32 +128,45 @@ class ByteBpe:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.match = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _token(self, raw: bytes) -> list[int]:
+        i = self.table.find(raw) if len(raw) <= self.longest else None
+        return merge(raw, self.ranks, self.longest) if i is None else [i]
 
     def _ids(self, tokens: list[str]) -> bytes:
         out: list[int] = []
         for t in tokens:
-            raw = t.encode()
-            i = self.table.find(raw) if len(raw) <= self.longest else None
-            if i is None:
-                out += merge(raw, self.ranks, self.longest)
-            else:
-                out.append(i)
-        return np.array(out, "<u4").tobytes()
+            out += self._token(t.encode())
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk and the blank before it.  A letter and a mark are never in one token, so
+        a word before a stop or comma is looked up by itself."""
+        if _WORD.fullmatch(chunk):
+            out = self._token(b" " + chunk.encode())
+            return struct.pack(f"<{len(out)}I", *out)
+        if chunk[-1:] in _MARKS and _WORD.fullmatch(chunk, 0, len(chunk) - 1):
+            word = chunk[:-1]
+            if word not in self.kept:
+                self.kept[word] = self.older.get(word) or self._chunk(word)
+            return self.kept[word] + self._ids([chunk[-1]])
+        return self._ids(self.match(" " + chunk))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if _UNEVEN.search(text):
             return self._ids(self.match(text))
         first, *rest = text.split(" ")
-        kept = self.kept
-        missing = {c for c in rest if c not in kept}
-        if len(kept) + len(missing) > KEPT_CHUNKS:
-            kept.clear()
+        missing = set(rest).difference(self.kept)
+        if len(self.kept) + len(missing) > KEPT_CHUNKS:
+            self.kept, self.older = {}, self.kept
             missing = set(rest)
         if len(missing) > KEPT_CHUNKS:
             return self._ids(self.match(text))
+        kept, older = self.kept, self.older
         for c in missing:
-            kept[c] = self._ids(self.match(" " + c))
+            kept[c] = older.get(c) or self._chunk(c)
         return self._ids(self.match(first)) + b"".join(map(kept.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
