@@ -10,11 +10,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquarry.llm.common import fresh, table
+from docquarry.llm import personal_data
+from docquarry.llm.common import table
 from docquarry.llm.exact_dedup import drop_copies
 from docquarry.llm.jaccard_join import near_duplicates
 from docquarry.llm.packing import best_fit_pack
-from docquarry.llm.personal_data import mask, personal_spans
 from docquarry.llm.quality import quality_scores
 from docquarry.session import cut_lineage
 
@@ -22,12 +22,6 @@ from docquarry.session import cut_lineage
 ORACLE_SQL = None
 
 
-def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a hash of the text, under a name it doesn't have."""
-    key = fresh(docs, "text_key")
-    return docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), key
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject.  Rows that share an id share a fate:
     they stay if one of them would."""
@@ -52,12 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents; personal data in their texts is replaced by its kind in brackets."""
-    keyed, key = _with_key(docs)
-    found = personal_spans(docs).filter(F.size("spans") > 0).select("doc_id", "text_key", "spans").distinct()
-    found = cut_lineage(found.select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), "masked")
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col(key) == F.col("__key")), "left")
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(mask(F.col("text"), F.col("__spans")))
-    return joined.select(*[masked.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return personal_data.mask_personal_data(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

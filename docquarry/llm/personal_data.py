@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docquarry.llm.common import fresh
 from docquarry.operators.steps import let
 from docquarry.session import cut_lineage
 
@@ -197,6 +198,40 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     count as empty; rows that repeat an id and a text have the same spans; an empty table gives
     none.
     """
+    slim, added = _found_and_added(docs, doc_id, text)
+    plain = _plain(F.col("found"))
+    joined = slim.join(added, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("text_key") == F.col("__key")), "left")
+    return joined.select(
+        F.col("__id").alias(doc_id),
+        "text_key",
+        plain.alias("base"),
+        F.when(F.col("added").isNull(), plain).otherwise(F.sort_array(F.concat(plain, "added"))).alias("spans"),
+    )
+
+
+def mask_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with each span of :func:`personal_spans` in ``text`` replaced by its kind in brackets.
+
+    The base spans are found again where the text is, so texts needn't meet them in a shuffle;
+    only documents with added spans have something to be joined with.  Null texts stay null.
+    """
+    _, added = _found_and_added(docs, doc_id, text)
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    key = fresh(docs, "__text_key")
+    joined = docs.withColumn(key, F.xxhash64(body)).join(
+        added, F.col(f"`{doc_id}`").eqNullSafe(F.col("__of")) & (F.col(key) == F.col("__key")), "left"
+    )
+    spans = F.concat(_plain(base_spans(body)), F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,stop:int>>")))
+    masked = let(spans, lambda s: mask(F.col(f"`{text}`"), s))
+    return joined.select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _plain(found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
+
+
+def _found_and_added(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(__id, text_key, found, tokens) of all documents, and (__of, __key, added) of those with more."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(body).alias("text_key"), body.alias("__text"))
     seen = rows.select("__id", "text_key", base_spans(F.col("__text")).alias("found"), hits(F.col("__text"), _CANDIDATE, "[0-9]").alias("tokens"))
@@ -212,15 +247,7 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy(F.col("__id").alias("__of"), F.col("text_key").alias("__key"))
         .agg(F.collect_set(F.struct("kind", "start", "stop")).alias("added"))
     )
-    added = cut_lineage(added, "pii-added")
-    plain = F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    joined = slim.join(added, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("text_key") == F.col("__key")), "left")
-    return joined.select(
-        F.col("__id").alias(doc_id),
-        "text_key",
-        plain.alias("base"),
-        F.when(F.col("added").isNull(), plain).otherwise(F.sort_array(F.concat(plain, "added"))).alias("spans"),
-    )
+    return slim, cut_lineage(added, "pii-added")
 
 
 def span_text(spans: Column) -> Column:
