@@ -11,9 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquarry.llm import personal_data
-from docquarry.llm.common import table
+from docquarry.llm.common import fresh, table
 from docquarry.llm.exact_dedup import drop_copies
-from docquarry.llm.jaccard_join import near_duplicates
+from docquarry.llm.jaccard_join import near_copies, text_key
 from docquarry.llm.packing import best_fit_pack
 from docquarry.llm.quality import quality_scores
 from docquarry.session import cut_lineage
@@ -37,11 +37,26 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest id, of each class of near duplicates."""
-    classes = near_duplicates(docs)
-    gone = classes.filter("class_id is not null and (doc_id is null or doc_id > class_id)").select(F.col("doc_id").alias("__gone"))
-    gone = cut_lineage(gone.distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row, one of smallest id (null last), of each class of near duplicates.
+
+    Rows are known by id and text, so unlike texts under one id, or without an id, don't share a
+    fate; of rows that repeat the id and the text that a class keeps, one stays.
+    """
+    key = fresh(docs, "__text_key")
+    keyed = docs.withColumn(key, text_key("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.col(key) == F.col("__of_key"))
+    members = cut_lineage(near_copies(docs).select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__of_key"), "kept"), "near-copies")
+    kept = members.filter("kept").select("__of", "__of_key")
+    stay = keyed.join(members.filter("not kept").select("__of", "__of_key"), same, "left_anti")
+    ids = stay.select("doc_id", key).join(kept, same, "left_semi")
+    repeated = cut_lineage(
+        ids.groupBy(F.col("doc_id").cast("long").alias("__of"), F.col(key).alias("__of_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        "near-repeats",
+    )
+    if not repeated.isEmpty():
+        once = stay.join(repeated, same, "left_semi").dropDuplicates(["doc_id", key])
+        stay = stay.join(repeated, same, "left_anti").unionByName(once)
+    return stay.drop(key)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docquarry.llm.common import mix, slices, whole_groups, window_hashes, word_hashes
 from docquarry.llm.components import connected_components
@@ -345,19 +345,16 @@ def wanted_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, same).select(wanted["key"], "copies", "tokens")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999
-) -> DataFrame:
-    """One row per document: doc_id, class_id, text_id, n_copies, n_links.
+def text_key(text: str) -> Column:
+    """What texts are known by; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
-    Linked are documents whose sets of five-word shingles have a Jaccard similarity of at least
-    ``similarity`` (a text of fewer words is one shingle), and documents with equal texts.
-    ``class_id`` is the smallest doc_id of a connected class, ``text_id`` that of the equal texts,
-    ``n_copies`` their number, ``n_links`` the number of other rows linked with the row.  Null texts
-    count as empty; texts without a word are linked with equal ones only.  Null ids come last.
-    """
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("__id"), F.unhex(F.md5(body)).alias("__key"), body.alias("__text"))
+
+def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows (__id, __key, __text), and for each key its class and links."""
+    rows = docs.select(
+        F.col(f"`{doc_id}`").cast("long").alias("__id"), text_key(text).alias("__key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")
+    )
     nodes = rows.groupBy(F.col("__key").alias("key")).agg(F.min("__id").alias("text_id"), F.count(F.lit(1)).alias("copies"))
     nodes = cut_lineage(nodes, "join-nodes")
 
@@ -401,12 +398,44 @@ def near_duplicates(
     totals = found.filter("other is null").groupBy("key").agg(F.sum("copies").alias("linked"))
     labels = connected_components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     grouped = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    classes = grouped.groupBy("label").agg(F.min("text_id").alias("class_id"))
+    first = F.min(F.struct(F.col("text_id").isNull().alias("null"), "text_id", "key"))
+    classes = grouped.groupBy("label").agg(F.min("text_id").alias("class_id"), first["key"].alias("first_key"), F.sum("copies").alias("class_rows"))
     result = grouped.join(classes, "label").join(totals, "key", "left")
     result = cut_lineage(
-        result.select(F.col("key").alias("__key"), "class_id", "text_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")),
+        result.select(
+            F.col("key").alias("__key"), "class_id", "text_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "first_key", "class_rows"
+        ),
         "join-classes",
     )
+    return rows, result
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999
+) -> DataFrame:
+    """One row per document: doc_id, class_id, text_id, n_copies, n_links.
+
+    Linked are documents whose sets of five-word shingles have a Jaccard similarity of at least
+    ``similarity`` (a text of fewer words is one shingle), and documents with equal texts.
+    ``class_id`` is the smallest doc_id of a connected class, ``text_id`` that of the equal texts,
+    ``n_copies`` their number, ``n_links`` the number of other rows linked with the row.  Null texts
+    count as empty; texts without a word are linked with equal ones only.  Null ids come last.
+    """
+    rows, result = _classes(docs, doc_id, text, similarity, recall)
     return rows.select("__id", "__key").join(result, "__key").select(
         F.col("__id").alias(doc_id), "class_id", "text_id", F.col("copies").alias("n_copies"), "n_links"
     )
+
+
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, recall: float = 0.9999
+) -> DataFrame:
+    """(doc_id, text_key, kept): each id and text once, of the classes of two or more rows.
+
+    The classes are those of :func:`near_duplicates`.  ``kept`` is true for one id and text of a
+    class, that of smallest id (null last), then key; rows may repeat it.
+    """
+    rows, result = _classes(docs, doc_id, text, similarity, recall)
+    members = rows.select("__id", "__key").join(result.filter("class_rows > 1"), "__key")
+    kept = F.col("__id").eqNullSafe(F.col("class_id")) & (F.col("__key") == F.col("first_key"))
+    return members.select(F.col("__id").alias(doc_id), F.col("__key").alias("text_key"), kept.alias("kept")).distinct()
