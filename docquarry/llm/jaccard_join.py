@@ -195,7 +195,8 @@ def split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
                 ["parent", "bucket", "key", "n"],
             )
 
-    return rows.select("bucket", "key").join(sets, "key").select("bucket", "key", "tokens").mapInArrow(run, "parent long, bucket long, key binary, n int")
+    # Sets hold a key several times where rows repeat an id and a text: a child has it once.
+    return rows.select("bucket", "key").join(sets, "key").select("bucket", "key", "tokens").mapInArrow(run, "parent long, bucket long, key binary, n int").distinct()
 
 
 def _compare(tokens: list[np.ndarray], paths: list[np.ndarray], bucket: int, side: np.ndarray | None, similarity: float) -> np.ndarray:

@@ -53,6 +53,21 @@ def test_large_buckets_are_split_and_compared_in_blocks(spark, small, monkeypatc
     assert got == expected(rows)
 
 
+def test_repeated_rows_in_buckets_that_are_split(spark, monkeypatch):
+    monkeypatch.setattr(j, "SMALL", 2)
+    passage, rows = awkward.words(60, 5), []
+    for i in range(12):  # pairs of near copies that share a passage with all
+        own = awkward.words(60, 10 + i)
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own[:-1] + ["end"] + passage))]
+    rows += rows
+    got = Counter(map(tuple, j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == expected(rows)
+    sets = spark.createDataFrame([(b"a", list(range(30)))] * 2, "key binary, tokens array<long>")
+    members = spark.createDataFrame([(1, b"a")], "bucket long, key binary")
+    parts = j.split(members, sets, 10.0)
+    assert parts.count() == parts.distinct().count() > 0
+
+
 def test_empty_table_and_runs(none):
     assert j.near_duplicates(none).count() == 0
     assert j.runs_for(0.9999) > j.runs_for(0.99) > 4
