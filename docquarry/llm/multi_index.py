@@ -8,7 +8,8 @@ within r are ranked by their exact distance where they are found, and only the b
 probed block travel on.
 
 The radius is the one that holds ``recall`` of the true neighbours inside the sample; in more
-rows neighbours are nearer.  Frequent substring values are cut into blocks of bounded size on
+rows neighbours are nearer.  Queries that have fewer than k rows within it are probed again at
+wider radii, in the end against all rows.  Frequent substring values are cut into blocks of bounded size on
 both sides, so no task holds a whole bucket.
 """
 
@@ -71,6 +72,13 @@ def fit_radius(codes: Codes, vectors: np.ndarray, k: int, recall: float) -> int:
     return int(np.quantile(np.concatenate(seen), recall, method="higher"))
 
 
+def wider(radius: int, codes: Codes) -> int:
+    """The next radius: one more bit in each substring, or all bits where that probes more than a scan."""
+    reach = radius // codes.parts + 1
+    probed = int((_ONES <= reach).sum()) * codes.parts
+    return min(codes.bits, (reach + 1) * codes.parts - 1) if probed < len(_ONES) else codes.bits
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -100,7 +108,6 @@ def nearest(
     known = np.array([r["v"] for r in sample if len(r["v"]) == size] or np.eye(1))
     codes = Codes(known)
     radius = fit_radius(codes, known, k, recall)
-    reach = radius // codes.parts
     shared = spark.sparkContext.broadcast(codes)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,63 +121,80 @@ def nearest(
 
     index = coded(base, "ann-index")
     asked = coded(clean(queries).distinct(), "ann-queries")
-    values = F.array(*[F.shiftrightunsigned("code", SUBSTRING * i).bitwiseAND(255).cast("int") for i in range(codes.parts)])
-    entries = index.select("id", "v", "code", F.posexplode(values).alias("part", "value"))
-    masks = F.array(*[F.lit(x) for x in range(256) if _ONES[x] <= reach])
-    probes = asked.select("id", "v", "code", F.posexplode(values).alias("part", "value")).withColumn(
-        "value", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value"))))
-    )
-
-    def blocks(df: DataFrame, of: int, name: str) -> DataFrame:  # at most 256 * parts rows
-        return df.groupBy("part", "value").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
-
-    both = F.broadcast(blocks(entries, BLOCK, "blocks").join(blocks(probes, QUERY_BLOCK, "query_blocks"), ["part", "value"]))
-
-    def dealt(df: DataFrame, own: str, many: str, other: str, many_others: str, asks: bool) -> DataFrame:
-        return (
-            df.join(both, ["part", "value"])
-            .withColumn(own, F.pmod(F.xxhash64("id", "code"), F.col(many)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(many_others) - 1)))
-            .select("part", "value", "block", "query_block", F.lit(asks).alias("asks"), "id", "code", "v")
+    def probe(asked: DataFrame, radius: int) -> DataFrame:
+        """(query_id, vec_id, score): the best k of each block within ``radius``."""
+        scan = radius >= codes.bits  # one bucket with every row
+        reach = radius // codes.parts
+        values = F.array(*[F.lit(0) if scan else F.shiftrightunsigned("code", SUBSTRING * i).bitwiseAND(255).cast("int") for i in range(1 if scan else codes.parts)])
+        entries = index.select("id", "v", "code", F.posexplode(values).alias("part", "value"))
+        masks = F.array(*[F.lit(x) for x in range(1 if scan else 256) if _ONES[x] <= reach])
+        probes = asked.select("id", "v", "code", F.posexplode(values).alias("part", "value")).withColumn(
+            "value", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("value"))))
+        )
+
+        def blocks(df: DataFrame, of: int, name: str) -> DataFrame:  # at most 256 * parts rows
+            return df.groupBy("part", "value").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias(name))
+
+        both = F.broadcast(blocks(entries, BLOCK, "blocks").join(blocks(probes, QUERY_BLOCK, "query_blocks"), ["part", "value"]))
+
+        def dealt(df: DataFrame, own: str, many: str, other: str, many_others: str, asks: bool) -> DataFrame:
+            return (
+                df.join(both, ["part", "value"])
+                .withColumn(own, F.pmod(F.xxhash64("id", "code"), F.col(many)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(many_others) - 1)))
+                .select("part", "value", "block", "query_block", F.lit(asks).alias("asks"), "id", "code", "v")
+            )
+
+        keys = ("part", "value", "block", "query_block")
+        met = (
+            dealt(entries, "block", "blocks", "query_block", "query_blocks", False)
+            .unionByName(dealt(probes, "query_block", "query_blocks", "block", "blocks", True))
+            .repartition(*keys)
+            .sortWithinPartitions(*keys)
         )
 
-    keys = ("part", "value", "block", "query_block")
-    met = (
-        dealt(entries, "block", "blocks", "query_block", "query_blocks", False)
-        .unionByName(dealt(probes, "query_block", "query_blocks", "block", "blocks", True))
-        .repartition(*keys)
-        .sortWithinPartitions(*keys)
-    )
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, keys, 1024):
-            key = np.column_stack([rows.column(c).to_numpy() for c in keys])
-            starts = np.append(np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]), len(key))
-            asks, ids = rows.column("asks").to_numpy(), rows.column("id").to_numpy()
-            code = rows.column("code").to_numpy().view(np.uint64)
-            v = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
-            found = []
-            for a, b in zip(starts[:-1], starts[1:]):
-                q, c = np.flatnonzero(asks[a:b]) + a, np.flatnonzero(~asks[a:b]) + a
-                if not len(q) or not len(c):
-                    continue
-                differ = code[q][:, None] ^ code[c][None, :]
-                good = (ones(differ) <= radius) & (ids[q][:, None] != ids[c][None, :])
-                for part in range(key[a, 0]):  # an earlier index has found it
-                    good &= ones(differ >> np.uint64(SUBSTRING * part) & np.uint64(255)) > reach
-                i, j = np.nonzero(good)
-                score = np.empty(len(i))
-                for at in range(0, len(i), 16_384):
-                    some = slice(at, at + 16_384)
-                    score[some] = np.sqrt(((v[q[i[some]]] - v[c[j[some]]]) ** 2).sum(1))
-                order = np.lexsort((ids[c[j]], score, i))
-                i, j, score = i[order], j[order], score[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                best = nth < k
-                found.append((ids[q[i[best]]], ids[c[j[best]]], score[best]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "vec_id", "score"])
-
-    hits = met.mapInArrow(search, "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in whole_groups(batches, keys, 1024):
+                key = np.column_stack([rows.column(c).to_numpy() for c in keys])
+                starts = np.append(np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]), len(key))
+                asks, ids = rows.column("asks").to_numpy(), rows.column("id").to_numpy()
+                code = rows.column("code").to_numpy().view(np.uint64)
+                v = rows.column("v").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+                found = []
+                for a, b in zip(starts[:-1], starts[1:]):
+                    q, c = np.flatnonzero(asks[a:b]) + a, np.flatnonzero(~asks[a:b]) + a
+                    if not len(q) or not len(c):
+                        continue
+                    differ = code[q][:, None] ^ code[c][None, :]
+                    good = (ones(differ) <= radius) & (ids[q][:, None] != ids[c][None, :])
+                    for part in range(key[a, 0]):  # an earlier index has found it
+                        good &= ones(differ >> np.uint64(SUBSTRING * part) & np.uint64(255)) > reach
+                    i, j = np.nonzero(good)
+                    score = np.empty(len(i))
+                    for at in range(0, len(i), 16_384):
+                        some = slice(at, at + 16_384)
+                        score[some] = np.sqrt(((v[q[i[some]]] - v[c[j[some]]]) ** 2).sum(1))
+                    order = np.lexsort((ids[c[j]], score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)
+                    best = nth < k
+                    found.append((ids[q[i[best]]], ids[c[j[best]]], score[best]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "vec_id", "score"])
+
+        return met.mapInArrow(search, "query_id long, vec_id long, score double")
+
+    def ranked(hits: DataFrame) -> DataFrame:
+        best = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = ranked(probe(asked, radius))
+    while radius < codes.bits:  # queries with fewer than k rows within the radius look further
+        found = cut_lineage(found, "ann-found")
+        full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id")
+        short = cut_lineage(asked.join(full, F.col("id") == F.col("query_id"), "left_anti"), "ann-short")
+        if short.isEmpty():
+            break
+        radius = wider(radius, codes)
+        found = found.join(full, "query_id", "left_semi").select("query_id", "rank", "vec_id", "score").unionByName(ranked(probe(short, radius)))
+    return found

@@ -40,6 +40,21 @@ def test_ties_copies_and_unfit_vectors(spark):
     assert {r.query_id for r in m.nearest(df, df.filter("vec_id >= 200 or vec_id is null")).collect()} == set()
 
 
+def test_outliers_among_dense_clusters_get_k_rows(spark):
+    pick = np.random.default_rng(5)
+    centres = pick.normal(size=(20, 64))
+    pairs = [(i, [float(x) for x in np.float32(centres[i % 20] + pick.normal(size=64) * 1e-3)]) for i in range(600)]
+    pairs += [(1000 + i, [float(x) for x in np.float32(pick.normal(size=64) * 5)]) for i in range(12)]
+    df = rows(spark, pairs)
+    got = {}
+    for r in m.nearest(df, df.filter("vec_id % 50 = 0 or vec_id >= 1000")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    asked = [i for i, _ in pairs if i % 50 == 0 or i >= 1000]
+    assert {q: len(got.get(q, ())) for q in asked} == dict.fromkeys(asked, 10)
+    exact = [q for q in asked if [g[1] for g in sorted(got[q])] == [b[1] for b in brute(pairs, q, 10)]]
+    assert set(range(1000, 1012)) <= set(exact)
+
+
 def test_few_or_no_rows(spark):
     pairs = [(i, [float(i + 1)] * 8) for i in range(4)]
     df = rows(spark, pairs)
