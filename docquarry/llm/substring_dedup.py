@@ -7,7 +7,8 @@ one shuffle by anchor brings all equal edges together at a few bytes an edge.  T
 edges that follow each other in the source compact into one path.  Paths of one document are
 put end to end by a join on the document, and the coordinates lead back to its words.
 
-An edge is known by its 64-bit anchor and 48 more bits.  Frequent anchors are dealt over
+An edge is known by 128 bits of two hashes of its words, besides its anchor, so that under one
+hot anchor, which tells nothing apart, unlike edges still don't meet.  Frequent anchors are dealt over
 ``SALTS`` groups; edges that are alone in their group are compared once more between groups.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 
-from docquarry.llm.common import group_ids, shuffle_parts, slices, whole_groups, window_hashes, word_hashes
+from docquarry.llm.common import group_ids, mix, shuffle_parts, slices, whole_groups, window_hashes, word_hashes
 from docquarry.session import cut_lineage
 
 #: Words of an anchor.
@@ -27,7 +28,8 @@ ANCHOR = 8
 SALTS = 64
 #: An anchor with fewer path segments is never dealt out.
 LEAST_HOT = 2000
-_WIDTH = 6  # bytes kept of an edge's hash
+_WIDTH = 16  # bytes of an edge's two hashes
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,10 +61,22 @@ def segments(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
     new = np.ones(len(edges), bool)
     new[1:] = (np.diff(edges) != 1) | (text[edges[1:]] != text[edges[:-1]]) | (place[edges[1:]] != place[edges[:-1]])
     first = edges[new]
-    packed = window_hashes(words, k)[edges].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]
+    packed = np.column_stack([window_hashes(words, k)[edges], window_hashes(mix(words ^ _OTHER), k)[edges]]).astype("<u8")
     offsets = np.append(np.flatnonzero(new), len(edges)) * _WIDTH
     begin = ends - counts
-    return text[first], least[place[first]].view(np.int64), first - begin[text[first]], np.ascontiguousarray(packed).ravel(), offsets
+    return text[first], least[place[first]].view(np.int64), first - begin[text[first]], np.ascontiguousarray(packed).view(np.uint8).ravel(), offsets
+
+
+def equal_edges(group: np.ndarray, edge: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first place of each distinct edge, the number of each place's edge, and how often it occurs."""
+    order = np.lexsort((other, edge, group))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in (group, edge, other):
+        new[1:] |= np.diff(c[order]) != 0
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back, np.bincount(back)
 
 
 def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
@@ -118,14 +132,10 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
             _, offsets, data = edges.buffers()
             cuts = np.frombuffer(offsets, np.int32)[edges.offset : edges.offset + len(edges) + 1].astype(np.int64)
             many = np.diff(cuts) // _WIDTH
-            wide = np.zeros((int(many.sum()), 8), np.uint8)
-            wide[:, :_WIDTH] = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].reshape(-1, _WIDTH)
-            edge = wide.view("<u8").ravel()
+            edge, other = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].view("<u8").reshape(-1, 2).T
             row = np.repeat(np.arange(len(many)), many)
             step = np.arange(len(edge)) - np.repeat(np.cumsum(many) - many, many)
-            # groups of this table are numbered from 0 and fewer than 2**16
-            key = (group[row] - group[0]).astype(np.uint64) << np.uint64(48) | edge
-            _, index, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            index, back, n = equal_edges(group[row], edge, other)
             hit = np.flatnonzero(n[back] > 1)
             new = np.ones(len(hit), bool)
             new[1:] = (np.diff(hit) != 1) | (row[hit[1:]] != row[hit[:-1]])
@@ -144,18 +154,19 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
                 pa.array(start.astype(np.int32)),
                 pa.array((start + size).astype(np.int32)),
                 pa.array(anchor[of], mask=span),
-                pa.array(np.concatenate([np.zeros(len(head), np.int64), edge[lone].astype(np.int64)]), mask=span),
+                pa.array(np.concatenate([np.zeros(len(head), np.uint64), edge[lone]]).view(np.int64), mask=span),
+                pa.array(np.concatenate([np.zeros(len(head), np.uint64), other[lone]]).view(np.int64), mask=span),
                 pa.array(np.concatenate([np.zeros(len(head), np.int64), n[back[lone]]]), mask=span),
             ]
-            yield from pa.Table.from_arrays(columns, ["__id", "__key", "start", "stop", "anchor", "edge", "n"]).combine_chunks().to_batches()
+            yield from pa.Table.from_arrays(columns, ["__id", "__key", "start", "stop", "anchor", "edge", "other", "n"]).combine_chunks().to_batches()
 
     found = cut_lineage(
-        dealt.mapInArrow(compact, "__id long, __key long, start int, stop int, anchor long, edge long, n long"), "paths"
+        dealt.mapInArrow(compact, "__id long, __key long, start int, stop int, anchor long, edge long, other long, n long"), "paths"
     )
     # Edges of frequent anchors: one row from each group that has it, so at most SALTS rows each.
     between = (
         found.filter("anchor is not null")
-        .groupBy("anchor", "edge")
+        .groupBy("anchor", "edge", "other")
         .agg(
             F.count(F.lit(1)).alias("groups"),
             F.collect_list(F.when(F.col("n") == 1, F.struct("__id", "__key", "start", "stop"))).alias("alone"),

@@ -34,6 +34,23 @@ def test_shared_passages_when_all_anchors_are_dealt_out(spark, monkeypatch):
     assert got == expected(rows, 35)
 
 
+def test_edges_that_share_one_hash_are_told_apart():
+    edge = np.array([5, 5, 5, 1 << 60, 5], np.uint64)
+    other = np.array([7, 8, 7, 7, 7], np.uint64)
+    index, back, n = s.equal_edges(np.array([0, 0, 0, 0, 1]), edge, other)
+    assert n[back].tolist() == [2, 1, 2, 1, 1] and sorted(index.tolist()) == [0, 1, 3, 4]
+
+
+def test_windows_with_equal_low_bits_are_told_apart(monkeypatch):
+    whole = s.window_hashes
+    docs = s.pa.array([" ".join(awkward.words(40, 200 + i)) for i in range(4)])
+    # The first hash of a window is made to lose what 48 bits would keep.
+    monkeypatch.setattr(s, "window_hashes", lambda words, k: whole(words, k) & ~np.uint64((1 << 48) - 1) if k == 35 else whole(words, k))
+    _, _, _, packed, _ = s.segments(docs, 35)
+    edges = packed.view("<u8").reshape(-1, 2)
+    assert not (edges & np.uint64((1 << 48) - 1)).any() and len(np.unique(edges, axis=0)) == len(edges) == 24
+
+
 def test_empty_table(none):
     assert s.drop_repeats(none).count() == 0
 
