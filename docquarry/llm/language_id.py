@@ -4,7 +4,8 @@ The pieces are a fixed public vocabulary.  Each language has a probability for e
 from counts over all training documents.  The likelihood of a word is the sum over all ways to
 cut it into pieces, by the forward algorithm; that of a text is the product over its words (no
 piece of the vocabulary reaches over a blank), so distinct words are scored once, many at a
-time.  Words are taken in lower case.
+time.  A code point that is no piece counts as the byte pieces it is coded with.  Words are taken
+in lower case.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ KEPT_WORDS = 250_000
 PART = 40
 #: Weight, in pieces, of the mean of all languages in the counts of each.
 SMOOTHING = 2000.0
-#: Probability of a code point that is no piece.
+#: Probability of a code point that is no piece and has a byte that no language was seen with.
 UNKNOWN = 1e-9
 _LETTER = regex.compile(r"\p{L}")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,8 +85,22 @@ class Prefixes:
         return out
 
 
-def forward(words: list[str], prefixes: Prefixes, probability: np.ndarray) -> np.ndarray:
-    """Log likelihood of each word (at most PART code points) under each language."""
+def lone_points(points: np.ndarray, probability: np.ndarray, fallback: np.ndarray) -> np.ndarray:
+    """Probability of code points that are no piece: that of their bytes, UNKNOWN where one of them has none."""
+    out = np.full((len(points), probability.shape[1]), UNKNOWN)
+    for n, point in enumerate(points.tolist()):
+        coded = fallback[list(chr(point).encode("utf-8", "surrogatepass"))]
+        if (coded >= 0).all():
+            out[n] = probability[coded].prod(0)
+    return out
+
+
+def forward(words: list[str], prefixes: Prefixes, probability: np.ndarray, fallback: np.ndarray | None = None) -> np.ndarray:
+    """Log likelihood of each word (at most PART code points) under each language.
+
+    ``fallback`` has the piece of each byte, or -1.
+    """
+    fallback = np.full(256, -1) if fallback is None else fallback
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     width = int(sizes.max())
     points = np.zeros((len(words), width), np.uint64)
@@ -107,7 +122,8 @@ def forward(words: list[str], prefixes: Prefixes, probability: np.ndarray) -> np
             if j == i:
                 known[at] = True
                 lone = live[~known[live]]
-                sums[i + 1, lone] += sums[i, lone] * UNKNOWN
+                distinct, which = np.unique(points[lone, j], return_inverse=True)
+                sums[i + 1, lone] += sums[i, lone] * lone_points(distinct, probability, fallback)[which]
             on = (piece > -2) & (sizes[live] > j + 1)
             live, h = live[on], h[on]
             if not len(live):
@@ -182,10 +198,14 @@ def language_ids(
     pieces = [
         "" if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) else model.id_to_piece(i) for i in range(len(counts))
     ]
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, probability.astype(np.float32), langs))
+    fallback = np.full(256, -1)
+    for i in range(len(counts)):
+        if model.is_byte(i) and counts[i].any():
+            fallback[int(model.id_to_piece(i)[3:-1], 16)] = i
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, probability.astype(np.float32), langs, fallback))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, probability, langs = shared.value
+        pieces, probability, langs, fallback = shared.value
         probability = probability.astype(np.float64)
         prefixes = Prefixes(pieces)
         index: dict[str, int] = {}
@@ -202,7 +222,7 @@ def language_ids(
                 values = np.zeros((len(flat), probability.shape[1]))
                 for k in range(0, len(order), 5_000):
                     of = order[k : k + 5_000]
-                    values[of] = forward([flat[i] for i in of], prefixes, probability)
+                    values[of] = forward([flat[i] for i in of], prefixes, probability, fallback)
                 owner = np.repeat(np.arange(len(cut)), [len(p) for p in cut])
                 total = np.zeros((len(cut), probability.shape[1]))
                 np.add.at(total, owner, values)

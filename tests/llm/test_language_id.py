@@ -38,3 +38,22 @@ def test_forward_sums_all_segmentations():
     words = ["aba", "abab", "bxa", "q", "aqb"]
     got = g.forward(words, g.Prefixes(pieces), p)
     assert np.allclose(got, [[np.log(total(w, lang)) for lang in (0, 1)] for w in words])
+
+
+def test_letters_outside_the_vocabulary_are_told_apart(spark):
+    pick = np.random.default_rng(4)
+
+    def text(first):  # Gothic and Deseret letters, in words of the same lengths
+        return " ".join("".join(chr(first + int(x)) for x in pick.integers(0, 16, 5)) for _ in range(20))
+
+    rows = [(i, text((0x10330, 0x10400)[i % 2]), ("got", "dsr")[i % 2]) for i in range(60)]
+    got = g.language_ids(spark.createDataFrame(rows, "doc_id long, text string, lang string"), VOCABULARY).collect()
+    assert all(r.lang_pred == ("got", "dsr")[r.doc_id % 2] and r.score > 0.9 for r in got)
+
+
+def test_bytes_of_code_points_that_are_no_piece():
+    p = np.array([[0.3, 0.2], [1e-3, 2e-3], [3e-3, 4e-3]])
+    fallback = np.full(256, -1)
+    fallback[0xC3], fallback[0xA9] = 1, 2
+    got = g.forward(["aé", "aê"], g.Prefixes(["a", "", ""]), p, fallback)
+    assert np.allclose(got, np.log([[0.3 * 3e-6, 0.2 * 8e-6], [0.3 * g.UNKNOWN, 0.2 * g.UNKNOWN]]))
