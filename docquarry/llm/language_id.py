@@ -22,8 +22,10 @@ from docquarry.llm.common import is_training, mix, slices
 
 #: Distinct words that a worker keeps at a time.
 KEPT_WORDS = 250_000
-#: Longer words are scored in parts of so many code points, so that products stay in range.
-PART = 40
+#: Positions of a word whose pieces are looked up at a time.
+AT_ONCE = 16
+#: Code points of words that are scored at a time (a longer word is alone).
+CELLS = 200_000
 #: Weight, in pieces, of the mean of all languages in the counts of each.
 SMOOTHING = 2000.0
 #: Probability of a code point that is no piece and has a byte that no language was seen with.
@@ -47,6 +49,7 @@ class Prefixes:
 
     def __init__(self, pieces: list[str]):
         held: dict[int, int] = {}
+        self.longest = max(map(len, pieces), default=1) or 1
         for i, piece in enumerate(pieces):
             h = 0
             for c in piece:
@@ -96,39 +99,77 @@ def lone_points(points: np.ndarray, probability: np.ndarray, fallback: np.ndarra
 
 
 def forward(words: list[str], prefixes: Prefixes, probability: np.ndarray, fallback: np.ndarray | None = None) -> np.ndarray:
-    """Log likelihood of each word (at most PART code points) under each language.
+    """Log likelihood of each word, of any length, under each language.
 
-    ``fallback`` has the piece of each byte, or -1.
+    ``fallback`` has the piece of each byte, or -1.  Sums are kept for as many positions as the
+    longest piece reaches over, and divided by the sum at hand every few positions.
     """
     fallback = np.full(256, -1) if fallback is None else fallback
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    width = int(sizes.max())
-    points = np.zeros((len(words), width), np.uint64)
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(words)), sizes)
-    points[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    sums = np.zeros((width + 1, len(words), probability.shape[1]))
-    sums[0] = 1
-    for i in range(width):
-        live = np.flatnonzero(sizes > i)
-        h = np.zeros(len(live), np.uint64)
-        known = np.zeros(len(words), bool)
-        for j in range(i, width):
-            h = h * _BASE + points[live, j] + np.uint64(1)
+    begin = np.cumsum(sizes) - sizes
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    by_size = np.argsort(sizes, kind="stable")
+    ordered = sizes[by_size]
+    ring = np.zeros((prefixes.longest + 1, len(words), probability.shape[1]))
+    ring[0] = 1
+    scale, out = np.zeros(ring.shape[1:]), np.zeros(ring.shape[1:])
+    for block in range(0, int(ordered[-1]) + 1, AT_ONCE):
+        # All pieces that start in these positions, then the sums from position to position.
+        live = by_size[np.searchsorted(ordered, block, "right") :]
+        many = np.minimum(sizes[live] - block, AT_ONCE)
+        word = np.repeat(live, many)
+        start = block + np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
+        on, h, step, found = np.arange(len(word)), np.zeros(len(word), np.uint64), 0, []
+        while len(on):
+            h = h * _BASE + flat[begin[word[on]] + start[on] + step] + np.uint64(1)
+            step += 1
             piece = prefixes.find(h)
             whole = piece >= 0
-            at = live[whole]
-            sums[j + 1, at] += sums[i, at] * probability[piece[whole]]
-            if j == i:
-                known[at] = True
-                lone = live[~known[live]]
-                distinct, which = np.unique(points[lone, j], return_inverse=True)
-                sums[i + 1, lone] += sums[i, lone] * lone_points(distinct, probability, fallback)[which]
-            on = (piece > -2) & (sizes[live] > j + 1)
-            live, h = live[on], h[on]
-            if not len(live):
-                break
-    return np.log(np.maximum(sums[sizes, np.arange(len(words))], 1e-300))
+            found.append((on[whole], np.full(int(whole.sum()), step), piece[whole]))
+            if step == 1:
+                lone = on[~whole]
+            more = (piece > -2) & (sizes[word[on]] > start[on] + step)
+            on, h = on[more], h[more]
+        points, which = np.unique(flat[begin[word[lone]] + start[lone]], return_inverse=True)
+        alone = lone_points(points, probability, fallback)
+        at, length, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(start[at], kind="stable")
+        at, length, piece = at[order], length[order], piece[order]
+        order = np.argsort(start[lone], kind="stable")
+        lone, which = lone[order], which[order]
+        places = np.arange(block, block + AT_ONCE + 1)
+        cuts, lone_cuts = np.searchsorted(start[at], places), np.searchsorted(start[lone], places)
+        ends = np.searchsorted(ordered, places)
+        for i in range(block, min(block + AT_ONCE, int(ordered[-1]) + 1)):
+            here = ring[i % len(ring)]
+            if i % 4 == 3:
+                by = np.where(here > 0, here, 1.0)
+                ring /= by
+                scale += np.log(by)
+            n = i - block
+            done = by_size[ends[n] : ends[n + 1]]
+            out[done] = np.log(np.maximum(here[done], 1e-300)) + scale[done]
+            some = slice(cuts[n], cuts[n + 1])
+            w = word[at[some]]
+            # one word has one piece of each length here, so no place comes twice
+            ring[(i + length[some]) % len(ring), w] += here[w] * probability[piece[some]]
+            some = slice(lone_cuts[n], lone_cuts[n + 1])
+            w = word[lone[some]]
+            ring[(i + 1) % len(ring), w] += here[w] * alone[which[some]]
+            here[:] = 0
+    return out
+
+
+def batches_of(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of about one length, so many that they have a bounded number of code points."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        fit = np.arange(1, min(5_000, len(order) - at) + 1) * sizes[order[at : at + 5_000]] <= CELLS
+        end = at + max(1, int(fit.sum()))
+        yield order[at:end]
+        at = end
 
 
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -216,16 +257,9 @@ def language_ids(
             new = []
             for at in range(0, len(missing), 20_000):
                 some = ["▁" + w for w in missing[at : at + 20_000]]
-                cut = [[w[k : k + PART] for k in range(0, len(w), PART)] for w in some]
-                flat = [c for parts in cut for c in parts]
-                order = np.argsort([len(c) for c in flat], kind="stable")
-                values = np.zeros((len(flat), probability.shape[1]))
-                for k in range(0, len(order), 5_000):
-                    of = order[k : k + 5_000]
-                    values[of] = forward([flat[i] for i in of], prefixes, probability, fallback)
-                owner = np.repeat(np.arange(len(cut)), [len(p) for p in cut])
-                total = np.zeros((len(cut), probability.shape[1]))
-                np.add.at(total, owner, values)
+                total = np.zeros((len(some), probability.shape[1]))
+                for of in batches_of(some):
+                    total[of] = forward([some[i] for i in of], prefixes, probability, fallback)
                 new.append(total)
             for w in missing:
                 index[w] = len(index)

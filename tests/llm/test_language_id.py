@@ -57,3 +57,20 @@ def test_bytes_of_code_points_that_are_no_piece():
     fallback[0xC3], fallback[0xA9] = 1, 2
     got = g.forward(["aé", "aê"], g.Prefixes(["a", "", ""]), p, fallback)
     assert np.allclose(got, np.log([[0.3 * 3e-6, 0.2 * 8e-6], [0.3 * g.UNKNOWN, 0.2 * g.UNKNOWN]]))
+
+
+def test_long_words_sum_over_all_segmentations():
+    pieces = ["a", "b", "ab", "bab"]
+    p = np.array([[0.3, 0.2], [0.2, 0.1], [0.1, 0.3], [0.01, 0.1]])
+    for word in ("ab" * 500, "q" * 3000 + "ab"):
+        sums = [np.ones(2)] + [np.zeros(2)] * len(word)
+        scale = np.zeros(2)
+        for j in range(1, len(word) + 1):
+            total = sum((sums[j - len(x)] * p[i] for i, x in enumerate(pieces) if word[:j].endswith(x)), np.zeros(2))
+            total = total + (sums[j - 1] * g.UNKNOWN if word[j - 1] == "q" else 0)
+            scale += np.log(total)
+            sums[max(0, j - 3) : j] = [s / total for s in sums[max(0, j - 3) : j]]
+            sums[j] = np.ones(2)
+        got = g.forward(["ab", word, "b"], g.Prefixes(pieces), p)
+        assert np.allclose(got[1], scale) and got[1][0] != got[1][1]
+        assert np.allclose(got[2], np.log(p[1]))
