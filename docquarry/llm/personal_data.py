@@ -2,9 +2,11 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers by pattern and checks.
 These are the seeds.  The words before a seed are a lexical pattern; a token with digits after
-the same words is a candidate.  On the graph of patterns and distinct values, Spark scores in
-turn patterns, by the share of their values that are known to be of one kind, and values, by the
-patterns they follow.  Values that reach ``CONFIDENT`` by patterns with enough seeds are found.
+the same words is a candidate, as are spaced groups of digits and names at a host.  On the graph
+of patterns and distinct values, Spark scores in turn patterns, by the share of their values that
+are known to be of one kind, and values, by the patterns they follow.  Values that reach
+``CONFIDENT`` are found, and patterns with enough seeds or found values find more, until nothing
+is added.
 
 The patterns are written so that each run of characters is tried once, from its start: the
 matches are those of the plain forms in ``BASE``, in linear time.
@@ -35,13 +37,19 @@ _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A candidate: a run of at least six such characters with four digits in it.
 _CANDIDATE = r"(?<![A-Za-z0-9._%+@/-])(?=(?:[A-Za-z._%+@/-]*+[0-9]){4})[A-Za-z0-9._%+@/-]{6,}+"
+#: More candidates, which hold what the above doesn't: groups of digits, with blanks or brackets
+#: among the marks between them, and a name at a host without a dot.
+_GROUPS = r"(?<![A-Za-z0-9._%+@/()-])(?<![0-9][ ])[+(]{0,2}[0-9]++(?:[ ().-]{1,3}[0-9]++){1,18}+(?![A-Za-z0-9_%@/]|[ ().-]{1,3}[0-9])"
+_AT_HOST = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![.@]?[A-Za-z0-9-])"
 #: Code points before a hit that its context is taken from.
 _REACH = 80
 
-#: Score from which a value counts as found; distinct seeds that a pattern needs; rounds.
+#: Score from which a value counts as found; distinct seeds or found values that a pattern needs;
+#: rounds at least.  Rounds go on until nothing is found and all scores together rise no more than so.
 CONFIDENT = 0.8
 SUPPORT = 4
 ROUNDS = 2
+SETTLED = 0.01
 
 #: Matches whose positions are added up at a time.
 _AT_ONCE = 256
@@ -157,28 +165,28 @@ def learn_values(mentions: DataFrame) -> DataFrame:
     since scores are over distinct (pattern, value) pairs.
     """
     edges = mentions.select(F.explode("contexts").alias("pattern"), "value", "kind").distinct()
-    # A value that is a seed somewhere is a seed everywhere.
+    # A pattern with fewer values than it needs known ones, or none to find, can't ever add anything.
     useful = (
         edges.groupBy("pattern")
-        .agg(F.count("kind").alias("seeds"), F.count_if(F.col("kind").isNull()).alias("open"))
-        .filter((F.col("seeds") >= SUPPORT) & (F.col("open") > 0))
-        .select("pattern")
+        .agg(F.count_distinct("value").alias("values"), F.count_if(F.col("kind").isNull()).alias("open"))
+        .filter((F.col("values") >= SUPPORT) & (F.col("open") > 0))
+        .select("pattern", "values")
     )
-    edges = cut_lineage(edges.join(cut_lineage(useful, "pii-patterns"), "pattern"), "pii-graph")
-    seeds = edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    scores, learnt = seeds, None
-    values = edges.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-    support = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"))
-    values, support = cut_lineage(values, "pii-values"), cut_lineage(support.filter(F.col("seeds") >= SUPPORT), "pii-support")
+    values = cut_lineage(useful, "pii-patterns")
+    edges = cut_lineage(edges.join(values.select("pattern"), "pattern"), "pii-graph")
+    # A value that is a seed somewhere is a seed everywhere.
+    seeds = cut_lineage(edges.filter("kind is not null").select("value", "kind", F.lit(1.0).alias("score")).distinct(), "pii-seeds")
     pairs = cut_lineage(edges.select("pattern", "value").distinct(), "pii-pairs")
     open_ = cut_lineage(pairs.join(seeds.select("value").distinct(), "value", "left_anti"), "pii-open")
-    for _ in range(ROUNDS):
-        known = pairs.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
-        trust = (
-            known.join(support, ["pattern", "kind"])
-            .join(values, "pattern")
-            .select("pattern", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
+    scores, learnt, before, rounds = seeds, None, (0, 0.0), 0
+    while True:
+        known = (
+            pairs.join(scores, "value")
+            .groupBy("pattern", "kind")
+            .agg(F.sum("score").alias("score"), F.count_if(F.col("score") >= CONFIDENT).alias("support"))
+            .filter(F.col("support") >= SUPPORT)
         )
+        trust = known.join(values, "pattern").select("pattern", "kind", (F.col("score") / (F.col("values") + 1)).alias("trust"))
         trust = cut_lineage(trust, "pii-trust")
         # noisy or: a value is of a kind unless all its patterns are wrong
         learnt = open_.join(trust, "pattern").groupBy("value", "kind").agg(
@@ -186,6 +194,12 @@ def learn_values(mentions: DataFrame) -> DataFrame:
         )
         learnt = cut_lineage(learnt, "pii-scores")
         scores = seeds.unionByName(learnt)
+        rounds += 1
+        # Scores only rise from round to round, so it ends.
+        after = learnt.agg(F.count_if(F.col("score") >= CONFIDENT), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if rounds >= ROUNDS and after[0] == before[0] and after[1] - before[1] <= SETTLED:
+            break
+        before = tuple(after)
     best = learnt.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"))
     return best.filter(F.col("score") >= CONFIDENT).select("value", "kind")
 
@@ -234,7 +248,7 @@ def _found_and_added(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame
     """(__id, text_key, found, tokens) of all documents, and (__of, __key, added) of those with more."""
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.xxhash64(body).alias("text_key"), body.alias("__text"))
-    seen = rows.select("__id", "text_key", base_spans(F.col("__text")).alias("found"), hits(F.col("__text"), _CANDIDATE, "[0-9]").alias("tokens"))
+    seen = rows.select("__id", "text_key", base_spans(F.col("__text")).alias("found"), _candidates(F.col("__text")).alias("tokens"))
     apart = F.filter("tokens", lambda t: ~F.exists(F.col("found"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     slim = cut_lineage(seen.select("__id", "text_key", "found", apart.alias("tokens")), "pii-found")
     base = slim.select(F.explode("found").alias("x")).select("x.value", "x.kind", _contexts(F.col("x.left")).alias("contexts"))
@@ -250,6 +264,15 @@ def _found_and_added(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame
     return slim, cut_lineage(added, "pii-added")
 
 
+def _candidates(text: Column) -> Column:
+    """Hits that may be personal data after words that say so."""
+    digits = F.filter(
+        hits(text, _GROUPS, r"[0-9][ ().-]+[0-9]"), lambda x: x["value"].rlike("[ ()]") & F.char_length(_digits(x["value"])).between(7, 19)
+    )
+    hosts = F.filter(hits(text, _AT_HOST, "@"), lambda x: ~x["value"].rlike(f"^(?:{_CANDIDATE})$"))
+    return F.concat(hits(text, _CANDIDATE, "[0-9]"), digits, hosts)
+
+
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of each span, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])

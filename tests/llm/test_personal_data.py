@@ -63,6 +63,24 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(r.base == r.spans for i, r in got.items() if i < 100)
 
 
+def test_found_values_find_patterns_and_spaced_candidates(spark):
+    rows = [(i, f"Text {i}. Please call me at +1 555 010 {1000 + i} today.") for i in range(60)]
+    rows += [(100 + i, f"Please call me at 555-0199-{70 + i} today.") for i in range(6)]
+    rows += [(200 + i, f"Office line: 555-0199-{70 + i} or so.") for i in range(6)]  # no seed in this context
+    rows += [(300, "Office line: 555-0288-11 or so.")]
+    rows += [(400, "Please call me at (555) 010 1234 today."), (401, "Please see page 1234567 now.")]
+    rows += [(500 + i, f"Kindly write to user{i}@mail.example.org soon.") for i in range(30)]
+    rows += [(600, "Kindly write to jane@localhost soon.")]
+    cards = [n for n in map(str, range(4000000000000000, 4000000000000300)) if luhn(n)]
+    rows += [(700 + i, f"Kindly charge card {n} soon.") for i, n in enumerate(cards)]
+    rows += [(1200, "Kindly charge card 4111 1111 1111 1112 soon.")]
+    got = {r.doc_id: spans(r.spans) for r in p.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] for i in (100, 105, 200, 205))
+    assert got[300] == [(3, 13, 24)]
+    assert got[400] == [(3, 18, 32)] and got[600] == [(0, 16, 30)]
+    assert got[1200] == [(2, 19, 38)] and got[401] == []
+
+
 def test_mask(spark):
     rows = [("ab a@b.co é 1.2.3.4!", [(1, 12, 19), (0, 3, 9), (2, 4, 9)]), ("x", []), (None, [])]
     df = spark.createDataFrame(rows, "text string, spans array<struct<kind:int,start:int,stop:int>>")
