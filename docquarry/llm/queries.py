@@ -182,3 +182,23 @@ def op10_nearest_neighbours(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query(
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
+    k AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key),
+    j AS (SELECT k.doc_id, place, line, first IS NOT NULL AND first <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM j GROUP BY doc_id
+    """
+)
+def op13_line_dedup(spark, sf_dir):
+    from docquarry.llm.line_dedup import drop_repeated_lines
+
+    done = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
