@@ -202,3 +202,65 @@ def op13_line_dedup(spark, sf_dir):
 
     done = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """Rounds of the assignment and of the componentwise floor of the mean, one after the other."""
+    whole = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [
+        f"""v AS (SELECT row_number() OVER () AS r, vec_id,
+                         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+                  FROM embeddings WHERE {whole}),
+            c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS c, q FROM v QUALIFY c < 16)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS (SELECT r, vec_id, v.q, c,
+                                list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                         FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""u{i} AS (SELECT c, unnest(q) AS x, unnest(range(64)) AS i FROM a{i}),
+                    s{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM u{i} GROUP BY c, i),
+                    m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{i} GROUP BY c),
+                    c{i + 1} AS (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))"""
+            )
+    return (
+        f"WITH {', '.join(parts)} "
+        "SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, "
+        "CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(e.q, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} e USING (c)"
+    )
+
+
+@query(_clusters_sql())
+def op12_centroid_clusters(spark, sf_dir):
+    from docquarry.llm.centroid_clusters import centroid_clusters
+
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                      unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                          lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM documents),
+    p AS (SELECT r, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+    g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+    m AS (SELECT r, 50 + (50 * n * docs) // total AS m FROM n, g),
+    f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+    i AS (SELECT DISTINCT item_id,
+                 unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                     lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+    s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+          FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 50
+    """
+)
+def op11_ranked_search(spark, sf_dir):
+    from docquarry.llm.lexical_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

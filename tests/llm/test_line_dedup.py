@@ -2,8 +2,7 @@
 
 import random
 
-import awkward
-import pytest
+from awkward import none, odd, rows as odd_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from docquarry.llm import line_dedup
@@ -75,7 +74,7 @@ def test_frequent_keys_are_dealt_out(spark, monkeypatch):
 
 
 def test_awkward_rows(odd, none):
-    assert run(odd) == brute([(r[0], r[1]) for r in awkward.rows()])
+    assert run(odd) == brute([(r[0], r[1]) for r in odd_rows()])
     assert drop_repeated_lines(none).collect() == []
 
 
