@@ -64,7 +64,7 @@ def stream_dedupe_ids(spark, folder):
     copies = F.when(F.col("event_type") == "view", F.sequence(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1)))
     rows = event_stream(spark, folder).withColumn("copy", F.explode(copies)).drop("copy")
     docs = _header(t.events(spark, folder, rows))
-    ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state"))).awaitTermination()
+    ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state")), buckets=8).awaitTermination()
     return ingest.read_sink(spark, f"{root}/sink", docs.schema).select("id", "datestamp_raw")
 
 
@@ -84,7 +84,7 @@ def stream_dedupe_batches(spark, folder):
         part.write.parquet(f"{root}/in/{name}")
         files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         docs = _header(t.events(spark, folder, files), "event")
-        ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state"))).awaitTermination()
+        ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state")), buckets=8).awaitTermination()
     parts = [
         ingest.read_sink(spark, f"{root}/{name}", docs.schema).select(F.lit(name).alias("sink"), "id")
         for name in ("sink", "collisions")
@@ -106,7 +106,7 @@ def stream_integrity(spark, folder):
     target = F.when(F.col("event.event_type") == "view", F.col("id")).otherwise(t.uid("supplier:", F.col("event.user_id")))
     docs = _header(docs.withColumn("depends_on", t.entries(source_id=target)))
     ingest.stream_integrity(
-        docs, lambda: t.suppliers(spark, folder), f"{root}/sink", f"{root}/pending", f"{root}/state"
+        docs, lambda: t.suppliers(spark, folder), f"{root}/sink", f"{root}/pending", f"{root}/state", buckets=8
     ).awaitTermination()
     parts = [
         ingest.read_sink(spark, f"{root}/{name}", docs.schema).select(F.lit(name).alias("sink"))
@@ -115,6 +115,44 @@ def stream_integrity(spark, folder):
     return parts[0].unionByName(parts[1]).groupBy("sink").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+@query(
+    "stream_integrity_batches",
+    f"""WITH r AS (
+          SELECT e.event_id, {EVENT_ID.replace("event_id", "e.event_id")} AS id,
+                 h.event_id IS NULL OR h.event_type = 'error' AS open_root, l.event_type = 'error' AS open_leaf
+          FROM events e LEFT JOIN events h ON h.event_id = e.event_id - e.event_id % 4
+                        LEFT JOIN events l ON l.event_id = e.event_id - e.event_id % 4 + 3)
+        SELECT id, CASE WHEN open_root OR (open_leaf AND event_id % 4 = 3) THEN 'pending' ELSE 'sink' END AS sink FROM r""",
+)
+def stream_integrity_batches(spark, folder):
+    """Chains of four events that arrive from their far end on, in three batches.
+
+    Each event refers to the one before it; errors refer to something that never comes, so what
+    stands behind them in their chain waits for ever, and the rest goes in as a whole with the
+    last batch.
+    """
+    root = work_folder(spark, "integrity-batches")
+    rows = t.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    place = F.col("event_id") % 4
+    target = (
+        F.when((F.col("event_type") == "error") & place.isin(0, 3), F.lit("never"))
+        .when(place == 0, F.lit(""))
+        .otherwise(t.uid("event:", F.col("event_id") - 1))
+    )
+    rows = rows.withColumn("props", F.to_json(F.struct(target.alias("target"))))
+    for name, places in (("0", (2, 3)), ("1", (1,)), ("2", (0,))):
+        rows.where(place.isin(*places)).write.parquet(f"{root}/in/{name}")
+        files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        docs = t.events(spark, folder, files)
+        target = F.try_variant_get("event.props", "$.target", "string")
+        docs = _header(docs.withColumn("depends_on", t.entries(source_id=target)))
+        ingest.stream_integrity(
+            docs, lambda: t.suppliers(spark, folder), f"{root}/sink", f"{root}/pending", f"{root}/state", buckets=8
+        ).awaitTermination()
+    sink = ingest.read_sink(spark, f"{root}/sink", docs.schema).select("id", F.lit("sink").alias("sink"))
+    return sink.unionByName(ingest.read_pending(spark, f"{root}/pending", docs.schema).select("id", F.lit("pending").alias("sink")))
+
+
 @query(
     "stream_migrate",
     f"""SELECT {EVENT_ID} AS id, 'ontology_label' AS class_name, 'atlas_one:'||user_id AS node, event_type AS name,

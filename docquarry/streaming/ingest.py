@@ -12,25 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from docquarry.operators.edges import missing_targets
 from docquarry.operators.migration import migrate
-from docquarry.operators.structure import dependencies
 from docquarry.operators.validation import split_valid, validate
+from docquarry.session import cut_lineage
 from docquarry.sources.catalog import Catalog
+from docquarry.sources.keyed import KeyedTable, exists
 
 
 def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-
-
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A folder that may not have been written yet."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -65,9 +60,13 @@ def stream_validate(
     return run(validated, write, checkpoint, **kw)
 
 
+#: Columns that say how a document arrived; they are no part of its content.
+PROVENANCE = ("source_file",)
+
+
 def content_hash(df: DataFrame) -> Column:
-    """Hash of all columns of a row, whatever their types."""
-    columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    """Hash of all columns of a row but those of its arrival, whatever their types."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in PROVENANCE]
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
@@ -76,25 +75,23 @@ LEDGER = "id string, content string"
 
 
 def stream_dedupe_ids(
-    stream: DataFrame, sink_path: str, collision_path: str, ledger_path: str, checkpoint: str, **kw
+    stream: DataFrame, sink_path: str, collision_path: str, ledger_path: str, checkpoint: str, buckets: int = 64, **kw
 ) -> StreamingQuery:
     """Redeliveries are dropped; other documents under an id that is taken are reported.
 
-    Nothing depends on the dates inside documents, which are old by nature.  A redelivery has
-    the id and the content of a stored document or of another of its batch.  Of different
-    documents that share a new id in one batch that of the smallest hash is stored; the others,
-    and those whose id is stored with other content, go to the collision table.  Copies of a
-    hot id collapse map-side.  Each batch looks up its own ids in the ledger of (id, content);
-    adaptive execution broadcasts the batch's ids where they are few bytes.
+    Nothing depends on the dates inside documents, which are old by nature, or on the file that
+    brought them.  A redelivery has the id and the content of a stored document or of another of
+    its batch.  Of different documents that share a new id in one batch that of the smallest hash
+    is stored; the others, and those whose id is stored with other content, go to the collision
+    table.  Copies of a hot id collapse map-side.  Each batch looks up its own ids in the ledger of
+    (id, content), a :class:`KeyedTable`, which opens only files that may hold one of them.
     """
-    schema = T.StructType.fromDDL(LEDGER)
+    ledger = KeyedTable(ledger_path, "id", LEDGER, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         once = batch.withColumn("__content", content_hash(batch)).dropDuplicates(["id", "__content"])
         once = once.withColumn("__id", F.coalesce("id", F.lit(""))).persist()
-        stored = read_sink(spark, ledger_path, schema, before=batch_id)
-        stored = stored.join(once.select(F.col("__id").alias("id")), "id", "left_semi").select("id", F.col("content").alias("__stored"))
+        stored = ledger.lookup(once.select(F.col("__id").alias("id")), batch_id).select("id", F.col("content").alias("__stored"))
         first = once.groupBy("__id").agg(F.min("__content").alias("__first")).join(stored, F.col("__id") == F.col("id"), "left")
         held = first.select("__id", F.coalesce("__stored", "__first").alias("__held"), F.col("__stored").isNotNull().alias("__known"))
         judged = once.join(held, "__id").persist()
@@ -103,42 +100,150 @@ def stream_dedupe_ids(
         new = judged.where(same & ~F.col("__known"))
         new.select(*out.columns).write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
         judged.where(~same).select(*out.columns).write.mode("overwrite").parquet(_batch_folder(collision_path, batch_id))
-        ledger = new.select(F.col("__id").alias("id"), F.col("__content").alias("content"))
-        ledger.write.mode("overwrite").parquet(_batch_folder(ledger_path, batch_id))
+        ledger.append(new.select(F.col("__id").alias("id"), F.col("__content").alias("content")), batch_id)
         judged.unpersist()
         once.unpersist()
 
     return run(stream, write, checkpoint, **kw)
 
 
+# -- acceptance as a whole ---------------------------------------------------------------
 def stream_integrity(
-    stream: DataFrame, stored: Callable[[], DataFrame], sink_path: str, pending_path: str, checkpoint: str, **kw
+    stream: DataFrame,
+    stored: Callable[[], DataFrame],
+    sink_path: str,
+    pending_path: str,
+    checkpoint: str,
+    buckets: int = 64,
+    **kw,
 ) -> StreamingQuery:
-    """References must be stored, or arrive in the same batch; the rest waits and is retried.
-
-    ``stored`` reads the ids known before the stream.  Documents with an open reference
-    wait in the pending table; each batch retries the ones of the batch before it.
+    """A document is accepted when all it refers to is: stored before, accepted earlier, or accepted
+    with it.
+
+    ``stored`` reads the ids known before the stream; it is asked once, and its ids are then found
+    by bucket.  A document with a reference to an id that
+    is unknown, or held only by documents that wait, waits in the pending table, whether the
+    reference is its own or reached over others; when the last of them arrives, all go in
+    together.  Documents that refer to each other in a ring are accepted together too.  Documents are judged by row: one
+    without an id can be accepted but fulfils no reference, and of two with one id one may wait
+    while the other, accepted, answers for the id.
+
+    What a batch costs follows from what it touches: waiting references are kept by the id they
+    wait for, so the documents that a new id may set free are found from that id, level by level;
+    all others stay where they are, unread.  :func:`read_pending` gives the documents that wait.
     """
-    schema = stream.schema
+    state = _IntegrityState(pending_path, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        waiting = _read(spark, _batch_folder(pending_path, batch_id - 1), schema)
-        staged = batch.unionByName(waiting).persist()
-        accepted = read_sink(spark, sink_path, schema, before=batch_id)
-        edges = dependencies(staged)
-        # Only the ids that this batch refers to are looked for in the store.
-        asked = edges.select(F.col("document_id").alias("id")).distinct()
-        ids = stored().select("id").unionByName(accepted.select("id")).join(asked, "id", "left_semi")
-        ids = ids.unionByName(staged.select("id"))
-        open_ids = missing_targets(edges, ids).select("id").distinct()
-        staged.join(open_ids, "id", "left_anti").write.mode("overwrite").parquet(_batch_folder(sink_path, batch_id))
-        staged.join(open_ids, "id", "left_semi").write.mode("overwrite").parquet(_batch_folder(pending_path, batch_id))
-        staged.unpersist()
+        named = batch.withColumn("__row", F.concat(F.lit(f"{batch_id}-"), F.monotonically_increasing_id().cast("string")))
+        arrived = cut_lineage(named, "arrived")  # row names must not change when a task runs again
+        fresh = arrived.select(F.col("__row").alias("row"), "id", _targets().alias("targets"))
+        state.remember(stored)
+        touched = state.set_free(fresh.select("id"), batch_id)
+        nodes = cut_lineage(fresh.unionByName(touched), "candidates")
+        blocked = blocked_rows(nodes, state.known(nodes, batch_id))
+        accepted = cut_lineage(nodes.join(blocked, "row", "left_anti").select("row", "id"), "accepted")
+        rows = F.col("__row") == F.col("row")
+        freed = state.waiting_documents(accepted.select("row"), batch.schema, batch_id)
+        arrived.join(accepted.select("row"), rows, "left_semi").drop("__row").unionByName(freed).write.mode("overwrite").parquet(
+            _batch_folder(sink_path, batch_id)
+        )
+        arrived.join(blocked, rows, "left_semi").write.mode("overwrite").parquet(_batch_folder(pending_path, batch_id))
+        state.append(fresh.join(blocked, "row", "left_semi"), accepted, batch_id)
 
     return run(stream, write, checkpoint, **kw)
 
 
+def _targets() -> Column:
+    """The ids that a document refers to, each once."""
+    return F.array_distinct(F.filter(F.transform("depends_on", lambda d: d["document_id"]), lambda t: t != ""))
+
+
+def blocked_rows(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``nodes`` (row, id, targets) that can't be accepted, where the ids in ``known`` count as met.
+
+    First those with a target that nothing holds; then, round by round, those that refer to an id
+    whose last holder was blocked in the round before.  Only the newly blocked rows are joined in
+    a round.  What remains in the end is consistent as a whole, rings included.
+    """
+    edges = cut_lineage(nodes.select("row", F.explode("targets").alias("target")), "edges")
+    holders = nodes.where(F.col("id").isNotNull()).select("row", "id")
+    met = known.select(F.col("id").alias("target")).distinct()
+    unmet = cut_lineage(edges.join(met, "target", "left_anti"), "unmet")
+    held = holders.select(F.col("id").alias("target"))
+    missing = cut_lineage(unmet.select("target").distinct().join(held, "target", "left_anti"), "missing")
+    newly = cut_lineage(unmet.join(missing, "target", "left_semi").select("row").distinct(), "blocked")
+    blocked = newly
+    while not newly.isEmpty():
+        at_stake = holders.join(newly, "row", "left_semi").select("id").distinct()
+        still = holders.join(at_stake, "id", "left_semi").join(blocked, "row", "left_anti").select("id")
+        lost = cut_lineage(at_stake.join(still, "id", "left_anti").select(F.col("id").alias("target")), "lost")
+        rows = unmet.join(lost, "target", "left_semi").select("row").distinct()
+        newly = cut_lineage(rows.join(blocked, "row", "left_anti"), "blocked")
+        blocked = blocked.unionByName(newly)
+    return blocked
+
+
+class _IntegrityState:
+    """What acceptance keeps between batches, each table found by the key that it is asked for."""
+
+    def __init__(self, pending_path: str, buckets: int):
+        self.documents = pending_path
+        at = lambda name, key, schema: KeyedTable(f"{pending_path}_{name}", key, schema, buckets)
+        self.before = at("before", "id", "id string")
+        self.ids = at("ids", "id", "id string")
+        self.waits = at("waits", "target", "target string, row string, id string, targets array<string>")
+        self.freed = at("freed", "row", "row string")
+
+    def set_free(self, ids: DataFrame, batch: int) -> DataFrame:
+        """Waiting rows (row, id, targets) that refer to one of the ids, directly or over other waiting rows."""
+        found = cut_lineage(ids.sparkSession.createDataFrame([], "row string, id string, targets array<string>"), "touched")
+        delta = ids
+        while True:
+            asked = delta.select(F.col("id").alias("target"))
+            hits = self.waits.lookup(asked, batch).dropDuplicates(["row"]).select("row", "id", "targets")
+            hits = cut_lineage(hits.join(found, "row", "left_anti"), "hits")
+            if hits.isEmpty():
+                return found
+            hits = cut_lineage(hits.join(self.freed.lookup(hits, batch), "row", "left_anti"), "touched")
+            found, delta = found.unionByName(hits), hits.select("id")
+
+    def remember(self, stored: Callable[[], DataFrame]) -> None:
+        """Index the ids known before the stream, unless that was done."""
+        ids = stored().select("id")
+        if not self.before.runs(ids.sparkSession, 1):
+            self.before.append(ids.distinct(), 0)
+
+    def known(self, nodes: DataFrame, batch: int) -> DataFrame:
+        """Targets of these rows that were stored or accepted before."""
+        asked = cut_lineage(nodes.select(F.explode("targets").alias("id")).distinct(), "asked-ids")
+        return cut_lineage(self.ids.lookup(asked, batch).unionByName(self.before.lookup(asked, 1)), "known")
+
+    def waiting_documents(self, rows: DataFrame, schema: T.StructType, batch: int) -> DataFrame:
+        """Documents of earlier batches under these row names; only the folders of their batches are read."""
+        spark = rows.sparkSession
+        since = rows.select(F.substring_index("row", "-", 1).cast("long").alias("batch")).where(F.col("batch") < batch).distinct().collect()
+        folders = [_batch_folder(self.documents, r["batch"]) for r in since]  # at most a number a batch
+        if not folders:
+            return spark.createDataFrame([], schema)
+        named = T.StructType([*schema.fields, T.StructField("__row", T.StringType())])
+        kept = spark.read.schema(named).parquet(*folders)
+        return kept.join(rows, F.col("__row") == F.col("row"), "left_semi").drop("__row")
+
+    def append(self, waiting: DataFrame, accepted: DataFrame, batch: int) -> None:
+        self.waits.append(waiting.select(F.explode("targets").alias("target"), "row", "id", "targets"), batch)
+        self.ids.append(accepted.where(F.col("id").isNotNull()).select("id").distinct(), batch)
+        self.freed.append(accepted.where(F.substring_index("row", "-", 1).cast("long") < batch).select("row"), batch)
+
+
+def read_pending(spark: SparkSession, pending_path: str, schema: T.StructType) -> DataFrame:
+    """Documents that wait for a reference after the last batch."""
+    named = T.StructType([*schema.fields, T.StructField("__row", T.StringType())])
+    waited = read_sink(spark, pending_path, named)
+    freed = _read(spark, f"{pending_path}_freed/data", T.StructType.fromDDL("row string, run string, bucket int"))
+    return waited.join(freed.select("row"), F.col("__row") == F.col("row"), "left_anti").drop("__row")
+
+
 def stream_migrate(
     stream: DataFrame, catalog: Catalog, sink_path: str, checkpoint: str, only=None, **kw
 ) -> StreamingQuery:
