@@ -51,8 +51,10 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), t.alias("text"), _row_mark(t).alias("mark"))
     # Else Catalyst moves the hash of the whole text behind the generator, once a line.
     rows = compute_once(rows, "mark")
-    lines = rows.select("doc", "mark", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    body = line_key(F.col("line"))
+    # Keys are made inside the array, so that the filter and both hashes read them made.
+    keys = F.transform(lines_of(F.col("text")), line_key)
+    lines = rows.select("doc", "mark", F.posexplode(keys).alias("place", "line"))
+    body = F.col("line")
     return lines.where(F.char_length(body) >= LEAST_POINTS).select(
         F.xxhash64(body).alias("key"), F.hash(body).alias("tail"), "doc", "mark", "place"
     )
