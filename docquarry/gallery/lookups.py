@@ -8,6 +8,7 @@ from docquarry.functions.terms import prefix_table
 from docquarry.gallery.registry import CUSTOMER_ID, ORDER_ID, TEXT_ID, query, uid_sql
 from docquarry.operators import directories as d
 from docquarry.operators import edges as e
+from docquarry.operators.references import IntegrityIndex, ReferenceIndex
 from docquarry.plans.query import Q, find
 from docquarry.session import work_folder
 from docquarry.sources import tables as t
@@ -171,6 +172,65 @@ def integrity_report(spark, folder):
     return e.integrity_report(docs.unionByName(again), t.CATALOG).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+# -- references by target ---------------------------------------------------------------------
+def _order_index(spark, folder):
+    """Orders' references, indexed in three batches."""
+    index = ReferenceIndex(f"{work_folder(spark, 'references')}/orders", buckets=16)
+    orders = t.orders(spark, folder)
+    for batch in range(3):
+        index.update(orders.where(F.col("order_doc.key") % 3 == batch), batch)
+    return index, orders
+
+
+@query(
+    "indexed_follow",
+    f"""SELECT {ORDER_ID} AS id FROM orders
+        WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0)""",
+)
+def indexed_follow(spark, folder):
+    index, _ = _order_index(spark, folder)
+    poor = find(
+        t.customers(spark, folder),
+        Q("customer.mktsegment", "exact_string", "BUILDING") & Q("party.acctbal", "lessthan", 0),
+    )
+    return index.follow("customer_id", poor, before=3).select("id")
+
+
+@query(
+    "indexed_depends_on",
+    f"SELECT {ORDER_ID} AS id, o_totalprice AS totalprice FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)",
+)
+def indexed_depends_on(spark, folder):
+    """Whole orders of one customer: one bucket of the index, then the partitions of the classes found."""
+    index, orders = _order_index(spark, folder)
+    first = t.table(spark, folder, "orders").agg(t.uid("customer:", F.min("o_custkey")).alias("id")).first()["id"]
+    hits = index.depends_on(spark, "customer_id", first, before=3)
+    return index.documents(orders, hits).select("id", F.col("order_doc.totalprice").alias("totalprice"))
+
+
+@query(
+    "incremental_integrity",
+    f"""SELECT {ORDER_ID} AS id, 'dangling' AS rule, 'customer_id' AS detail FROM orders
+          WHERE CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey % 100 NOT IN (SELECT s_suppkey FROM supplier)
+                     ELSE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) END
+        UNION ALL SELECT {CUSTOMER_ID}, 'dangling', 'directory_id' FROM customer WHERE c_acctbal >= 0
+        UNION ALL SELECT {ORDER_ID}, 'mistyped', 'customer_id' FROM orders
+          WHERE o_orderpriority = '5-LOW' AND o_orderkey % 100 IN (SELECT s_suppkey FROM supplier)
+        UNION ALL SELECT {uid_sql("'supplier:'||s_suppkey")}, 'duplicate_id', '2' FROM supplier""",
+)
+def incremental_integrity(spark, folder):
+    """Orders come before what they refer to, suppliers come twice, customers in debt go again."""
+    index = IntegrityIndex(f"{work_folder(spark, 'integrity')}/index", t.CATALOG, buckets=8)
+    docs = _misdirected(spark, folder)
+    of = lambda name: docs.where(F.col("class_name") == name)
+    customers, suppliers = of("customer"), of("supplier")
+    index.update(of("order_doc").unionByName(suppliers), 0)
+    index.update(customers.unionByName(suppliers), 1)
+    in_debt = find(t.customers(spark, folder), Q("party.acctbal", "lessthan", 0))
+    index.update(customers.limit(0), 2, withdrawn=in_debt.select(*docs.columns))
+    return index.report(spark, before=3)
+
+
 # -- directories ----------------------------------------------------------------------------
 @query(
     "directories_of",

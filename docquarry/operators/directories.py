@@ -45,34 +45,44 @@ def directory_edges(df: DataFrame) -> DataFrame:
 def directory_tree(edges: DataFrame) -> DataFrame:
     """Full path and depth of every directory reachable from a top-level one.
 
-    One join per level, and each level is written to the shared folder before the
-    next, so plans stay short and lost executors cost one level.  Directories in a cycle
-    have no top level and stay out.  Ids that are placed already aren't entered again, so
-    a repeated id can't make the loop go round; the loop ends with an empty level.
+    By pointer doubling: a directory holds the piece of path below one of its ancestors, and each
+    round puts the piece that this ancestor holds before it.  Pieces double, so a tree of depth d
+    takes about log2(d) rounds of one join.  A directory is finished when its piece begins at
+    a top level.  Round r finishes the depths from 2**r on; a round that finishes nothing
+    leaves only directories of a cycle, or below one, which have no top level and stay out, as
+    do those under a parent that doesn't exist.  Each round is written to the shared folder, so
+    plans stay short and lost executors cost one round.
+
+    Of directories that share an id one is placed: a top-level one, else that of smallest (dirname,
+    owner, parent).
     """
-    nodes = edges.select("id", "dirname", "owner_id", "parent_id")
-    level = cut_lineage(
-        nodes.where("parent_id = ''").select("id", "owner_id", F.col("dirname").alias("path"), F.lit(0).alias("depth")),
+    top = F.col("parent_id") == ""
+    first = F.min(F.struct((~top).alias("below"), "dirname", "owner_id", "parent_id"))
+    nodes = edges.groupBy("id").agg(first.alias("n")).select("id", "n.*")
+    # up: the ancestor that comes next (NULL: finished), path: the piece below it, depth: its length
+    state = cut_lineage(
+        nodes.select(
+            "id", "owner_id", F.when(~top, F.col("parent_id")).alias("up"), F.col("dirname").alias("path"),
+            F.when(top, 0).otherwise(1).alias("depth"),
+        ),
         "tree",
     )
-    levels = [level]
-    below = nodes.where("parent_id <> ''")
-    while not level.isEmpty():
-        frontier = level.select(F.col("id").alias("__up"), F.col("path").alias("__path"))
-        placed = reduce(DataFrame.unionByName, [part.select(F.col("id").alias("__placed")) for part in levels])
-        level = cut_lineage(
-            below.join(frontier, F.col("parent_id") == F.col("__up"))
-            .join(placed, F.col("id") == F.col("__placed"), "left_anti")
-            .select(
-                "id",
-                "owner_id",
-                F.concat("__path", F.lit("/"), "dirname").alias("path"),
-                F.lit(len(levels)).alias("depth"),
+    finished, open_ = [state.where("up is null")], state.where("up is not null")
+    while True:
+        above = reduce(DataFrame.unionByName, [*finished, open_]).select(
+            F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth")
+        )
+        state = cut_lineage(
+            open_.join(above, F.col("up") == F.col("__id")).select(
+                "id", "owner_id", F.col("__up").alias("up"), F.concat("__path", F.lit("/"), "path").alias("path"),
+                (F.col("__depth") + F.col("depth")).alias("depth"),
             ),
             "tree",
         )
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        newly, open_ = state.where("up is null"), state.where("up is not null")
+        if newly.isEmpty():
+            return reduce(DataFrame.unionByName, finished).select("id", "owner_id", "path", "depth")
+        finished.append(newly)
 
 
 def slot(df: DataFrame, owners: DataFrame | None = None, role: str | None = None) -> DataFrame:

@@ -50,13 +50,16 @@ class KeyedTable:
     """Rows of ``schema`` (DDL) under ``path``, found by the column ``key``; rows with a NULL key are
     kept and never found by a lookup.
 
-    ``buckets`` must stay the same for the life of the table.
+    ``buckets`` must stay the same for the life of the table.  ``counted`` names a column of
+    counts, which may be negative: equal rows are then one row with the sum of their counts, and
+    rows whose counts cancel out are gone.
     """
 
     path: str
     key: str
     schema: str
     buckets: int = 64
+    counted: str | None = None
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Write the rows of a batch (numbered from 0) and merge runs that are full.
@@ -76,7 +79,8 @@ class KeyedTable:
             parts = [r for n in range(number - FAN_OUT + 1, number + 1) for r in self._written(spark, level, n)]
             level, number = level + 1, number // FAN_OUT
             if parts:
-                self._write(self._read(spark, [f"{self.path}/data/run={p}" for p in parts]), self._name(level, number))
+                whole = self._read(spark, [f"{self.path}/data/run={p}" for p in parts])
+                self._write(self._added_up(whole), self._name(level, number))
 
     def lookup(self, keys: DataFrame, before: int) -> DataFrame:
         """Rows of earlier batches whose key is among ``keys`` (their column of the same name)."""
@@ -86,7 +90,8 @@ class KeyedTable:
             return spark.createDataFrame([], self.schema)
         asked = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
         asked = cut_lineage(asked.withColumn("bucket", self._bucket()), "asked")
-        return self._read(spark, self.files_for(asked, runs)).join(asked.select(self.key), self.key, "left_semi")
+        found = self._read(spark, self.files_for(asked, runs)).join(asked.select(self.key), self.key, "left_semi")
+        return self._added_up(found)
 
     def files_for(self, asked: DataFrame, runs: list[str]) -> list[str]:
         """Folders that may hold one of the keys: at most runs x buckets names."""
@@ -103,7 +108,13 @@ class KeyedTable:
 
     def read(self, spark: SparkSession, before: int) -> DataFrame:
         """All rows of earlier batches."""
-        return self._read(spark, [f"{self.path}/data/run={r}" for r in self.runs(spark, before)])
+        return self._added_up(self._read(spark, [f"{self.path}/data/run={r}" for r in self.runs(spark, before)]))
+
+    def _added_up(self, rows: DataFrame) -> DataFrame:
+        if self.counted is None:
+            return rows
+        alike = [c for c in rows.columns if c != self.counted]
+        return rows.groupBy(*alike).agg(F.sum(self.counted).alias(self.counted)).where(F.col(self.counted) != 0)
 
     def runs(self, spark: SparkSession, before: int) -> list[str]:
         """Names of the runs that hold the batches below ``before``, the largest first."""

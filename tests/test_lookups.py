@@ -62,6 +62,19 @@ def test_directory_paths(tree):
     assert d.directory_tree(edges.unionByName(again)).count() == 3
 
 
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    deep = [(f"c{i}", f"n{i}", "o", f"c{i - 1}" if i else "") for i in range(700)]
+    other = [("x", "x", "o", "y"), ("y", "y", "o", "x"), ("z", "z", "o", "y"), ("lost", "l", "o", "nowhere"), ("w", "w", "p", "c2")]
+    rounds = []
+    plain = d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage", lambda df, purpose: rounds.append(purpose) or plain(df, purpose))
+    edges = spark.createDataFrame(deep + other, "id string, dirname string, owner_id string, parent_id string")
+    rows = {r["id"]: (r["owner_id"], r["path"], r["depth"]) for r in d.directory_tree(edges).collect()}
+    assert rows.keys() == {i for i, *_ in deep} | {"w"}
+    assert rows["c699"] == ("o", "/".join(f"n{i}" for i in range(700)), 699) and rows["w"] == ("p", "n0/n1/n2/w", 3)
+    assert len(rounds) <= 12  # log2(700) and the first and last
+
+
 def test_directories_of_an_open_corpus(tree):
     opened = d.directory_edges(tree.drop("directory")).collect()
     assert sorted(opened) == sorted(d.directory_edges(tree).collect()) and all(r["dirname"] for r in opened)
