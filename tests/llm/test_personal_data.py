@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -87,6 +88,33 @@ def test_mask(spark):
     assert [r.t for r in df.select(p.mask(df.text, df.spans).alias("t")).collect()] == ["ab [email] é [ip]!", "x", None]
 
 
+def test_hosts_of_very_many_labels(spark):
+    texts = ["x@" + "a." * 100_000 + "a", "x@" + "ab-1." * 60_000, "y x@a" + ".b" * 30_000 + ". z@c.d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in p.personal_spans(df).collect():
+        assert spans(r.base) == expected(texts[r.doc_id])
+
+
+def test_mask_against_a_plain_pass(spark):
+    pick = random.Random(2)
+    rows = []
+    for n in (1, 50, 5_000, 100_000):
+        text = "".join(pick.choices("aé😀 \n", k=n * 3))
+        cuts = sorted(pick.randrange(len(text) + 1) for _ in range(2 * n))
+        found = [(pick.randrange(4), a, b) for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
+        found += [(k, a + 1, min(b + 2, len(text))) for k, a, b in found[:40] if b - a > 1]  # some overlap
+        rows.append((text, found))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<kind:int,start:int,stop:int>>").repartition(4)
+    got = {r.text: r.t for r in df.select("text", p.mask(df.text, df.spans).alias("t")).collect()}
+    for text, found in rows:
+        out, at = [], 0
+        for start, stop, kind in sorted((a, b, k) for k, a, b in found):
+            if start >= at:
+                out += [text[at:start], f"[{p.KINDS[kind]}]"]
+            at = max(at, stop)
+        assert got[text] == "".join(out) + text[at:]
+
+
 def test_main_path_is_native(odd):
     plan = p.personal_spans(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
