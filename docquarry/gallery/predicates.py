@@ -274,6 +274,24 @@ def queryable_guard(spark, folder):
     return _ids(find(t.customers(spark, folder), tree, t.CATALOG, not_queryable="raise"))
 
 
+@query(
+    "queryable_guard_refuses",
+    """SELECT field, refused, count(*) AS n_documents FROM customer,
+         (VALUES ('customer.key', true), ('customer.mktsegment', false)) v(field, refused)
+       WHERE refused OR c_mktsegment = 'BUILDING' GROUP BY field, refused""",
+)
+def queryable_guard_refuses(spark, folder):
+    """A field declared as not queryable is refused, and a caller takes all documents instead."""
+    docs, parts = t.customers(spark, folder), []
+    for leaf in (Q("customer.key", "greaterthan", 0), Q("customer.mktsegment", "exact_string", "BUILDING")):
+        try:
+            found, refused = find(docs, leaf, t.CATALOG, not_queryable="raise"), False
+        except ValueError:
+            found, refused = docs, True
+        parts.append(found.select(F.lit(leaf.field).alias("field"), F.lit(refused).alias("refused")))
+    return parts[0].unionByName(parts[1]).groupBy("field", "refused").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query(
     "composite_subfield",
     f"""SELECT {EVENT_ID} AS id FROM events

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import query, uid_sql
 from docquarry.operators import reports as r
+from docquarry.operators.rollups import Rollups
+from docquarry.session import work_folder
 from docquarry.sources import tables as t
 
 _CLASS_ROWS = """
@@ -121,3 +123,41 @@ def class_version_drift(spark, folder):
     version = F.concat(F.floor(size / 10).cast("string"), F.lit("."), (size % 3).cast("string"), F.lit(".0"))
     docs = t.parts(spark, folder).withColumn("class_version", version)
     return r.class_version_drift(docs, t.CATALOG)
+
+
+@query(
+    "maintained_rollups",
+    f"""WITH d AS (SELECT 'text_doc' AS class_name, {uid_sql("text")} AS id, {uid_sql("'session:lang:'||coalesce(lang, '')")} AS session_id FROM documents)
+        SELECT 'class' AS report, c AS name, count(*) AS n FROM d, (VALUES ('base'), ('text_doc')) v(c) GROUP BY c
+        UNION ALL SELECT 'topic', 'texts', count(*) FROM d
+        UNION ALL SELECT 'session', session_id, count(*) FROM d GROUP BY session_id
+        UNION ALL SELECT 'duplicate', id, count(*) FROM d GROUP BY id HAVING count(*) > 1
+        UNION ALL SELECT 'dataset', session_id, 1 FROM d GROUP BY session_id
+        UNION ALL SELECT 'error', 'V12', count(*) FROM documents WHERE n_chars > 500 HAVING count(*) > 0""",
+)
+def maintained_rollups(spark, folder):
+    """Texts in three batches, the second of which is tried twice; ids are made from the texts."""
+    rollups = Rollups(f"{work_folder(spark, 'rollups')}/texts", dataset_field="text_doc.lang_session", buckets=4)
+    rows = t.table(spark, folder, "documents")
+    session = t.uid("session:lang:", F.coalesce("lang", F.lit("")))
+    error = F.struct(F.lit("V12").alias("rule"), F.lit("text_doc").alias("declaring_class"), F.lit("n_chars").alias("field"))
+    docs = rows.select(
+        "doc_id", t.uid(F.col("text")).alias("id"), F.lit("text_doc").alias("class_name"), F.array(F.lit("base"), F.lit("text_doc")).alias("lineage"),
+        session.alias("session_id"), F.lit(t.FIXED_STAMP).alias("datestamp_raw"), F.struct(session.alias("lang_session")).alias("text_doc"),
+        t.entries(session_id=session).alias("depends_on"), F.when(F.col("n_chars") > 500, F.array(error)).otherwise(F.array().cast("array<struct<rule:string,declaring_class:string,field:string>>")).alias("errors"),
+    )
+    rollups.update(docs.where("doc_id % 3 = 0"), 0)
+    rollups.update(docs.where("doc_id % 3 = 1").limit(20), 1)
+    rollups.update(docs.where("doc_id % 3 = 1"), 1)
+    rollups.update(docs.where("doc_id % 3 = 2"), 2)
+    part = lambda report, df, name, n: df.select(F.lit(report).alias("report"), F.col(name).alias("name"), F.col(n).cast("long").alias("n"))
+    out = part("class", rollups.class_counts(spark, 3), "class_name", "n_documents")
+    for more in (
+        part("topic", rollups.topic_rollup(spark, TOPICS, 3), "topic", "n_documents"),
+        part("session", rollups.session_summary(spark, 3), "session_id", "n_documents"),
+        part("duplicate", rollups.duplicate_ids(spark, 3), "id", "n_documents"),
+        part("dataset", rollups.dataset_sessions(spark, 3), "dataset_id", "n_sessions"),
+        part("error", rollups.validation_summary(spark, 3), "rule", "n_errors"),
+    ):
+        out = out.unionByName(more)
+    return out

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, query, uid_sql
 from docquarry.plans.query import Q, find
 from docquarry.session import work_folder
 from docquarry.sources import tables as t
+from docquarry.operators.structure import flatten_fields
 from docquarry.operators.validation import split_valid, validate
+from docquarry.sources.catalog import read_catalog
 from docquarry.sources.documents import (
     documents_from_text,
     queryable_columns,
@@ -116,3 +120,24 @@ def unreadable_documents(spark, folder):
     )
     parts = [df.select(F.lit(name).alias("sink"), rule.alias("rule")) for name, df in (("valid", good), ("quarantine", bad))]
     return parts[0].unionByName(parts[1]).groupBy("sink", "rule").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+@query(
+    "catalog_from_files",
+    """SELECT block, field, count(*) AS n_documents, count(value) AS n_values FROM (
+         SELECT c.block, c.field, CASE c.field WHEN 'mktsegment' THEN c_mktsegment WHEN 'key' THEN c_custkey::VARCHAR ELSE c_acctbal::VARCHAR END AS value
+         FROM customer, (VALUES ('customer', 'key'), ('customer', 'mktsegment'), ('party', 'acctbal')) c(block, field))
+       GROUP BY block, field""",
+)
+def catalog_from_files(spark, folder):
+    """Class files written in tier folders and read back say which fields a document has."""
+    root = work_folder(spark, "classes")
+    tiers = [("stable", t.DEFINITIONS[::2]), ("draft", t.DEFINITIONS[1::2])]
+    for tier, definitions in tiers:
+        for d in definitions:
+            one = spark.createDataFrame([(json.dumps(d),)], "value string").coalesce(1)
+            one.write.text(f"{root}/{tier}/{d['document_class']['class_name']}", compression="none")
+    catalog = read_catalog(spark, root, pattern="*.txt")
+    rows = flatten_fields(t.opened(t.customers(spark, folder)), catalog)
+    wanted = rows.where(F.col("field").isin("key", "mktsegment", "acctbal"))
+    return wanted.groupBy("block", "field").agg(F.count(F.lit(1)).alias("n_documents"), F.count("value").alias("n_values"))

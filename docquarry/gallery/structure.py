@@ -9,6 +9,7 @@ from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, TEXT_ID, query, ui
 from docquarry.operators import structure as s
 from docquarry.plans.query import Q, find
 from docquarry.sources import tables as t
+from docquarry.sources.catalog import Catalog
 
 PART_ID = uid_sql("'part:'||p_partkey")
 
@@ -199,6 +200,41 @@ def with_defaults(spark, folder):
     )
 
 
+@query(
+    "list_and_object_defaults",
+    """SELECT layout, tags, x, count(*) AS n_documents FROM (
+         SELECT 'typed' AS layout, CASE WHEN p_size > 10 THEN p_brand ELSE 'none,any' END AS tags, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 7 END AS x FROM part
+         UNION ALL
+         SELECT 'open', CASE WHEN p_size > 10 THEN p_brand ELSE 'none,any' END, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 7 END FROM part)
+       GROUP BY ALL""",
+)
+def list_and_object_defaults(spark, folder):
+    """Defaults that are a list and an object, in typed blocks and in open bodies."""
+    catalog = Catalog.from_definitions([
+        t.define("item", [t.define_field("tags", "char", mustBeScalar=False, default_value=["none", "any"]),
+                          t.define_field("place", "structure", default_value={"x": 7})], parents=())
+    ])
+    size = F.col("p_size")
+    typed = t.table(spark, folder, "part").select(
+        F.lit("item").alias("class_name"),
+        F.struct(
+            F.when(size > 10, F.array("p_brand")).alias("tags"), F.when(size % 2 == 0, F.struct(size.alias("x"))).alias("place")
+        ).alias("item"),
+    )
+    lacking = F.to_variant_object(F.map_filter(F.from_json(F.to_json("item"), F.lit("map<string,variant>")), lambda k, v: v.isNotNull()))
+    open_ = typed.select("class_name", F.to_variant_object(F.create_map(F.lit("item"), lacking)).alias("body"))
+    wanted = s.catalog_defaults(catalog, "item")
+    one = s.with_defaults(typed, wanted).select(
+        F.lit("typed").alias("layout"), F.array_join("item.tags", ",").alias("tags"), F.col("item.place.x").alias("x")
+    )
+    two = s.with_defaults(open_, wanted).select(
+        F.lit("open").alias("layout"),
+        F.array_join(F.try_variant_get("body", "$.item.tags", "array<string>"), ",").alias("tags"),
+        F.try_variant_get("body", "$.item.place.x", "int").alias("x"),
+    )
+    return one.unionByName(two).groupBy("layout", "tags", "x").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query(
     "matrix_rows",
     """SELECT CAST((i - 1) // 8 AS INTEGER) AS "row", CAST((i - 1) % 8 AS INTEGER) AS col, count(*) AS n,
@@ -302,3 +338,42 @@ def typed_class(spark, folder):
         "event.elapsed.source_unit",
         F.get(F.get("event.slot", F.lit(0)), F.lit(0)).alias("day"),
     )
+
+
+@query(
+    "typed_mixed_types",
+    """SELECT source_unit, count(*) AS n_documents, count(seconds) AS n_seconds, CAST(sum(first) AS BIGINT) AS first, count(second) AS n_second FROM (
+         SELECT CASE WHEN event_type = 'click' THEN NULL ELSE 'hour' END AS source_unit,
+                CASE WHEN event_type = 'error' THEN NULL ELSE value END AS seconds,
+                user_id AS first, CASE WHEN event_type = 'view' THEN NULL ELSE user_id END AS second FROM events)
+       GROUP BY source_unit""",
+)
+def typed_mixed_types(spark, folder):
+    """Bodies that hold text for a number, a number for a unit, and text in a list of numbers."""
+    catalog = Catalog.from_definitions([
+        t.define("sample", [t.define_field("elapsed", "duration"), t.define_field("pair", "integer", mustBeScalar=False)], parents=())
+    ])
+    kind, value = F.col("event_type"), F.col("value")
+
+    def mixed(condition, other, plain):
+        return F.when(condition, F.to_variant_object(F.array(other))).otherwise(F.to_variant_object(F.array(plain)))
+
+    one = lambda v: F.try_variant_get(v, "$[0]", "variant")
+    elapsed = F.create_map(
+        F.lit("seconds"), one(mixed(kind == "error", value.cast("string"), value)),
+        F.lit("source_unit"), one(mixed(kind == "click", F.lit(5), F.lit("hour"))),
+    )
+    pair = F.array(
+        one(F.to_variant_object(F.array("user_id"))), one(mixed(kind == "view", F.col("user_id").cast("string"), F.col("user_id")))
+    )
+    block = F.create_map(F.lit("elapsed"), F.to_variant_object(elapsed), F.lit("pair"), F.to_variant_object(pair))
+    docs = t.table(spark, folder, "events").select(
+        F.lit("sample").alias("class_name"), F.to_variant_object(F.create_map(F.lit("sample"), F.to_variant_object(block))).alias("body")
+    )
+    typed = s.typed(docs, catalog, "sample")
+    return typed.groupBy(F.col("sample.elapsed.source_unit").alias("source_unit")).agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.count("sample.elapsed.seconds").alias("n_seconds"),
+        F.sum(F.get("sample.pair", F.lit(0))).alias("first"),
+        F.count(F.get("sample.pair", F.lit(1))).alias("n_second"),
+    )

@@ -349,6 +349,32 @@ def cross_field_rules(spark, folder):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "matrix_shapes",
+    """SELECT rule, field, count(*) AS n FROM (
+         SELECT 'V26' AS rule, 'mean_waveform' AS field FROM part WHERE p_size % 4 <> 2 OR p_size % 3 <> 2
+         UNION ALL SELECT 'V26', 'table_data' FROM part WHERE p_size % 5 <> 2
+       ) GROUP BY rule, field""",
+)
+def matrix_shapes(spark, folder):
+    """Waveforms and stimulus tables of 2 x 2 whose documents state other sizes."""
+    size = F.col("p_size")
+    square = F.array(F.array(F.col("p_retailprice"), F.lit(1.0)), F.array(F.lit(2.0), F.lit(3.0)))
+    part = t.table(spark, folder, "part").select(
+        F.lit("bench").alias("class_name"),
+        F.struct(
+            (size % 4).alias("number_of_samples_per_channel"), (size % 3).alias("number_of_channels"), square.alias("mean_waveform")
+        ).alias("neuron_extracellular"),
+        F.struct(F.lit("a,b").alias("parameter_names"), square.alias("table_data"), (size % 5).alias("num_stimuli")).alias("stimulus_parameter_table"),
+    )
+    names = ("neuron_extracellular", "stimulus_parameter_table")
+    catalog = Catalog.from_definitions([*[t.define(n, parents=()) for n in names], t.define("bench", parents=names)])
+    checked = v.validate(part, catalog, ["bench"])
+    return checked.select(F.explode("errors").alias("e")).groupBy(
+        F.col("e.rule").alias("rule"), F.col("e.field").alias("field")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "tagged_bodies",
     """SELECT rule, field, count(*) AS n FROM (

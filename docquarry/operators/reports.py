@@ -18,7 +18,11 @@ def class_counts(df: DataFrame) -> DataFrame:
 
     Chains are counted first: what gets exploded is one row per distinct chain.
     """
-    chains = df.groupBy("lineage").agg(F.count(F.lit(1)).alias("n"))
+    return counts_of_chains(df.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")))
+
+
+def counts_of_chains(chains: DataFrame) -> DataFrame:
+    """Documents per class from (lineage, n)."""
     return (
         chains.select(F.explode(F.array_distinct("lineage")).alias("class_name"), "n")
         .groupBy("class_name")
@@ -50,8 +54,12 @@ def topic_rollup(df: DataFrame, topics: Mapping) -> DataFrame:
 
     Order: ``meta``, then ``base``, the rest alphabetically, ``Uncategorized`` last.
     """
-    spark = df.sparkSession
-    counts = df.groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))  # one row per class
+    return topics_of_counts(df.groupBy("class_name").agg(F.count(F.lit(1)).alias("n")), topics)
+
+
+def topics_of_counts(counts: DataFrame, topics: Mapping) -> DataFrame:
+    """Documents per topic path from (class_name, n), one row per class."""
+    spark = counts.sparkSession
     paths = F.broadcast(spark.createDataFrame(topic_paths(topics), "class_name string, topic string"))
     placed = counts.join(paths, "class_name", "left").withColumn("topic", F.coalesce("topic", F.lit(UNCATEGORIZED)))
     rolled = placed.groupBy("topic").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_classes"))
@@ -100,15 +108,19 @@ def session_summary(df: DataFrame) -> DataFrame:
 
 def dataset_sessions(df: DataFrame, dataset_field: str = "session_in_a_dataset.dataset_id") -> DataFrame:
     """Sessions per dataset, from the documents that bind a session to a dataset."""
+    # distinct pairs first (partial), then a plain count: no task sees one dataset's raw rows.
+    return session_pairs(df, dataset_field).distinct().groupBy("dataset_id").agg(F.count("session_id").alias("n_sessions"))
+
+
+def session_pairs(df: DataFrame, dataset_field: str) -> DataFrame:
+    """(dataset_id, session_id) of each document that binds a session to a dataset."""
     from docquarry.operators.structure import field
 
     session = F.filter("depends_on", lambda d: d["name"] == "session_id")
-    pairs = df.select(
+    return df.select(
         field(df, dataset_field).cast("string").alias("dataset_id"),
         F.get(session, F.lit(0))["document_id"].alias("session_id"),
     ).where("dataset_id is not null")
-    # distinct pairs first (partial), then a plain count: no task sees one dataset's raw rows.
-    return pairs.distinct().groupBy("dataset_id").agg(F.count("session_id").alias("n_sessions"))
 
 
 def unit_summary(df: DataFrame, quantity: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -136,7 +137,27 @@ def _typed_value(place: VariantPlace, f: FieldDef) -> Column:
     if f.type == "matrix":
         row = place.vector()
         return F.coalesce(place.matrix(), F.when(row.isNotNull(), F.array(row)))
-    return F.try_variant_get(place.root, place.path, kind)
+    if not f.scalar:
+        # Element by element: one of another type is NULL and leaves its neighbours alone.
+        items = F.try_variant_get(place.root, place.path, "array<variant>")
+        return F.transform(items, lambda e: _typed_value(VariantPlace(e), replace(f, scalar=True)))
+    parts = _typed_parts(place, f)
+    if parts is None:
+        return F.try_variant_get(place.root, place.path, kind)
+    return F.when(place.is_object(), F.struct(*parts))
+
+
+def _typed_parts(place: VariantPlace, f: FieldDef) -> list[Column] | None:
+    """The fields of a composite or a structure, each in its own type; None for other fields."""
+    if f.type in CANONICAL_FIELD:
+        kinds = {CANONICAL_FIELD[f.type]: "number", "source_unit": "text", "source_value": "number", "approximate": "flag"}
+    elif f.type == "ontology_term":
+        kinds = {"node": "text", "name": "text"}
+    elif f.type == "structure" and f.fields:
+        return [_typed_value(place.child(x.name), x).alias(x.name) for x in f.fields]
+    else:
+        return None
+    return [getattr(place.child(name), kind)().alias(name) for name, kind in kinds.items()]
 
 
 def typed(df: DataFrame, catalog: Catalog, class_name: str) -> DataFrame:
@@ -196,15 +217,25 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
         if rest:
             by_block.setdefault(head, []).append((rest, default))
         elif layout.block(head) is not None:
-            out = out.withColumn(head, F.coalesce(F.col(head), F.lit(default)))
+            out = out.withColumn(head, F.coalesce(F.col(head), _literal(default, df.schema[head].dataType)))
     for block, fields in by_block.items():
         column = F.col(block)
         for name, default in fields:
-            column = column.withField(name, F.coalesce(F.col(block).getField(name), F.lit(default)))
+            kind = df.schema[block].dataType[name].dataType
+            column = column.withField(name, F.coalesce(F.col(block).getField(name), _literal(default, kind)))
         out = out.withColumn(block, F.when(F.col(block).isNotNull(), column))
     return out
 
 
+def _literal(value: object, kind: T.DataType) -> Column:
+    """A default as a column; lists and objects take the type of the field they fill."""
+    if isinstance(kind, T.VariantType):
+        return F.parse_json(F.lit(json.dumps(value)))
+    if isinstance(value, (list, dict)):
+        return F.from_json(F.lit(json.dumps(value)), kind)
+    return F.lit(value)
+
+
 def _is_open(df: DataFrame) -> bool:
     fields = df.schema.fieldNames()
     return "body" in fields and isinstance(df.schema["body"].dataType, T.VariantType)
@@ -227,9 +258,8 @@ def _open_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
         for block, fields in by_block.items():
             held = F.try_variant_get(value, "$", "map<string,variant>")
             given = F.from_json(F.lit(json.dumps({k: json.dumps(v) for k, v in fields.items()})), F.lit("map<string,string>"))
-            lacking = F.map_filter(
-                given, lambda k, _: F.coalesce(F.is_variant_null(F.try_element_at(held, k)), F.lit(True))
-            )
+            absent = lambda v: v.isNull() | F.is_variant_null(v)  # noqa: E731 - of NULL the latter is false
+            lacking = F.map_filter(given, lambda k, _: absent(F.try_element_at(held, k)))
             kept = F.map_filter(held, lambda k, _: ~F.array_contains(F.map_keys(lacking), k))
             whole = F.to_variant_object(F.map_concat(kept, F.transform_values(lacking, lambda _, v: F.parse_json(v))))
             cases = cases.when((name == block) & held.isNotNull(), whole)
@@ -241,11 +271,11 @@ def _open_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 
 def catalog_defaults(catalog: Catalog, class_name: str) -> dict[str, object]:
-    """Scalar defaults of a class, keyed the way :func:`with_defaults` expects."""
+    """Declared defaults of a class, lists and objects too, keyed the way :func:`with_defaults` expects."""
     return {
         f"{block}.{f.name}": f.default
         for block, f in catalog.placed_fields(class_name)
-        if isinstance(f.default, (str, int, float, bool)) and block != "base"
+        if f.default is not None and block != BASE_CLASS
     }
 
 

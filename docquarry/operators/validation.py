@@ -481,6 +481,33 @@ def same_size(rule: str, paths: Sequence[str]) -> DocumentRule:
     return DocumentRule(rule, paths[-1].rsplit(".", 1)[1], "sizes differ: " + ", ".join(paths), test)
 
 
+def matrix_shape(rule: str, matrix: str, rows: str, cols: str | None = None) -> DocumentRule:
+    """A matrix has as many rows (and columns) as other fields say; what is absent isn't compared.
+
+    A vector is a matrix of one row or of one column.
+    """
+
+    def test(layout: DocumentLayout) -> Column | None:
+        place, n_rows = layout.locate(matrix.split(".")), _count_of(layout, rows)
+        if place is None or n_rows is None:
+            return None
+        n_cols = F.lit(None).cast("int") if cols is None else _count_of(layout, cols)
+        n_cols = F.lit(None).cast("int") if n_cols is None else n_cols
+        wrong = F.lit(False)
+        if place.matrix() is not None:
+            uneven = F.exists(place.matrix(), lambda r: F.coalesce(F.size(r) != n_cols, F.lit(False)))
+            wrong = wrong | F.coalesce((F.size(place.matrix()) != n_rows) | uneven, F.lit(False))
+        if place.vector() is not None:
+            size = F.size(place.vector())
+            one_row = (n_rows == 1) & F.coalesce(size == n_cols, F.lit(True))
+            one_col = (size == n_rows) & F.coalesce(n_cols == 1, F.lit(True))
+            wrong = wrong | F.coalesce(~(one_row | one_col), F.lit(False))
+        return wrong
+
+    sizes = rows if cols is None else f"{rows} x {cols}"
+    return DocumentRule(rule, matrix.rsplit(".", 1)[1], f"shape differs from {sizes}", test)
+
+
 def variant_requirements(block: str, tag: str, required: Mapping[str, Sequence[str]]) -> list[DocumentRule]:
     """Discriminated union: which sub-fields each tag value needs."""
 
@@ -559,12 +586,19 @@ DOCUMENT_RULES: dict[str, list[DocumentRule]] = {
         same_size(
             "V26",
             ["neuron_extracellular.number_of_samples_per_channel", "neuron_extracellular.waveform_sample_times"],
-        )
+        ),
+        matrix_shape(
+            "V26",
+            "neuron_extracellular.mean_waveform",
+            "neuron_extracellular.number_of_samples_per_channel",
+            "neuron_extracellular.number_of_channels",
+        ),
     ],
     "stimulus_parameter_table": [
         same_size(
             "V26", ["stimulus_parameter_table.parameter_names", "stimulus_parameter_table.table_data#cols"]
-        )
+        ),
+        matrix_shape("V26", "stimulus_parameter_table.table_data", "stimulus_parameter_table.num_stimuli"),
     ],
     "stimulus_tuningcurve": [
         same_size(

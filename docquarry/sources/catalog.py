@@ -272,14 +272,14 @@ class Catalog:
         return spark.createDataFrame(rows, "class_name string, kind string, record string")
 
 
-def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """Class files below ``path`` (flat or in tier folders).
+def read_catalog(spark: SparkSession, path: str, pattern: str = "*.json") -> Catalog:
+    """Class files below ``path`` (flat or in tier folders), by the pattern of their names.
 
     Only metadata is collected: one small JSON file per class.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
         .where(F.contains("value", F.lit("fields")))
     )

@@ -52,7 +52,8 @@ class KeyedTable:
 
     ``buckets`` must stay the same for the life of the table.  ``counted`` names a column of
     counts, which may be negative: equal rows are then one row with the sum of their counts, and
-    rows whose counts cancel out are gone.
+    rows whose counts cancel out are gone.  ``merged`` names further columns that are no part of
+    what makes rows equal, each with the function (sum, min, max) that joins them.
     """
 
     path: str
@@ -60,6 +61,7 @@ class KeyedTable:
     schema: str
     buckets: int = 64
     counted: str | None = None
+    merged: tuple[tuple[str, str], ...] = ()
 
     def append(self, rows: DataFrame, batch: int) -> None:
         """Write the rows of a batch (numbered from 0) and merge runs that are full.
@@ -113,8 +115,10 @@ class KeyedTable:
     def _added_up(self, rows: DataFrame) -> DataFrame:
         if self.counted is None:
             return rows
-        alike = [c for c in rows.columns if c != self.counted]
-        return rows.groupBy(*alike).agg(F.sum(self.counted).alias(self.counted)).where(F.col(self.counted) != 0)
+        joined = {self.counted: "sum", **dict(self.merged)}
+        alike = [c for c in rows.columns if c not in joined]
+        out = rows.groupBy(*alike).agg(*[getattr(F, how)(c).alias(c) for c, how in joined.items()])
+        return out.where(F.col(self.counted) != 0).select(*rows.columns)
 
     def runs(self, spark: SparkSession, before: int) -> list[str]:
         """Names of the runs that hold the batches below ``before``, the largest first."""
