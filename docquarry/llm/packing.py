@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from docquarry.llm.common import slices
-from docquarry.session import work_folder
+from docquarry.llm.common import shuffle_parts, slices
+from docquarry.session import compute_once, work_folder
 
 #: Chunks whose ids a worker keeps; a full table is reduced to what is in use.
 KEPT_CHUNKS = 450_000
@@ -294,16 +295,12 @@ def best_fit_pack(
     ``vocabulary`` is the path of a tokenizer file that every executor can open.
     """
     spark = docs.sparkSession
-    path = work_folder(spark, "packing-pieces")
-    pieces_of(docs, vocabulary, capacity, end_id, doc_id, text).write.option("compression", "zstd").parquet(path)
-    pieces = spark.read.schema(
-        "doc_id long, piece int, start long, length long, token_ids binary, task int, local_rank long"
-    ).parquet(path)
+    pieces = _stored_by_task(pieces_of(docs, vocabulary, capacity, end_id, doc_id, text))
     counts = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     plan = best_fit_plan(histogram, capacity)
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
-    base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     shared = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan))
 
@@ -315,5 +312,31 @@ def best_fit_pack(
         nth = rank - row[:, 1]
         return pd.DataFrame({"sequence_id": row[:, 2] + nth // row[:, 3], "offset": row[:, 4] + nth % row[:, 3] * length})
 
-    placed = pieces.join(base, ["task", "length"]).withColumn("__slot", slot("length", F.col("__base") + F.col("local_rank")))
+    # A row a task, small enough to be hashed; the pieces lie by task already and don't move.
+    ranked = pieces.join(_by_length(base).hint("shuffle_hash"), "task").withColumn(
+        "rank", F.get("bases", F.col("length").cast("int")) + F.col("local_rank")
+    )
+    ranked = compute_once(ranked.select("doc_id", "piece", "start", "length", "token_ids", "bases", "rank"), "rank").drop("bases")
+    placed = ranked.withColumn("__slot", slot("length", "rank"))
     return placed.select("doc_id", "piece", "start", "length", "token_ids", "__slot.sequence_id", "__slot.offset")
+
+
+def _stored_by_task(pieces: DataFrame) -> DataFrame:
+    """The pieces, written as a table in buckets of the task that made them: a file a task.
+
+    A join on the task then reads them where they lie, without a shuffle of their ids.
+    """
+    spark = pieces.sparkSession
+    name = f"packing_pieces_{uuid.uuid4().hex}"
+    writer = pieces.write.option("compression", "zstd").option("path", work_folder(spark, "packing-pieces"))
+    writer.bucketBy(2 * shuffle_parts(spark), "task").saveAsTable(name)
+    return spark.table(name)
+
+
+def _by_length(base: DataFrame) -> DataFrame:
+    """(task, bases): for each task an array that holds the base of a length at that place."""
+    held = F.sort_array(F.collect_list(F.struct("length", "base")))
+    none = F.lit(0).cast("long")
+    gap = lambda x, i: (x["length"] - F.when(i > 0, F.get("held", i - 1)["length"]).otherwise(F.lit(-1)) - 1).cast("int")
+    whole = F.flatten(F.transform("held", lambda x, i: F.concat(F.array_repeat(none, gap(x, i)), F.array(x["base"]))))
+    return base.groupBy("task").agg(held.alias("held")).select("task", whole.alias("bases"))
