@@ -210,6 +210,10 @@ class PromotedPlace(VariantPlace):
 #: Column metadata: the document path that a promoted column was taken from.
 PROMOTED = "promoted_from"
 
+#: Column metadata: the ``[*]`` path whose values a column bounds, and which bound it is.
+BOUNDS = "bounds_of"
+BOUND_KIND = "bound"
+
 Place = TypedPlace | VariantPlace
 
 
@@ -262,6 +266,48 @@ class DocumentLayout:
         return place
 
 
+def bound_columns(schema: T.StructType, path: str) -> dict[str, Column]:
+    """The bounds (least, greatest, least_text, greatest_text) that a corpus keeps of a ``[*]`` path."""
+    return {f.metadata[BOUND_KIND]: F.col(f"`{f.name}`") for f in schema.fields if f.metadata.get(BOUNDS) == path}
+
+
+def elements_at(layout: DocumentLayout, path: str, ask: Callable[[Place], Column | None]) -> Column | None:
+    """Array of what ``ask`` says of every place that a path with ``[*]`` names, or None."""
+
+    def below(place: Place | None, segments: list[str]) -> Column | None:
+        for i, segment in enumerate(segments):
+            place = place if place is None else place.child(segment.removesuffix("[*]"))
+            if place is None:
+                return None
+            if segment.endswith("[*]"):
+                return each(place, segments[i + 1 :])
+        found = ask(place)
+        return None if found is None else F.array(found)
+
+    def each(place: Place, rest: list[str]) -> Column | None:
+        if isinstance(place, VariantPlace):
+            items, inner = place._get("array<variant>"), VariantPlace
+        elif isinstance(place.dtype, T.ArrayType):
+            items, inner = place.col, lambda x: TypedPlace.of(x, place.dtype.elementType)
+        else:
+            return None
+        found = None
+
+        def one(x: Column) -> Column:
+            nonlocal found
+            found = below(inner(x), rest)
+            return F.lit(None) if found is None else found
+
+        parts = F.transform(items, one)
+        return None if found is None else F.flatten(F.filter(parts, lambda p: p.isNotNull()))
+
+    head, *rest = path.split(".")
+    place = layout.block(head.removesuffix("[*]"))
+    if place is None:
+        return None
+    return each(place, rest) if head.endswith("[*]") else below(place, rest)
+
+
 def _at(df, path: str) -> Place | None:
     return DocumentLayout(df.schema).locate(path.split("."))
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, ORDER_ID, TEXT_ID, query, uid_sql
 from docquarry.plans.query import all_, and_, Corpus, find, matches, none_, or_, Q, quantity
+from docquarry.session import work_folder
 from docquarry.sources import tables as t
+from docquarry.sources.documents import read_corpus, write_corpus
 
 
 def _ids(df):
@@ -265,6 +267,20 @@ def query_from_struct(spark, folder):
     return _ids(find(t.events(spark, folder), tree))
 
 
+@query(
+    "bounded_elements",
+    f"""SELECT {EVENT_ID} AS id FROM events WHERE extract(day FROM ts) > 27 OR extract(hour FROM ts) > 27
+        UNION ALL SELECT {EVENT_ID} FROM events WHERE extract(day FROM ts) = 3 OR extract(hour FROM ts) = 3""",
+)
+def bounded_elements(spark, folder):
+    """Conditions on elements of a stored list, by way of the bounds that were stored with it."""
+    path = work_folder(spark, "bounded")
+    write_corpus(t.opened(t.events(spark, folder)).sortWithinPartitions("datestamp"), path, bounds=["event.slot[*]"])
+    docs = read_corpus(spark, path)
+    late = find(docs, Q("event.slot[*]", "greaterthan", 27))
+    return late.select("id").unionByName(find(docs, Q("event.slot", "hasmember", 3)).select("id"))
+
+
 @query(
     "queryable_guard",
     f"SELECT {CUSTOMER_ID} AS id FROM customer WHERE c_acctbal < 0 AND c_nationkey > 20",

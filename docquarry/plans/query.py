@@ -14,7 +14,7 @@ from dataclasses import dataclass, field as dc_field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docquarry.functions.quantities import to_canonical_literal
-from docquarry.functions.values import DocumentLayout, Place, false_if_null
+from docquarry.functions.values import DocumentLayout, Place, bound_columns, false_if_null
 from docquarry.fixed_values import CANONICAL_FIELD
 
 
@@ -243,7 +243,10 @@ class QueryCompiler:
         found = self._leaf(replace(leaf, operation=leaf.operation.lstrip("~")))
         if negated:
             return ~false_if_null(found)
-        return found if as_filter and found is not None else false_if_null(found)
+        if as_filter and found is not None:
+            implied = implied_bounds(self.layout, leaf)
+            return found if implied is None else implied & found
+        return false_if_null(found)
 
     def _fold(self, parts, join, unit: bool, as_filter: bool) -> Column:
         columns = [self.compile(p, as_filter) for p in parts]
@@ -305,6 +308,35 @@ def leaf_column(layout: DocumentLayout, leaf: Q) -> Column | None:
     return _walk(place, segments[1:], test)
 
 
+#: What an operation on some element says about the least and the greatest of all elements.
+_IMPLIED: dict[str, Callable] = {
+    "exact_number": lambda low, high, v: (low <= v) & (high >= v),
+    "lessthan": lambda low, high, v: low < v,
+    "lessthaneq": lambda low, high, v: low <= v,
+    "greaterthan": lambda low, high, v: high > v,
+    "greaterthaneq": lambda low, high, v: high >= v,
+}
+
+
+def implied_bounds(layout: DocumentLayout, leaf: Q) -> Column | None:
+    """What a leaf over elements implies about stored bounds of its path.
+
+    The condition holds wherever the leaf does, and it is on plain columns, so it reaches the
+    scan as a pushed filter and files without a match are skipped; the leaf itself can't.
+    """
+    path, operation, value = leaf.field, leaf.operation, leaf.param1
+    if operation == "hasmember":
+        path, operation = f"{path}[*]", "exact_string" if isinstance(value, str) else "exact_number"
+    if "[*]" not in path:
+        return None
+    bounds = bound_columns(layout.schema, path)
+    if operation == "exact_string" and isinstance(value, str) and {"least_text", "greatest_text"} <= bounds.keys():
+        return _IMPLIED["exact_number"](bounds["least_text"], bounds["greatest_text"], F.lit(value))
+    if operation in _IMPLIED and _is_number(value) and {"least", "greatest"} <= bounds.keys():
+        return _IMPLIED[operation](bounds["least"], bounds["greatest"], F.lit(float(value)))
+    return None
+
+
 def _child_key(leaf: Q) -> Q:
     """Leaves are looked up by value; list parameters become hashable."""
     freeze = lambda p: tuple(freeze(x) for x in p) if isinstance(p, (list, tuple)) else p

@@ -6,6 +6,8 @@ Canonical layout: typed header columns, ``depends_on`` as an array of structs an
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquarry.fixed_values import (
@@ -22,7 +24,7 @@ from docquarry.fixed_values import (
     TEXT_TYPES,
 )
 from docquarry.functions.scalars import parse_datestamp
-from docquarry.functions.values import PROMOTED, VariantPlace
+from docquarry.functions.values import BOUND_KIND, BOUNDS, PROMOTED, DocumentLayout, VariantPlace, elements_at
 
 HEADER_COLUMNS = (
     "id",
@@ -157,17 +159,62 @@ def block_keys(df: DataFrame) -> Column:
     return F.array_sort(F.filter(keys, lambda k: ~k.isin(*FILE_KEYS)))
 
 
+def with_bounds(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Add, for each ``[*]`` path, the least and the greatest of its numbers and of its texts.
+
+    Queries over elements then push what they imply about these columns down to the scan.  NaN
+    meets no operation and doesn't count; a document without such elements has NULL.
+    """
+    out, layout = df, DocumentLayout(df.schema)
+    for path in paths:
+        stem = path.replace("[*]", "").replace(".", "__")
+        numbers = elements_at(layout, path, lambda p: p.number())
+        if numbers is not None:
+            real = F.filter(numbers, lambda x: ~F.isnan(x))
+            out = _bound(out, f"{stem}__least", F.array_min(real), path, "least")
+            out = _bound(out, f"{stem}__greatest", F.array_max(real), path, "greatest")
+        texts = elements_at(layout, path, lambda p: p.text())
+        if texts is not None:
+            out = _bound(out, f"{stem}__least_text", F.array_min(texts), path, "least_text")
+            out = _bound(out, f"{stem}__greatest_text", F.array_max(texts), path, "greatest_text")
+    return out
+
+
+def _bound(df: DataFrame, name: str, value: Column, path: str, kind: str) -> DataFrame:
+    return df.withColumn(name, value).withMetadata(name, {BOUNDS: path, BOUND_KIND: kind})
+
+
+def queryable_elements(catalog, classes=None) -> list[str]:
+    """``bounds`` for the lists that the catalog declares queryable: their elements, or the
+    elements' own scalar fields."""
+    out = []
+    for name in sorted(catalog.classes if classes is None else classes):
+        for block, f in catalog.placed_fields(name):
+            if not f.queryable or f.scalar or block == BASE_CLASS:
+                continue
+            if f.type == "structure":
+                out += [f"{block}.{f.name}[*].{x.name}" for x in f.fields if x.scalar and x.type in (*TEXT_TYPES, *NUMBER_TYPES)]
+            elif f.type in (*TEXT_TYPES, *NUMBER_TYPES):
+                out.append(f"{block}.{f.name}[*]")
+    return list(dict.fromkeys(out))
+
+
 def write_corpus(
-    df: DataFrame, path: str, promote: dict[str, tuple[str, str]] | None = None, mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    promote: dict[str, tuple[str, str]] | None = None,
+    mode: str = "errorifexists",
+    bounds: Sequence[str] = (),
 ) -> None:
     """Persist a corpus partitioned by class.
 
     ``promote`` lifts fields out of the VARIANT into typed columns (column -> (dot path below
     body, type)), so that their filters reach the scan; :func:`queryable_columns` derives it
     from a catalog.  A value of another type than asked stays in the body only.  The column
-    remembers its path, and queries on that path then use it.
+    remembers its path, and queries on that path then use it.  ``bounds`` are ``[*]`` paths for
+    :func:`with_bounds`; :func:`queryable_elements` derives them.
     """
-    out = df
+    out = with_bounds(df, bounds)
     for name, (field_path, as_type) in (promote or {}).items():
         place = VariantPlace(F.col("body"))
         for step in field_path.split("."):

@@ -191,3 +191,29 @@ def test_queryable_guard(spark):
 def test_unknown_operation_and_unit():
     with pytest.raises(ValueError):
         quantity("a.b", "lessthan", 1, "furlong", "length")
+
+
+def test_bounds_of_elements_are_pushed_and_change_nothing(spark, documents, tmp_path):
+    """Conditions on list elements reach the scan through stored bounds; the rows stay the same."""
+    from conftest import wire
+    from docquarry.plans.query import implied_bounds
+    from docquarry.functions.values import DocumentLayout
+    from docquarry.sources.documents import read_corpus, write_corpus
+
+    lists = [[1, 5, 9], [], [2.5], ["b", 7, None], ["a", "z"], None, [[3]], "7", [{"x": 7}], [-1, "m"]]
+    blocks = [{"thing": {"v": v, "axes": [{"unit": "mm", "n": i}, {"unit": None}], "deep": [{"w": [i, 2 * i]}, {}]}} for i, v in enumerate(lists)]
+    docs = documents(*[wire("thing", b, id=f"d{i}") for i, b in enumerate(blocks)])
+    paths = ["thing.v[*]", "thing.axes[*].unit", "thing.axes[*].n", "thing.deep[*].w[*]", "thing.none[*]"]
+    write_corpus(docs, str(tmp_path / "c"), bounds=paths)
+    stored = read_corpus(spark, str(tmp_path / "c"))
+    leaves = [Q("thing.v[*]", op, x) for op in ("exact_number", "lessthan", "lessthaneq", "greaterthan", "greaterthaneq") for x in (-1, 2.5, 7, 9)]
+    leaves += [Q("thing.v", "hasmember", x) for x in (7, 2.5, "a", "zz")] + [Q("thing.v[*]", "exact_string", "m")]
+    leaves += [Q("thing.axes[*].n", "greaterthan", 7), Q("thing.axes[*].unit", "exact_string", "mm"), Q("thing.deep[*].w[*]", "exact_number", 16)]
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    for leaf in leaves:
+        assert implied_bounds(DocumentLayout(stored.schema), leaf) is not None
+        assert ids(find(stored, leaf)) == ids(find(docs, leaf)), leaf
+        assert ids(find(stored, ~leaf)) == ids(find(docs, ~leaf)), leaf
+    plan = find(stored, leaves[-3])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(thing__axes__n__greatest,7.0)" in plan
+    assert implied_bounds(DocumentLayout(stored.schema), Q("thing.v[*]", "contains_string", "a")) is None
