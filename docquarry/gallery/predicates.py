@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquarry.gallery.registry import CUSTOMER_ID, EVENT_ID, ORDER_ID, TEXT_ID, query, uid_sql
+from docquarry.operators.text_index import TextIndex
 from docquarry.plans.query import all_, and_, Corpus, find, matches, none_, or_, Q, quantity
 from docquarry.session import work_folder
 from docquarry.sources import tables as t
@@ -281,6 +282,27 @@ def bounded_elements(spark, folder):
     return late.select("id").unionByName(find(docs, Q("event.slot", "hasmember", 3)).select("id"))
 
 
+@query(
+    "indexed_substring",
+    f"""SELECT n, {TEXT_ID} AS id FROM documents, (VALUES (0), (1), (2), (3)) v(n)
+        WHERE CASE n WHEN 0 THEN contains(text, 'tionsh') WHEN 1 THEN regexp_matches(text, '[a-z]ion[.] [A-Z]he[a-z]*sh')
+                     WHEN 2 THEN contains(text, 'no such text') ELSE contains(text, '@e') END""",
+)
+def indexed_substring(spark, folder):
+    """Literals and a pattern by way of the trigram index; what has no trigram is scanned."""
+    index = TextIndex(f"{work_folder(spark, 'trigrams')}/texts", "text_doc.text", buckets=8)
+    docs = t.text_docs(spark, folder)
+    for batch in range(2):
+        index.update(docs.where(F.char_length("text_doc.text") % 2 == batch), batch)
+    out = None
+    for n, (operation, value) in enumerate((
+        ("contains_string", "tionsh"), ("regexp", "[a-z]ion[.] [A-Z]he[a-z]*sh"), ("contains_string", "no such text"), ("contains_string", "@e"),
+    )):
+        found = index.search(docs, Q("text_doc.text", operation, value), before=2).select(F.lit(n).alias("n"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     "queryable_guard",
     f"SELECT {CUSTOMER_ID} AS id FROM customer WHERE c_acctbal < 0 AND c_nationkey > 20",

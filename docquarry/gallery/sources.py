@@ -91,6 +91,26 @@ def promoted_corpus(spark, folder):
     return parties.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+@query(
+    "shredded_corpus",
+    """SELECT class_name, count(*) AS n_documents FROM (
+         SELECT 'customer' AS class_name FROM customer WHERE c_acctbal > 5000 AND c_custkey % 7 <> 0
+         UNION ALL SELECT 'supplier' FROM supplier WHERE s_acctbal > 5000) GROUP BY class_name""",
+)
+def shredded_corpus(spark, folder):
+    """As promoted_corpus, without columns of its own: the scan reads the path from the stored body."""
+    path = work_folder(spark, "shredded")
+    customers = t.customers(spark, folder)
+    odd = F.col("customer.key") % 7 == 0
+    named = customers.where(odd).withColumn("party", F.col("party").withField("acctbal", F.col("party.acctbal").cast("string")))
+    docs = t.opened(customers.where(~odd))
+    for more in (named, t.suppliers(spark, folder), t.orders(spark, folder)):
+        docs = docs.unionByName(t.opened(more))
+    write_corpus(docs, path)
+    parties = find(read_corpus(spark, path), Q("", "isa", "party") & Q("party.acctbal", "greaterthan", 5000), t.CATALOG, snapshot_checked=True)
+    return parties.groupBy("class_name").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query(
     "unreadable_documents",
     """SELECT sink, rule, count(*) AS n_documents FROM (

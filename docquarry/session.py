@@ -17,6 +17,10 @@ def build_session(app: str = "docquarry", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Bodies are stored with their common paths as columns, and scans read the paths they need.
+        "spark.sql.variant.writeShredding.enabled": "true",
+        "spark.sql.variant.inferShreddingSchema": "true",
+        "spark.sql.variant.pushVariantIntoScan": "true",
         **conf,
     }
     for key, value in settings.items():
