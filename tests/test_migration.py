@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.gallery.conversions import TARGET
 from docquarry.operators.migration import migrate
 
+# Documents before and after migration as they are published.
 PAIRS = [
     (
         "probe_location",

@@ -9,6 +9,7 @@ from docquarry.operators.reports import validation_summary
 from docquarry.sources import tables as t
 from docquarry.sources.catalog import Catalog
 
+# A published class and document.
 LOCATION = t.define(
     "probe_location",
     [t.define_field("location", "ontology_term")],
