@@ -196,7 +196,7 @@ def split(rows: DataFrame, sets: DataFrame, rate: float) -> DataFrame:
             )
 
     # Sets hold a key several times where rows repeat an id and a text: a child has it once.
-    return rows.select("bucket", "key").join(sets, "key").select("bucket", "key", "tokens").mapInArrow(run, "parent long, bucket long, key binary, n int").distinct()
+    return _met(rows.select("bucket", "key"), sets, "key").select("bucket", "key", "tokens").mapInArrow(run, "parent long, bucket long, key binary, n int").distinct()
 
 
 def _compare(tokens: list[np.ndarray], paths: list[np.ndarray], bucket: int, side: np.ndarray | None, similarity: float) -> np.ndarray:
@@ -233,6 +233,12 @@ def _compare(tokens: list[np.ndarray], paths: list[np.ndarray], bucket: int, sid
     return good
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, whatever their sizes: the tables of a small input are joined as
+    those of a large one, and no side that grows with the corpus is ever broadcast."""
+    return left.hint("merge").join(right, on, how)
+
+
 def links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(key, other, copies): for each node the copies it is linked with, and star edges.
 
@@ -247,12 +253,9 @@ def links(leaves: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     )
     mass = cut_lineage(mass, "bucket-blocks")
     own = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
+    placed = _met(leaves.select("bucket", "key"), mass, "bucket").withColumn("own", own)
     dealt = (
-        leaves.select("bucket", "key")
-        .join(mass, "bucket")
-        .withColumn("own", own)
-        .join(paths, "key")
-        .join(sets, "key")  # the large side comes last, and rows are repeated for their blocks after it
+        _met(_met(placed, paths, "key"), sets, "key")  # the large side comes last, and rows are repeated for their blocks after it
         .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("own", "against"))
         .withColumn("high", F.greatest("own", "against"))
@@ -343,7 +346,7 @@ def wanted_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     # that repeat an id and a text, which links() takes as one.
     found = rows.select(F.col("__key").alias("key"), "__id", "__text").withColumn("place", place).mapInArrow(run, "key binary, __id long, tokens array<long>")
     same = (found["key"] == wanted["key"]) & found["__id"].eqNullSafe(wanted["text_id"])
-    return found.join(wanted, same).select(wanted["key"], "copies", "tokens")
+    return _met(found, wanted, same).select(wanted["key"], "copies", "tokens")
 
 
 def text_key(text: str) -> Column:
@@ -368,10 +371,10 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, recall:
     large = cut_lineage(members.join(crowded, "bucket").select("bucket", "key", "n", "members"), "join-large")
     small = members.join(crowded.select("bucket"), "bucket", "left_anti")
     leaves = cut_lineage(prune(small, similarity), "join-pruned")
-    leaves = leaves.join(cut_lineage(live_buckets(leaves), "join-live"), "bucket").select("bucket", "key", "n")
+    leaves = _met(leaves, cut_lineage(live_buckets(leaves), "join-live"), "bucket").select("bucket", "key", "n")
 
     # Shingle sets of the texts that may have a partner.
-    wanted = leaves.select("key").unionByName(large.select("key")).distinct().join(nodes, "key")
+    wanted = _met(leaves.select("key").unionByName(large.select("key")).distinct(), nodes, "key")
     wanted = cut_lineage(wanted.select("key", "text_id", "copies"), "join-wanted")
     sets = cut_lineage(wanted_sets(rows, wanted), "join-sets")
 
@@ -380,17 +383,15 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, recall:
         sizes = parts.groupBy("parent", "bucket").agg(F.count(F.lit(1)).alias("many"))
         work = sizes.groupBy("parent").agg(F.sum(F.col("many").cast("double") * F.col("many")).alias("work"))
         verdict = (
-            large.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("many"))
-            .join(work, F.col("bucket") == F.col("parent"), "left")
+            _met(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")), work, F.col("bucket") == F.col("parent"), "left")
             .select("bucket", (F.coalesce("work", F.lit(0.0)) < 0.5 * F.col("many").cast("double") * F.col("many")).alias("splits"))
         )
         verdict = cut_lineage(verdict, "join-verdict")
-        alike = large.join(verdict.filter("not splits"), "bucket").select("bucket", "key", "n")
+        alike = _met(large, verdict.filter("not splits"), "bucket").select("bucket", "key", "n")
         leaves = leaves.unionByName(alike)
-        parts = parts.join(verdict.filter("splits").select(F.col("bucket").alias("parent")), "parent").select("bucket", "key", "n")
+        parts = _met(parts, verdict.filter("splits").select(F.col("bucket").alias("parent")), "parent").select("bucket", "key", "n")
         smaller = cut_lineage(live_buckets(parts), "join-live")
-        parts = cut_lineage(parts.join(smaller, "bucket"), "join-members")
+        parts = cut_lineage(_met(parts, smaller, "bucket"), "join-members")
         leaves = leaves.unionByName(parts.filter(F.col("members") <= SMALL).select("bucket", "key", "n"))
         large = parts.filter(F.col("members") > SMALL)
     leaves = cut_lineage(leaves.unionByName(large.select("bucket", "key", "n")), "join-leaves")
@@ -398,10 +399,10 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float, recall:
     found = cut_lineage(links(leaves, sets, similarity), "join-links")
     totals = found.filter("other is null").groupBy("key").agg(F.sum("copies").alias("linked"))
     labels = connected_components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
-    grouped = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    grouped = _met(nodes, labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = F.min(F.struct(F.col("text_id").isNull().alias("null"), "text_id", "key"))
     classes = grouped.groupBy("label").agg(F.min("text_id").alias("class_id"), first["key"].alias("first_key"), F.sum("copies").alias("class_rows"))
-    result = grouped.join(classes, "label").join(totals, "key", "left")
+    result = _met(_met(grouped, classes, "label"), totals, "key", "left")
     result = cut_lineage(
         result.select(
             F.col("key").alias("__key"), "class_id", "text_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "first_key", "class_rows"
@@ -423,7 +424,7 @@ def near_duplicates(
     count as empty; texts without a word are linked with equal ones only.  Null ids come last.
     """
     rows, result = _classes(docs, doc_id, text, similarity, recall)
-    return rows.select("__id", "__key").join(result, "__key").select(
+    return _met(rows.select("__id", "__key"), result, "__key").select(
         F.col("__id").alias(doc_id), "class_id", "text_id", F.col("copies").alias("n_copies"), "n_links"
     )
 
@@ -437,6 +438,6 @@ def near_copies(
     class, that of smallest id (null last), then key; rows may repeat it.
     """
     rows, result = _classes(docs, doc_id, text, similarity, recall)
-    members = rows.select("__id", "__key").join(result.filter("class_rows > 1"), "__key")
+    members = _met(rows.select("__id", "__key"), result.filter("class_rows > 1"), "__key")
     kept = F.col("__id").eqNullSafe(F.col("class_id")) & (F.col("__key") == F.col("first_key"))
     return members.select(F.col("__id").alias(doc_id), F.col("__key").alias("text_key"), kept.alias("kept")).distinct()
