@@ -47,7 +47,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__of")) & (F.col(key) == F.col("__of_key"))
     members = cut_lineage(near_copies(docs).select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__of_key"), "kept"), "near-copies")
     kept = members.filter("kept").select("__of", "__of_key")
-    stay = keyed.join(members.filter("not kept").select("__of", "__of_key"), same, "left_anti")
+    # By sorting at any size: the dropped rows grow with the corpus and are never broadcast.
+    stay = keyed.hint("merge").join(members.filter("not kept").select("__of", "__of_key"), same, "left_anti")
     ids = stay.select("doc_id", key).join(kept, same, "left_semi")
     repeated = cut_lineage(
         ids.groupBy(F.col("doc_id").cast("long").alias("__of"), F.col(key).alias("__of_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
