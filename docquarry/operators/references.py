@@ -83,7 +83,7 @@ class ReferenceIndex:
         return corpus.where(F.col("class_name").isin(classes)).join(wanted, same, "left_semi")
 
 
-def _key(id_: Column) -> Column:
+def id_key(id_: Column) -> Column:
     """Ids as keys; documents without one share a key that no id has."""
     return F.coalesce(F.concat(F.lit("="), id_), F.lit(""))
 
@@ -121,9 +121,9 @@ class IntegrityIndex:
     def update(self, added: DataFrame, batch: int, withdrawn: DataFrame | None = None) -> None:
         """Take in a batch (numbered from 0); a batch given again replaces what it wrote."""
         changes = cut_lineage(signed(added, withdrawn, "id", "class_name", "lineage", "depends_on"), "changes")
-        ids = cut_lineage(summed(changes.select(_key(F.col("id")).alias("key"), "class_name", "lineage", "n")), "changed-ids")
+        ids = cut_lineage(summed(changes.select(id_key(F.col("id")).alias("key"), "class_name", "lineage", "n")), "changed-ids")
         references = cut_lineage(ReferenceIndex.references(changes.drop("lineage")), "changed-references")
-        asked = ids.select("key").unionByName(references.select(_key(F.col("target")).alias("key"))).distinct()
+        asked = ids.select("key").unionByName(references.select(id_key(F.col("target")).alias("key"))).distinct()
         stored = cut_lineage(self.ids.lookup(asked, batch), "stored-ids")
         before = cut_lineage(self._states(stored), "states-before")
         after = cut_lineage(self._states(summed(stored.unionByName(ids))), "states-after")
@@ -173,7 +173,7 @@ class IntegrityIndex:
         """Findings of references under the given states, counted ``by`` times."""
         declared = self.catalog.dependencies_table(references.sparkSession).where("must_refer_to <> ''")
         declared = declared.select("class_name", "dep_base_name", "must_refer_to")
-        keyed = references.withColumn("key", _key(F.col("target")))
+        keyed = references.withColumn("key", id_key(F.col("target")))
         dangling = keyed.join(states.select("key"), "key", "left_anti").select(
             "key", "id", F.lit("dangling").alias("rule"), F.col("dep_name").alias("detail"), (F.col("n") * by).alias("n")
         )

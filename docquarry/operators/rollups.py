@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquarry.operators import reports
-from docquarry.operators.references import _key
+from docquarry.operators.references import id_key
 from docquarry.session import cut_lineage
 from docquarry.sources.keyed import KeyedTable
 
@@ -71,7 +71,7 @@ class Rollups:
         self.bindings.append(reports.session_pairs(docs, self.dataset_field).groupBy("dataset_id", "session_id").agg(n), batch)
         if "errors" in docs.columns:
             self.errors.append(reports.validation_summary(docs), batch)
-        counts = cut_lineage(docs.groupBy("id").agg(n).select(_key(F.col("id")).alias("key"), "id", "n"), "new-ids")
+        counts = cut_lineage(docs.groupBy("id").agg(n).select(id_key(F.col("id")).alias("key"), "id", "n"), "new-ids")
         held = self.ids.lookup(counts, batch).select("key", F.col("n").alias("before"))
         both = cut_lineage(counts.join(held, "key", "left").withColumn("before", F.coalesce("before", F.lit(0).cast("long"))), "id-counts")
         row = lambda size, by: both.where(size > 1).select(
