@@ -157,8 +157,11 @@ class WordBpe:
         if len(plain) < len(missing):
             for c in missing.difference(plain):
                 chunks[c] = self._library(c)
+        # Most are words in lower case, each a piece of its own.
+        words, plain = [c for c in plain if c.isalpha() and c.islower()], [c for c in plain if not (c.isalpha() and c.islower())]
         pieces = list(map(self._pieces, plain))
         new = {w for p in pieces for w in p}.difference(chunks)
+        new.update(words)
         raw = [(w, w.encode()) for w in new]
         for least, most in ((1, 8), (9, 16), (17, LONGEST_WORD)):
             some = [x for x in raw if least <= len(x[1]) <= most]
