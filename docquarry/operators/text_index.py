@@ -72,8 +72,9 @@ def required_literals(pattern: str) -> list[str]:
 class TextIndex:
     """Trigrams of the text at one path (a ``[*]`` path: of all elements), kept batch by batch.
 
-    Rows are (gram, id); documents without an id, or under a repeated one, are judged like all
-    others when a search reads them.
+    A posting row holds the 32-bit hashes of the ids that one task found under a gram; ids that share a
+    hash are candidates together, and the search judges them.  Documents without an id, or under a
+    repeated one, are judged like all others when a search reads them.
     """
 
     path: str
@@ -82,7 +83,7 @@ class TextIndex:
 
     @cached_property
     def postings(self) -> KeyedTable:
-        return KeyedTable(f"{self.path}/postings", "gram", "gram string, id string", self.buckets)
+        return KeyedTable(f"{self.path}/postings", "gram", "gram string, ids array<int>", self.buckets)
 
     @cached_property
     def counts(self) -> KeyedTable:
@@ -95,10 +96,13 @@ class TextIndex:
             return
         whole = F.filter(texts if "[*]" in self.field else F.coalesce(texts, F.array().cast("array<string>")), lambda x: x.isNotNull())
         found = F.flatten(F.transform(whole, grams))
-        rows = docs.where(F.col("id").isNotNull()).select("id", F.explode(F.array_distinct(found)).alias("gram"))
-        rows = cut_lineage(rows.select("gram", "id").distinct(), "grams")
-        self.postings.append(rows, batch)
-        self.counts.append(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), batch)
+        named = docs.where(F.col("id").isNotNull())
+        rows = named.select(F.hash("id").alias("id"), F.spark_partition_id().alias("task"), F.explode(F.array_distinct(found)).alias("gram"))
+        # A list a task: short rows, and most of the ids travel as four bytes.
+        lists = rows.groupBy("gram", "task").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        lists = cut_lineage(lists.select("gram", "ids"), "grams")
+        self.postings.append(lists, batch)
+        self.counts.append(lists.groupBy("gram").agg(F.sum(F.size("ids").cast("long")).alias("n")), batch)
 
     def asked(self, leaf: Q) -> set[str]:
         """Trigrams that a document must hold to fulfil a leaf; empty where the index can't help."""
@@ -111,7 +115,7 @@ class TextIndex:
         return set()
 
     def candidates(self, corpus: DataFrame, leaf: Q, before: int) -> DataFrame | None:
-        """Ids (``id``) of documents that may fulfil the leaf, or None: all of them may."""
+        """Hashes (``id``) of the ids of documents that may fulfil the leaf, or None: all of them may."""
         wanted = sorted(self.asked(leaf))
         if not wanted:
             return None
@@ -119,10 +123,10 @@ class TextIndex:
         keys = spark.createDataFrame([(g,) for g in wanted], "gram string")
         held = {r["gram"]: r["n"] for r in self.counts.lookup(keys, before).collect()}  # a row a trigram of the literal
         if len(held) < len(wanted):
-            return spark.createDataFrame([], "id string")
+            return spark.createDataFrame([], "id int")
         rarest = sorted(wanted, key=lambda g: (held[g], g))[:ASKED]
         rows = self.postings.lookup(spark.createDataFrame([(g,) for g in rarest], "gram string"), before)
-        return rows.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest)).select("id")
+        return rows.select("gram", F.explode("ids").alias("id")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rarest)).select("id")
 
     def search(self, corpus: DataFrame, leaf: Q, before: int) -> DataFrame:
         """The documents of ``corpus`` that fulfil the leaf; all of it must have been taken in."""
@@ -130,5 +134,5 @@ class TextIndex:
         if ids is None:
             return find(corpus, leaf)
         wanted = cut_lineage(ids, "candidates").select(F.col("id").alias("__id"))
-        some = corpus.join(wanted, F.col("id") == F.col("__id"), "left_semi")
+        some = corpus.join(wanted, F.hash("id") == F.col("__id"), "left_semi")
         return find(some.unionByName(corpus.where(F.col("id").isNull())), leaf)

@@ -61,3 +61,14 @@ def test_a_scan_reads_one_path_of_stored_bodies(spark, tmp_path):
         whole += sum(c.total_compressed_size for c in columns)
         read += sum(c.total_compressed_size for c in columns if c.path_in_schema == "body.metadata" or "party.typed_value.acctbal" in c.path_in_schema)
     assert 0 < read < whole / 8
+
+
+def test_postings_are_lists(spark, tmp_path):
+    """A row a gram and task with the hashes of its ids, not a row a gram and document."""
+    docs = spark.range(200).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), F.struct(F.lit("the quick fox").alias("text")).alias("doc"))
+    index = TextIndex(str(tmp_path / "lists"), "doc.text", buckets=2)
+    index.update(docs.coalesce(4), 0)
+    rows = index.postings.read(spark, 1)
+    assert rows.where("gram = 'qui'").count() <= 4
+    assert rows.where("gram = 'qui'").select(F.explode("ids")).distinct().count() == 200
+    assert index.search(docs, Q("doc.text", "contains_string", "quick"), 1).count() == 200
