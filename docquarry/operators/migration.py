@@ -24,7 +24,7 @@ from docquarry.functions.quantities import concentration
 from docquarry.functions.scalars import literal_map, split_list
 from docquarry.functions.terms import lower_prefix, normalise_prefix, ontology_term, snake_class
 from docquarry.operators import steps as s
-from docquarry.operators.structure import csv_records, known_csv_header
+from docquarry.operators.structure import csv_records
 from docquarry.session import compute_once
 from docquarry.sources.catalog import Catalog
 
@@ -72,8 +72,8 @@ def _frequency_tuning(axis: str) -> list[s.Step]:
 
 def _readable_mixture(fields: Column) -> Column:
     """There is a table, all its columns are known, and it has a record."""
-    table = s.text(fields, "mixture_table")
-    return F.coalesce(known_csv_header(table, _MIXTURE_SCHEMA) & (F.size(csv_records(table, _MIXTURE_SCHEMA)) > 0), F.lit(False))
+    # A header with an unknown column gives no records.
+    return F.coalesce(F.size(csv_records(s.text(fields, "mixture_table"), _MIXTURE_SCHEMA)) > 0, F.lit(False))
 
 
 def _unreadable_mixture(value: Column) -> Column:
@@ -82,17 +82,19 @@ def _unreadable_mixture(value: Column) -> Column:
 
 
 def _mixture(fields: Column) -> Column:
-    records = csv_records(s.text(fields, "mixture_table"), _MIXTURE_SCHEMA)
-    return F.when(
-        _readable_mixture(fields),
-        s.variant(
-            F.transform(
-                records,
-                lambda r: F.struct(
-                    ontology_term(r["ontologyName"], r["name"]).alias("chemical"),
-                    concentration(r["value"], r["unitName"]).alias("amount"),
-                ),
-            )
+    return s.let(
+        csv_records(s.text(fields, "mixture_table"), _MIXTURE_SCHEMA),
+        lambda records: F.when(
+            F.size(records) > 0,
+            s.variant(
+                F.transform(
+                    records,
+                    lambda r: F.struct(
+                        ontology_term(r["ontologyName"], r["name"]).alias("chemical"),
+                        concentration(r["value"], r["unitName"]).alias("amount"),
+                    ),
+                )
+            ),
         ),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from docquarry.fixed_values import BASE_CLASS, CANONICAL_FIELD, TEXT_TYPES, UID_TYPE
 from docquarry.functions.scalars import split_list
 from docquarry.functions.values import DocumentLayout, VariantPlace
+from docquarry.operators.steps import let
 from docquarry.sources.catalog import Catalog, FieldDef
 from docquarry.sources.documents import block_keys
 
@@ -308,7 +309,10 @@ def _csv_header(text: Column) -> Column:
 
 def known_csv_header(text: Column, schema: str) -> Column:
     """True where the header line names columns of the schema only, each once."""
-    names = _csv_header(text)
+    return let(_csv_header(text), lambda names: _known_names(names, schema))
+
+
+def _known_names(names: Column, schema: str) -> Column:
     known = F.size(F.array_except(names, F.array(*[F.lit(n) for n in _csv_names(schema)]))) == 0
     return known & (F.size(F.array_distinct(names)) == F.size(names))
 
@@ -320,29 +324,37 @@ def csv_records(text: Column, schema: str) -> Column:
     NULL.  A header with a name outside the schema gives no records (:func:`known_csv_header`).
     """
     parts, names = schema.split(","), _csv_names(schema)
-    lines = F.filter(
-        F.slice(F.split(text, r"\r?\n"), F.lit(2), F.greatest(F.size(F.split(text, r"\r?\n")) - 1, F.lit(0))),
-        lambda line: F.trim(line) != "",
-    )
     # Read as text by position first, since the order of the columns is a matter of the row.
     wide = ", ".join(f"c{i} string" for i in range(len(parts)))
-    places = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position(_csv_header(text), n).cast("int"))
-
-    def record(line: Column) -> Column:
-        row = F.from_csv(line, F.lit(wide))
-        cells = F.array(*[row[f"c{i}"] for i in range(len(parts))])
-        return F.struct(
-            *[
-                F.when(F.get(places, F.lit(i)) > 0, F.get(cells, F.get(places, F.lit(i)) - 1))
-                .try_cast(part.split()[1])
-                .alias(name)
-                for i, (name, part) in enumerate(zip(names, parts))
-            ]
+    none = F.array().cast(f"array<struct<{','.join(f'{n}:{p.split()[1]}' for n, p in zip(names, parts))}>>")
+
+    # Lambda bodies are evaluated per line, so the header, its places and the cells of a line are bound once.
+    def cells(line: Column) -> Column:
+        return let(F.from_csv(line, F.lit(wide)), lambda row: F.array(*[row[f"c{i}"] for i in range(len(parts))]))
+
+    def record(line: Column, places: Column) -> Column:
+        return let(
+            cells(line),
+            lambda found: F.struct(
+                *[
+                    F.when(F.get(places, F.lit(i)) > 0, F.get(found, F.get(places, F.lit(i)) - 1))
+                    .try_cast(part.split()[1])
+                    .alias(name)
+                    for i, (name, part) in enumerate(zip(names, parts))
+                ]
+            ),
         )
 
-    return F.when(known_csv_header(text, schema), F.transform(lines, record)).otherwise(
-        F.array().cast(f"array<struct<{','.join(f'{n}:{p.split()[1]}' for n, p in zip(names, parts))}>>")
-    )
+    def records(table: Column) -> Column:
+        lines = F.filter(
+            F.slice(table["lines"], F.lit(2), F.greatest(F.size(table["lines"]) - 1, F.lit(0))), lambda line: F.trim(line) != ""
+        )
+        places = F.array(*[F.array_position(table["names"], F.lit(n)).cast("int") for n in names])
+        return F.when(
+            _known_names(table["names"], schema), let(places, lambda p: F.transform(lines, lambda line: record(line, p)))
+        ).otherwise(none)
+
+    return let(F.struct(F.split(text, r"\r?\n").alias("lines"), _csv_header(text).alias("names")), records)
 
 
 PROBE_MAP_FIELDS = ("name", "reference", "type", "devicestring", "subjectstring")
