@@ -59,6 +59,10 @@ TARGET = Catalog.from_definitions(
 )
 
 
+#: Stored bytes of a table that one task converts: narrow rows, each with a fraction of a millisecond of work.
+_SPLIT_BYTES = 1 << 20
+
+
 def legacy(
     rows: DataFrame, class_name: str | Column, id: Column, blocks: dict[str, Column], **top: Column  # noqa: A002
 ) -> DataFrame:
@@ -82,7 +86,7 @@ def legacy(
         *[block.alias(n) for n, block in blocks.items()],
         *[value.alias(n) for n, value in top.items()],
     )
-    return normalise_wire_shape(spread(rows).select(F.to_variant_object(doc).alias("doc")))
+    return normalise_wire_shape(spread(rows, _SPLIT_BYTES).select(F.to_variant_object(doc).alias("doc")))
 
 
 def get(df: DataFrame, path: str, as_type: str) -> Column:

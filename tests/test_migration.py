@@ -163,3 +163,24 @@ def test_a_taken_name_wins(documents):
     block = {"hartley_reverse_correlation": {"frameTimes": [1], "frame_times": [2], "stimulus_properties": {"M": 1, "m": 2}}}
     body = migrate(documents(wire("hartley_calc", block)), TARGET, only=["hartley_reverse_correlation"]).select(F.to_json("body")).first()[0]
     assert json.loads(body)["hartley_reverse_correlation"] == {"frame_times": [2], "stimulus_properties": {"m": 2}}
+
+
+def test_tasks_grow_in_number(spark, tmp_path):
+    """A bound on stored bytes gives an input more tasks than cores; a small input keeps one a core."""
+    from docquarry.session import spread
+
+    spark.range(400000).selectExpr("id", "md5(cast(id as string)) AS s").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda df: df._jdf.queryExecution().toRdd().getNumPartitions()
+    assert parts(spread(rows, 1 << 20)) > cores and parts(spread(rows, 1 << 40)) == cores
+    assert spread(rows, 1 << 20).agg(F.count_distinct("id")).first()[0] == 400000
+
+
+def test_a_csv_line_is_read_once(spark):
+    from docquarry.operators.structure import csv_records
+
+    plan = spark.range(1).select(csv_records(F.concat(F.lit("a,b\n1,x\n"), F.col("id").cast("string")), "a double, b string").alias("r"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("from_csv") == 1
+    found = spark.createDataFrame([("b,a\nx,1\n\ny,2",), ("a,z\n1,2",), (None,), ("a\n3",)], "t string").select(csv_records(F.col("t"), "a double, b string").alias("r"))
+    assert [[tuple(x) for x in r["r"]] for r in found.collect()] == [[(1.0, "x"), (2.0, "y")], [], [], [(3.0, None)]]
