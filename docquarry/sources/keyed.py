@@ -25,6 +25,8 @@ FAN_OUT = 16
 #: Bits a key has in a filter, and bits that it sets: about one false file in a hundred.
 BITS_PER_KEY = 10
 PROBES = 4
+#: Keys asked of a bucket from which on its filters let nearly any set of keys pass by chance, and aren't asked.
+MANY_KEYS = 4096
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -72,10 +74,7 @@ class KeyedTable:
         if batch > 0:
             self._drop_merged(spark, batch - 1)
         rows = rows.select(*T.StructType.fromDDL(self.schema).fieldNames())
-        if rows.isEmpty():
-            self._delete(spark, self._name(0, batch))
-        else:
-            self._write(rows, self._name(0, batch))
+        self._write(rows, self._name(0, batch))
         level, number = 0, batch
         while number % FAN_OUT == FAN_OUT - 1:
             parts = [r for n in range(number - FAN_OUT + 1, number + 1) for r in self._written(spark, level, n)]
@@ -98,6 +97,12 @@ class KeyedTable:
     def files_for(self, asked: DataFrame, runs: list[str]) -> list[str]:
         """Folders that may hold one of the keys: at most runs x buckets names."""
         spark = asked.sparkSession
+        counted = asked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket
+        many = [r["bucket"] for r in counted if r["n"] >= MANY_KEYS]
+        whole = [f"{self.path}/data/run={r}/bucket={b}" for r in runs for b in many]
+        if len(many) == len(counted):
+            return sorted(whole)
+        asked = asked.where(~F.col("bucket").isin(many))
         filters = spark.read.schema("bucket int, bits long, words array<long>, run string").option(
             "basePath", f"{self.path}/filters").parquet(*[f"{self.path}/filters/run={r}" for r in runs])
         probed = asked.join(filters, "bucket")
@@ -106,7 +111,7 @@ class KeyedTable:
             place = _probe(i, F.col(self.key), F.col("bits"))
             hit = hit & (F.bit_get(F.get("words", F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1)
         found = probed.where(hit).select("run", "bucket").distinct().collect()
-        return sorted(f"{self.path}/data/run={r['run']}/bucket={r['bucket']}" for r in found)
+        return sorted([*whole, *[f"{self.path}/data/run={r['run']}/bucket={r['bucket']}" for r in found]])
 
     def read(self, spark: SparkSession, before: int) -> DataFrame:
         """All rows of earlier batches."""
@@ -149,9 +154,13 @@ class KeyedTable:
         # Rebalanced, not repartitioned: a bucket with a hot key is written by several tasks.
         placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(data)
         written = spark.read.schema(T.StructType([*T.StructType.fromDDL(self.schema).fields, T.StructField("bucket", T.IntegerType())])).parquet(data)
-        keys = written.where(F.col(self.key).isNotNull()).select("bucket", self.key).distinct()
+        if written.isEmpty():
+            self._delete(spark, name)
+            return
+        # Neither the sketch of the number of keys nor the bits need distinct keys: none is shuffled.
+        keys = written.where(F.col(self.key).isNotNull()).select("bucket", self.key)
         sizes = keys.groupBy("bucket").agg(
-            F.greatest(F.lit(64), F.pow(F.lit(2.0), F.ceil(F.log2(F.count(F.lit(1)) * BITS_PER_KEY))).cast("long")).cast("long").alias("bits")
+            F.greatest(F.lit(64), F.pow(F.lit(2.0), F.ceil(F.log2(F.approx_count_distinct(self.key) * BITS_PER_KEY))).cast("long")).cast("long").alias("bits")
         )
         probed = keys.join(F.broadcast(sizes), "bucket")  # a row a bucket
         places = probed.select("bucket", "bits", F.explode(F.array(*[_probe(i, F.col(self.key), F.col("bits")) for i in range(PROBES)])).alias("place"))
