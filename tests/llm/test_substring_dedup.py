@@ -51,6 +51,16 @@ def test_windows_with_equal_low_bits_are_told_apart(monkeypatch):
     assert not (edges & np.uint64((1 << 48) - 1)).any() and len(np.unique(edges, axis=0)) == len(edges) == 24
 
 
+def test_twelve_bytes_an_edge_travel_and_tell_edges_apart():
+    _, _, _, packed, offsets = s.segments(s.pa.array([" ".join(awkward.words(60, 300 + i)) for i in range(5)]), 35)
+    sent, cuts = s.sent_edges(packed, offsets)
+    whole = packed.view("<u8").reshape(-1, 2)
+    edge, other = s.read_edges(sent)
+    assert len(sent) == 12 * len(whole) and (cuts * 16 == offsets * 12).all()
+    assert (edge == whole[:, 0]).all() and (other == whole[:, 1] & np.uint64(0xFFFFFFFF)).all()
+    assert len(np.unique(other)) == len(other) == 5 * 26  # the second hash alone tells these apart
+
+
 def test_empty_table(none):
     assert s.drop_repeats(none).count() == 0
 
