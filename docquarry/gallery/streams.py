@@ -81,7 +81,7 @@ def stream_dedupe_batches(spark, folder):
     newer = F.col("event_id") % 2 == 0
     changed = F.when(F.col("event_type") == "error", F.col("value") + 1).otherwise(F.col("value"))
     for name, part in (("0", rows.where(newer)), ("1", rows.where(~newer)), ("2", rows.withColumn("value", changed))):
-        part.write.parquet(f"{root}/in/{name}")
+        part.write.option("compression", "zstd").parquet(f"{root}/in/{name}")
         files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         docs = _header(t.events(spark, folder, files), "event")
         ingest.stream_dedupe_ids(docs, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state")), buckets=8).awaitTermination()
@@ -141,7 +141,7 @@ def stream_integrity_batches(spark, folder):
     )
     rows = rows.withColumn("props", F.to_json(F.struct(target.alias("target"))))
     for name, places in (("0", (2, 3)), ("1", (1,)), ("2", (0,))):
-        rows.where(place.isin(*places)).write.parquet(f"{root}/in/{name}")
+        rows.where(place.isin(*places)).write.option("compression", "zstd").parquet(f"{root}/in/{name}")
         files = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
         docs = t.events(spark, folder, files)
         target = F.try_variant_get("event.props", "$.target", "string")

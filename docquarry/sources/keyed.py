@@ -94,6 +94,16 @@ class KeyedTable:
         found = self._read(spark, self.files_for(asked, runs)).join(asked.select(self.key), self.key, "left_semi")
         return self._added_up(found)
 
+    def candidates(self, keys: DataFrame, before: int) -> DataFrame:
+        """All rows of the files that may hold one of ``keys``, others among them, for a caller that joins by key itself.
+
+        ``keys`` may repeat and are read more than once; nothing is shuffled but counts.
+        """
+        runs = self.runs(keys.sparkSession, before)
+        asked = keys.select(self.key).where(F.col(self.key).isNotNull()).withColumn("bucket", self._bucket())
+        files = self.files_for(asked, runs) if runs else []
+        return self._added_up(self._read(keys.sparkSession, files))
+
     def files_for(self, asked: DataFrame, runs: list[str]) -> list[str]:
         """Folders that may hold one of the keys: at most runs x buckets names."""
         spark = asked.sparkSession
@@ -152,7 +162,7 @@ class KeyedTable:
         spark, data = rows.sparkSession, f"{self.path}/data/run={name}"
         placed = rows.withColumn("bucket", self._bucket())
         # Rebalanced, not repartitioned: a bucket with a hot key is written by several tasks.
-        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").partitionBy("bucket").parquet(data)
+        placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(data)
         written = spark.read.schema(T.StructType([*T.StructType.fromDDL(self.schema).fields, T.StructField("bucket", T.IntegerType())])).parquet(data)
         if written.isEmpty():
             self._delete(spark, name)

@@ -172,3 +172,24 @@ def test_ledger_opens_only_files_that_may_hold_an_id(spark, tmp_path, monkeypatc
     asked = spark.createDataFrame([(None,)], "id string").union(spark.range(3).select(F.md5(F.col("id").cast("string"))))
     assert table.lookup(asked, 18).count() == 3 and len(table.lookup(asked, 18).inputFiles()) <= 2 * 3
     assert sum(opened) < 18 * 3 and max(opened[10:]) <= max(opened[:6]) + 3
+
+
+def test_short_ids_are_read_back(spark):
+    usual = "4126919195e6b5af_40d651024919a2e4"
+    ids = [usual, usual.upper(), usual + "\n", usual.replace("_", ""), "", "a", "\0", "é" * 8, "fifteen-letters", "x" * 16, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", ingest.short_id("id").alias("short"))
+    got = rows.select("id", "short", ingest.full_id("short").alias("back")).collect()
+    assert all(r["id"] == r["back"] for r in got)
+    assert len({bytes(r["short"]) for r in got if r["id"] is not None}) == len(ids) - 1 and len(got[0]["short"]) == 16
+
+
+def test_copies_and_collisions_of_documents_without_id(spark, tmp_path):
+    source, root, now = str(tmp_path / "in"), str(tmp_path), "2024-01-01 00:00:00"
+    _drop(spark, source, "a", [(None, now, "x"), ("", now, "x"), (None, now, "x"), ("k", now, "")] + [("k", now, "")] * 5)
+    _drop(spark, source, "b", [("k", now, "other")])
+    stream = _stream(spark, source)
+    for _ in range(2):
+        ingest.stream_dedupe_ids(stream, *(f"{root}/{x}" for x in ("sink", "collisions", "ledger", "state")), buckets=4).awaitTermination()
+        _drop(spark, source, f"c{_}", [("k", now, ""), ("k", now, "other"), ("n", now, "")])
+    read = lambda name: ingest.read_sink(spark, f"{root}/{name}", spark.createDataFrame([], SCHEMA).schema)
+    assert read("sink").count() + read("collisions").count() == 7 and sorted(r["id"] or "" for r in read("sink").collect()) == ["", "k", "n"]
