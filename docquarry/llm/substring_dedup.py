@@ -7,6 +7,11 @@ one shuffle by anchor brings all equal edges together at a few bytes an edge.  T
 edges that follow each other in the source compact into one path.  Paths of one document are
 put end to end by a join on the document, and the coordinates lead back to its words.
 
+Equal edges have equal anchors, at places of their own, so a segment whose anchor occurs once
+holds no repeated edge.  Anchors are counted first, and segments of single ones aren't shuffled:
+a Bloom filter of the others, at most 64 MB, tells.  Where it errs, or is full, more segments
+travel than need be, and none is lost.
+
 An edge is known by 96 bits of two hashes of its words, besides its anchor, so that under one
 hot anchor, which tells nothing apart, unlike edges still don't meet: of the 6e9 edges of some
 30 GB, all under one anchor, 2e19 pairs at 2**-96 each.  Frequent anchors are dealt over
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from docquarry.llm.common import group_ids, mix, shuffle_parts, slices, whole_groups, window_hashes, word_hashes
 from docquarry.session import cut_lineage
@@ -29,6 +34,10 @@ ANCHOR = 8
 SALTS = 64
 #: An anchor with fewer path segments is never dealt out.
 LEAST_HOT = 2000
+#: Bits of a filter for each anchor that occurs more than once, of one of its pieces, and most pieces.
+ANCHOR_BITS = 8
+PIECE_BITS = 20
+MOST_PIECES = 512
 _WIDTH = 16  # bytes of an edge's two hashes
 _SENT = 12  # of these, bytes that travel: the first hash and the low half of the second
 _OTHER = np.uint64(0xA0761D6478BD642F)
@@ -92,6 +101,45 @@ def equal_edges(group: np.ndarray, edge: np.ndarray, other: np.ndarray) -> tuple
     return order[new], back, np.bincount(back)
 
 
+def _filter_places(pieces: int) -> tuple[Column, list[Column]]:
+    """Piece of the filter that tells of ``anchor``, and its two bits there."""
+    mixed = F.xxhash64("anchor")
+    bits = [F.shiftrightunsigned(mixed, by).bitwiseAND(F.lit((1 << PIECE_BITS) - 1)).cast("int") for by in (20, 40)]
+    return F.pmod(mixed, F.lit(pieces)).cast("int"), bits
+
+
+def anchor_filter(anchors: DataFrame, pieces: int) -> DataFrame:
+    """(piece, bits): a Bloom filter of the column ``anchor``; pieces without anchors are left out."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece = batch.column("piece").to_numpy()
+            for one in np.unique(piece):
+                words = found.setdefault(int(one), np.zeros(1 << PIECE_BITS - 6, np.uint64))
+                for name in ("a", "b"):
+                    bit = batch.column(name).to_numpy()[piece == one]
+                    np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+        for one, words in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([one], pa.int32()), pa.array([words.view(np.int64)], pa.list_(pa.int64()))], ["piece", "bits"]
+            )
+
+    piece, (a, b) = _filter_places(pieces)
+    return anchors.select(piece.alias("piece"), a.alias("a"), b.alias("b")).repartition("piece").mapInArrow(fill, "piece int, bits array<long>")
+
+
+def maybe_among(rows: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
+    """All rows whose ``anchor`` is one of the ``n`` anchors, and a few per cent of the others."""
+    pieces = min(MOST_PIECES, max(1, -(-n * ANCHOR_BITS >> PIECE_BITS)))
+    piece, bits = _filter_places(pieces)
+    known = anchor_filter(anchors, pieces)
+    same = piece == F.col("piece")
+    for bit in bits:
+        same &= F.getbit(F.get("bits", F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1
+    return rows.join(F.broadcast(known), same, "left_semi")
+
+
 def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
     """(__id, __key, start, stop) in words: all paths of edges that start anywhere else too.
 
@@ -119,12 +167,12 @@ def repeated_spans(docs: DataFrame, k: int) -> DataFrame:
 
     seen = Observation("anchors")
     counts = docs.select("__text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.observe(seen, F.sum("n").alias("total"))
-    counts = cut_lineage(counts.filter(F.col("n") > LEAST_HOT), "anchor-counts")
+    counts = counts.observe(seen, F.sum("n").alias("total"), F.count_if(F.col("n") > 1).alias("shared"))
+    counts = cut_lineage(counts.filter(F.col("n") > 1), "anchor-counts")
     share = (seen.get["total"] or 0) // (8 * shuffle_parts(docs.sparkSession))
-    hot = counts.filter(F.col("n") > share).select("anchor", F.lit(True).alias("hot"))  # at most 8 * partitions rows
+    hot = counts.filter((F.col("n") > LEAST_HOT) & (F.col("n") > share)).select("anchor", F.lit(True).alias("hot"))  # at most 8 * partitions rows
     dealt = (
-        docs.mapInArrow(split, "anchor long, __id long, __key long, first int, edges binary")
+        maybe_among(docs.mapInArrow(split, "anchor long, __id long, __key long, first int, edges binary"), counts, seen.get["shared"])
         .join(F.broadcast(hot), "anchor", "left")
         .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("__id", "__key", "first"), F.lit(SALTS))).otherwise(F.lit(-1)).cast("int"))
         .drop("hot")

@@ -61,6 +61,42 @@ def test_twelve_bytes_an_edge_travel_and_tell_edges_apart():
     assert len(np.unique(other)) == len(other) == 5 * 26  # the second hash alone tells these apart
 
 
+def test_segments_of_anchors_that_occur_once_are_not_shuffled(spark, monkeypatch):
+    shared = awkward.words(60, 400)
+    rows = [(i, " ".join(awkward.words(200, 401 + i))) for i in range(60)]
+    rows += [(60 + i, " ".join(awkward.words(40, 500 + i) + shared)) for i in range(2)]
+    docs, sent = spark.createDataFrame(rows, "doc_id long, text string"), []
+    whole = type(docs).repartition
+
+    def counted(df, *keys):
+        if keys == ("anchor", "salt"):
+            sent.append(df.count())
+        return whole(df, *keys)
+
+    monkeypatch.setattr(type(docs), "repartition", counted)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in s.drop_repeats(docs).collect())
+    assert got == expected(rows, 35) and sum(n for _, _, n, _ in got) == 120
+    anchors = s.segments(s.pa.array([t for _, t in rows]), 35)[1]
+    single = sum(n == 1 for n in Counter(anchors.tolist()).values())
+    assert single > 500 and len(sent) == 1 and sent[0] < len(anchors) - 0.8 * single
+
+
+def test_filter_keeps_all_anchors_and_few_others(spark):
+    numbers = np.random.default_rng(2).integers(-(1 << 63), 1 << 63, 300_000)
+    known = spark.createDataFrame(s.pa.table({"anchor": numbers[:200_000]}))  # 2 pieces of the filter
+    rows = spark.createDataFrame(s.pa.table({"anchor": np.append(numbers, numbers[:10]), "of": np.arange(300_010)}))
+    kept = {r.of for r in s.maybe_among(rows, known, 200_000).collect()}
+    assert kept >= {*range(200_000), *range(300_000, 300_010)} and len(kept) - 200_010 < 8_000
+    assert s.maybe_among(rows, known.limit(0), 0).count() == 0
+
+
+def test_a_full_filter_loses_nothing(odd, monkeypatch):
+    monkeypatch.setattr(s, "PIECE_BITS", 6)
+    monkeypatch.setattr(s, "MOST_PIECES", 2)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in s.drop_repeats(odd).collect())
+    assert got == expected(awkward.rows(), 35)
+
+
 def test_empty_table(none):
     assert s.drop_repeats(none).count() == 0
 
