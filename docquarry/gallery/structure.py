@@ -142,8 +142,11 @@ def numbered_dependencies(spark, folder):
 )
 def split_list_query(spark, folder):
     parts = split_list(F.col("text_doc.text"))
+    # A blank text gives an empty list, which has no last element; to the SQL it is one empty part.
+    n_parts = F.size(parts)
+    last_part = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.when(n_parts == 0, F.lit("")))
     return t.text_docs(spark, folder).select(
-        "id", F.size(parts).alias("n_parts"), F.element_at(parts, -1).alias("last_part")
+        "id", (n_parts + (n_parts == 0).cast("int")).alias("n_parts"), last_part.alias("last_part")
     )
 
 

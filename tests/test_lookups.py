@@ -220,6 +220,27 @@ def test_scalars(spark):
     assert (row["p"], row["local"], row["n"]) == ("uberon:Ab:c", "y:z", "allen_ccf_v3")
 
 
+def test_lists_of_blank_texts(spark, tmp_path):
+    """A blank text has no element, which failed the whole query."""
+    import duckdb
+
+    from docquarry.gallery import QUERIES, SQL
+
+    texts = ["a, b ,c", "", "   ", None, ",", " , ", "a,", "x", "\t"]
+    rows = [(i, text, "en", "src1", len(text or "")) for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["split_list"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(SQL["split_list"]).fetchall())
+    by_id = {r[0]: r[1:] for r in got}
+    ids = [r["id"] for r in docs.select("doc_id", t.uid("text_doc:", F.col("doc_id")).alias("id")).orderBy("doc_id").collect()]
+    assert [by_id[i] for i in ids] == [
+        (3, "c"), (1, ""), (1, ""), (None, None), (2, ""), (2, ""), (2, ""), (1, "x"), (1, "\t"),
+    ]
+
+
 # -- plans ------------------------------------------------------------------------------------
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
